@@ -57,7 +57,8 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     item = items.select(F.col(item_col).cast("string").alias("item"), words(F.col(item_text_col)).alias("iw")).where("item is not null and size(iw) > 0").distinct()
     sizes = item.where(F.size("iw") < window).agg(F.sort_array(F.collect_set(F.size("iw")))).first()[0]
     item_long = _grams(item.where(F.size("iw") >= window), "iw", window, gram, [])
-    index = item_long.select("item", "iw", F.explode("fps").alias("f")).select("item", F.col("f.size").alias("k_size"), F.col("f.code").alias("k_code"), "iw", F.col("f.at").alias("q"))
+    # explode would add a filter on the size of fps, which runs the whole expression once per word below the projections
+    index = item_long.select("item", "iw", F.explode_outer("fps").alias("f")).select("item", F.col("f.size").alias("k_size"), F.col("f.code").alias("k_code"), "iw", F.col("f.at").alias("q"))
     reach = window - gram
     left = F.least(F.col("q"), F.lit(reach))
     index = index.select("item", "k_size", "k_code", left.cast("int").alias("ileft"), F.slice("iw", F.col("q") - left + 1, left + gram + reach).alias("around"))
@@ -72,6 +73,7 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     own = F.array(F.struct(F.lit(-1).alias("size"), F.pmod(F.col("row"), F.lit(1 << 30)).cast("int").alias("code"), F.lit(0).alias("at")))
     asked = doc.select("id", "row", "w", F.explode(F.concat(own, "fps")).alias("f")).select("id", "row", "w", F.col("f.size").alias("size"), F.col("f.code").alias("code"), F.col("f.at").alias("p"))
     met = asked.join(F.broadcast(index) if small else index, (F.col("size") == F.col("k_size")) & (F.col("code") == F.col("k_code")), "left")
+    # this filter must stay cheap: it runs in one piece of code with the join, so the words are copied for meetings only
     met = met.where("size = -1 or item is not null")
     # both sides around the fingerprint, so aligned that word dleft + j of the one faces word ileft + j of the other
     shift = F.least(F.col("p"), F.col("ileft"))
@@ -80,10 +82,10 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     length = F.when(F.col("size") > 0, F.col("size")).otherwise(window)
     last = F.least(F.size("here"), F.size("there")) - length
     found = F.filter(F.sequence(F.lit(0), last), lambda i: F.slice("here", i + 1, length) == F.slice("there", i + 1, length))
-    met = met.select("id", "row", "n", "item", "size", length.alias("length"), F.when(F.col("item").isNotNull() & (last >= 0), F.transform(found, lambda i: i + F.col("base"))).alias("starts"))
-    met = met.where("size = -1 or size(starts) > 0")
-    hits = F.when(F.col("item").isNotNull(), F.transform("starts", lambda s: F.struct(s.alias("s"), (s + F.col("length")).alias("e"))))
-    per_doc = met.select("id", "row", "n", "item", hits.alias("hits")).groupBy("row").agg(F.first("id").alias("id"), F.max("n").alias("n"), F.array_sort(F.collect_set("item")).alias("of"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("hits")))).alias("hits"))
+    met = met.select("id", "row", "n", "item", length.alias("length"), F.when(F.col("item").isNotNull() & (last >= 0), F.transform(found, lambda i: i + F.col("base"))).alias("starts"))
+    hits = F.when(F.size("starts") > 0, F.transform("starts", lambda s: F.struct(s.alias("s"), (s + F.col("length")).alias("e"))))
+    met = met.select("id", "row", "n", F.when(F.size("starts") > 0, F.col("item")).alias("item"), hits.alias("hits"))
+    per_doc = met.groupBy("row").agg(F.first("id").alias("id"), F.max("n").alias("n"), F.array_sort(F.collect_set("item")).alias("of"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("hits")))).alias("hits"))
     # sorted by start; each adds what reaches beyond the end so far
     total = F.aggregate("hits", F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")), lambda a, h: F.struct(F.greatest(a["end"], h["e"]).alias("end"), (a["n"] + F.greatest(F.lit(0), h["e"] - F.greatest(a["end"], h["s"]))).cast("long").alias("n")))["n"]
     return per_doc.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_words"), total.alias("n_hit"), F.size("of").cast("long").alias("n_items"), F.sha2(F.array_join("of", ","), 256).alias("items_sha256"), (F.size("of") > 0).alias("contaminated"), F.transform("hits", lambda h: h["s"]).alias("hit_starts"))
