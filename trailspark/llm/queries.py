@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailspark.llm import decontaminate, embeddings, simhash, substring, urlfilter
+from trailspark.llm import decontaminate, embeddings, langid, mixing, pii, quality, simhash, substring, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,17 +24,40 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.kept_digests(_table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of the pages' archives against a replica with planted damage."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = warc.audit_pages(pages, warc.damaged(pages))
+    return found.select(F.col("id_a").alias("page_id"), "archive", "place", "status", F.col("offset_a").alias("offset"), F.col("length_a").alias("length"), "digest_a", "digest_b")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_embedding_dedup, op3_substring_dedup, op5_simhash, op8_decontaminate)}
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_embedding_dedup, op3_substring_dedup, op4_quality, op5_simhash, op6_language, op7_warc_fixity, op8_decontaminate, op9_pii, op10_mixing)}
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in urlfilter.RULES)
 
@@ -80,6 +103,21 @@ kept AS (
   FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) x LEFT JOIN gone ON gone.doc_id = x.doc_id AND gone.p = x.p
   GROUP BY x.doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op7_warc_fixity": """
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS a,
+    CASE WHEN page_id % 97 = 0 AND length(html) > 0 THEN CASE WHEN left(html, 1) = '~' THEN '#' ELSE '~' END || substring(html, 2) ELSE coalesce(html, '') END AS b FROM pages),
+r AS (
+  SELECT page_id, a <> b AS differs,
+    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' AS head,
+    chr(13) || chr(10) || chr(13) || chr(10) AS gap, a, b FROM p),
+d AS (
+  SELECT page_id, differs, head || strlen(a) || gap || a || gap AS ra, head || strlen(b) || gap || b || gap AS rb FROM r),
+o AS (
+  SELECT page_id, differs, page_id // {RECORDS} AS range, strlen(ra) AS length, sha256(ra) AS digest_a, sha256(rb) AS digest_b,
+    row_number() OVER w - 1 AS place, sum(strlen(ra)) OVER w - strlen(ra) AS "offset"
+  FROM d WINDOW w AS (PARTITION BY page_id // {RECORDS} ORDER BY page_id))
+SELECT page_id, range || '-0' AS archive, place, 'changed' AS status, "offset"::BIGINT AS "offset", length, digest_a, digest_b FROM o WHERE differs""".replace("{RECORDS}", str(warc.RECORDS)),
     "op8_decontaminate": rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{decontaminate.UPPER}', '{decontaminate.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 i AS (SELECT DISTINCT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), '{decontaminate.UPPER}', '{decontaminate.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
