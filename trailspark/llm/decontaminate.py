@@ -40,9 +40,11 @@ def _grams(df: DataFrame, word_col: str, window: int, gram: int, short: list[int
     none = F.array().cast("array<struct<size:int,code:int,at:int>>")
     df = df.withColumn("__h", F.when(F.size(word_col) >= window, hashed))
     parts = [F.when(F.size(word_col) >= window, F.transform(winnow(F.col("__h")), lambda c: F.struct(F.lit(0).alias("size"), F.shiftright(c, 32).cast("int").alias("code"), (F.lit(_LOW) - c.bitwiseAND(F.lit(_LOW))).cast("int").alias("at")))).otherwise(none)]
-    for m in short:
-        run = F.transform(F.sequence(F.lit(0), F.size(word_col) - m), lambda i, m=m: F.struct(F.lit(m).alias("size"), F.hash(F.slice(word_col, i + 1, m)).alias("code"), i.cast("int").alias("at")))
-        parts.append(F.when(F.size(word_col) >= m, run).otherwise(none))
+
+    def runs(m):
+        return F.transform(F.sequence(F.lit(0), F.size(word_col) - m), lambda i: F.struct(F.lit(m).alias("size"), F.hash(F.slice(word_col, i + 1, m)).alias("code"), i.cast("int").alias("at")))
+
+    parts += [F.when(F.size(word_col) >= m, runs(m)).otherwise(none) for m in short]
     return df.withColumn("fps", F.concat(*parts)).drop("__h")
 
 
@@ -89,3 +91,12 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     # sorted by start; each adds what reaches beyond the end so far
     total = F.aggregate("hits", F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")), lambda a, h: F.struct(F.greatest(a["end"], h["e"]).alias("end"), (a["n"] + F.greatest(F.lit(0), h["e"] - F.greatest(a["end"], h["s"]))).cast("long").alias("n")))["n"]
     return per_doc.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_words"), total.alias("n_hit"), F.size("of").cast("long").alias("n_items"), F.sha2(F.array_join("of", ","), 256).alias("items_sha256"), (F.size("of") > 0).alias("contaminated"), F.transform("hits", lambda h: h["s"]).alias("hit_starts"))
+
+
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, without those that share a window with an item. Equal texts are judged alike."""
+    digest = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    source = docs.select(digest.alias("__digest"), F.col(text_col).alias("__text"))
+    found = overlaps(source, items, "__digest", "__text", item_col, item_text_col).where("contaminated").select("__digest").distinct()
+    rows = docs.withColumn("__d", digest)
+    return rows.join(found, F.col("__d") == F.col("__digest"), "left_anti").select(*docs.columns)

@@ -169,7 +169,11 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     names = docs.columns
     added = _added(stored(scan(docs.select(text_col), [], text_col)))
-    spans = F.concat(*[F.transform(base_spans(F.col("__t"), k), lambda s, k=k: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("kind"))) for k in KINDS], F.transform(F.coalesce("__added", F.array().cast("array<struct<kind:string,start:int,end:int>>")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+    def named(kind):
+        return F.transform(base_spans(F.col("__t"), kind), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
+
+    spans = F.concat(*[named(k) for k in KINDS], F.transform(F.coalesce("__added", F.array().cast("array<struct<kind:string,start:int,end:int>>")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     joined = docs.withColumn("__t", F.coalesce(text_col, F.lit(""))).withColumn("__k", F.md5(F.col("__t").cast("binary")))
     joined = joined.join(added.select(F.col("key").alias("__key"), F.col("added").alias("__added")), F.col("__k") == F.col("__key"), "left")
     joined = joined.withColumn("__s", F.array_sort(spans))

@@ -87,6 +87,16 @@ def fingerprint_links(fps: DataFrame, bits: int = MAX_BITS, segments: int | None
     return met.select(F.least("a", "fp").alias("u"), F.greatest("a", "fp").alias("v"))
 
 
+def components(marked: DataFrame, id_col: str, bits: int = MAX_BITS) -> DataFrame:
+    """``marked``, rows with ``fp``, with ``root``, which names the component, and ``component_id``, the least id in it."""
+    classes = stored(marked.groupBy("fp").agg(F.min(id_col).alias("least_id")))
+    roots = connected_components(fingerprint_links(classes, bits))
+    linked = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    named = linked.join(least, "root").select(F.col("fp").alias("__fp"), "root", "component_id")
+    return marked.join(named, F.col("fp") == F.col("__fp"), "left").drop("__fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = MAX_BITS) -> DataFrame:
     """One row per document: its id, ``fp`` and ``component_id``, the least id reachable by links of ``bits`` or fewer bits.
 
@@ -94,10 +104,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     as component ids unless a component has no other (then its id is null). An empty table
     gives no rows.
     """
-    marked = stored(fingerprints(docs, id_col, text_col))
-    classes = stored(marked.groupBy("fp").agg(F.min(id_col).alias("least_id")))
-    roots = connected_components(fingerprint_links(classes, bits))
-    linked = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = linked.join(least, "root").select(F.col("fp").alias("__fp"), "component_id")
-    return marked.join(named, F.col("fp") == F.col("__fp"), "left").select(id_col, "fp", "component_id")
+    source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    marked = stored(fingerprints(source, "__id", "__text"))
+    return components(marked, "__id", bits).select(F.col("__id").alias(id_col), "fp", "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs``, all columns, of one document of each component: the one with the least id, of several such rows one.
+
+    Rows of the least id with different texts are told apart by a digest of the text.
+    """
+    names = docs.columns
+    digest = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.length(text_col))
+    source = docs.select(F.col(id_col).alias("__id"), digest.alias("__digest"), F.col(text_col).alias("__text"))
+    marked = stored(fingerprints(source, "__id", "__text", keep=["__id", "__digest"]))
+    kept = components(marked, "__id", bits).where(F.col("__id").eqNullSafe(F.col("component_id")))
+    first = kept.groupBy("root").agg(F.min("__digest").alias("__digest"), F.min("__id").alias("__id")).drop("root")
+    rows = docs.withColumn("__d", digest)
+    rows = rows.join(first, rows[id_col].eqNullSafe(first["__id"]) & (F.col("__d") == F.col("__digest")), "left_semi")
+    return rows.dropDuplicates([id_col, "__d"]).select(*names)
