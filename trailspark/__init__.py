@@ -1,0 +1 @@
+"""Analytics over object trajectories as composable Spark DataFrames."""
