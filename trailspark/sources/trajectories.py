@@ -17,7 +17,7 @@ def parse_wide(lines: DataFrame, keep: tuple[str, ...] | None = None, min_sample
     seconds. Empty cells are null, samples without a time are dropped, as are tracks with
     fewer than ``min_samples`` of them, the header, and classes that aren't to be kept.
     """
-    cells = F.transform(F.split("value", ";"), F.trim)
+    cells = F.transform(F.split("value", ";"), lambda c: F.trim(c))
     number = lambda c: F.nullif(c, F.lit("")).try_cast("double")
     blocks = F.sequence(F.lit(META_CELLS), F.greatest(F.size("c") - 1, F.lit(META_CELLS)), F.lit(SAMPLE_CELLS))
 
