@@ -1,68 +1,22 @@
-"""What several operators share: tables that cut lineage, and connected components."""
+"""What several operators share: tables that cut lineage, connected components, and salted lookups."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from pathlib import Path
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words of contracts that split on ASCII space.
-SPACE_WORD = r"[^\x20\x09-\x0D]+"
-
-
-def python_workers(spark: SparkSession) -> None:
-    """Python workers find this package where the driver does, if it isn't installed (a cluster installs or ships it)."""
-    root = str(Path(__file__).resolve().parents[2])
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if root not in paths.split(":"):
-        spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{paths}".rstrip(":")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='trailspark-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+from trailspark.operators.graph import connected_components
+from trailspark.operators.lineage import python_workers, shared_dir, stored
 
+__all__ = ["SPACE_WORD", "connected_components", "looked_up", "python_workers", "shared_dir", "stored"]
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once as a table in the shared folder and read back: no lineage, and safe when an executor is lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/trailspark/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _settled(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return row[0], row[1] or 0
-
-
-def _toward_least(pairs: DataFrame) -> DataFrame:
-    """For rows (u, v) the rows (u, v, m), m the least of u and all its v."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-    return pairs.join(least, F.col("u") == F.col("w")).select("u", "v", "m")
-
+#: Words of contracts that split on ASCII space.
+SPACE_WORD = r"[^\x20\x09-\x0D]+"
+SALTS = 32
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """``(node, root)`` for every node of the undirected ``edges (u, v)``; root is the least node of its component.
 
-    Large-star and small-star steps take turns until nothing changes; each turn is
-    written to the shared folder. Minima are pre-aggregated, so a node with very many
-    links is no hot group. Loops and repeated links are harmless; no links, no rows.
-    """
-    current = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
-    while (now := _settled(current)) != before and now[0]:
-        before = now
-        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _toward_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        near = _toward_least(large)
-        small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v")))
-        current = stored(small.where("u <> v").distinct())
-    return current.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+def looked_up(rows: DataFrame, key: str, few: DataFrame, few_key: str, how: str = "left") -> DataFrame:
+    """``rows`` joined to the (few) rows of ``few`` by key, each copied to ``SALTS`` places, so that a key with very many rows is dealt out."""
+    rows = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    few = few.withColumn("__place", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(few, (F.col(key) == F.col(few_key)) & (F.col("__salt") == F.col("__place")), how).drop("__salt", "__place", few_key)

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailspark.llm.common import looked_up
+
 WINDOW = 10
 GRAM = 5
 #: Fingerprints of the items are broadcast up to this many rows (each a few hundred bytes); beyond, the join is shuffled.
@@ -99,4 +101,4 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: s
     source = docs.select(digest.alias("__digest"), F.col(text_col).alias("__text"))
     found = overlaps(source, items, "__digest", "__text", item_col, item_text_col).where("contaminated").select("__digest").distinct()
     rows = docs.withColumn("__d", digest)
-    return rows.join(found, F.col("__d") == F.col("__digest"), "left_anti").select(*docs.columns)
+    return looked_up(rows, "__d", found, "__digest", "left_anti").select(*docs.columns)

@@ -193,7 +193,7 @@ def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """One row per document: id and ``spans`` (lang, first word, end word) of its words in order; none without letters."""
     python_workers(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = docs.select(F.col(id_col).alias("id")).schema.add("spans", "array<struct<lang:string,start:int,end:int>>")
+    schema = docs.select(F.col(id_col).alias("id"), F.lit(None).cast("array<struct<lang:string,start:int,end:int>>").alias("spans")).schema
 
     def run(frames):
         for frame in frames:

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailspark.llm.common import stored
+from trailspark.llm.common import looked_up, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: Possessive and anchored forms of the contract's expressions: the same leftmost matches, in linear time and without deep recursion.
@@ -137,7 +137,7 @@ def _added(scanned: DataFrame) -> DataFrame:
 
 
 def _with_added(scanned: DataFrame, added: DataFrame) -> DataFrame:
-    return scanned.join(added.withColumnRenamed("key", "__key"), F.col("key") == F.col("__key"), "left").drop("__key")
+    return looked_up(scanned, "key", added.withColumnRenamed("key", "__key"), "__key")
 
 
 def _text_of(kind: str, spans: Column) -> Column:
@@ -175,7 +175,7 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     spans = F.concat(*[named(k) for k in KINDS], F.transform(F.coalesce("__added", F.array().cast("array<struct<kind:string,start:int,end:int>>")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     joined = docs.withColumn("__t", F.coalesce(text_col, F.lit(""))).withColumn("__k", F.md5(F.col("__t").cast("binary")))
-    joined = joined.join(added.select(F.col("key").alias("__key"), F.col("added").alias("__added")), F.col("__k") == F.col("__key"), "left")
+    joined = looked_up(joined, "__k", added.select(F.col("key").alias("__key"), F.col("added").alias("__added")), "__key")
     joined = joined.withColumn("__s", F.array_sort(spans))
     merged = F.aggregate("__s", F.array().cast("array<struct<start:int,end:int,kind:string>>"), lambda out, s: F.when((F.size(out) > 0) & (F.element_at(out, -1)["end"] > s["start"]), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["start"].alias("start"), F.greatest(F.element_at(out, -1)["end"], s["end"]).alias("end"), F.element_at(out, -1)["kind"].alias("kind"))))).otherwise(F.concat(out, F.array(s))))
     pieces = F.transform("__m", lambda s, i: F.concat(F.substring(F.col("__t"), F.when(i > 0, F.get(F.col("__m"), i - 1)["end"]).otherwise(0) + 1, s["start"] - F.when(i > 0, F.get(F.col("__m"), i - 1)["end"]).otherwise(0)), F.lit("["), s["kind"], F.lit("]")))

@@ -65,8 +65,10 @@ def tree(leaf_rows: DataFrame, levels: int = LEVELS) -> DataFrame:
 def audit(a: DataFrame, b: DataFrame, levels: int = LEVELS) -> DataFrame:
     """Leaves at which two trees differ: archive, place, the offset, length and digest in either, and ``status``.
 
-    ``status`` is changed, lost (only in a) or added (only in b). Equal replicas, and empty
-    ones, give no rows; nodes under equal digests are never read by a join.
+    ``status`` is changed, moved (equal bytes at another offset), lost (only in a) or added
+    (only in b). A record that changes its length moves those after it in its archive, and a
+    lost one shifts their places. Equal replicas, and empty ones, give no rows; nodes under
+    equal digests are never read by a join.
     """
     names = ("offset", "length", "digest")
     suspects = None
@@ -76,7 +78,7 @@ def audit(a: DataFrame, b: DataFrame, levels: int = LEVELS) -> DataFrame:
             x, y = (t.withColumn("up", F.floor(F.col("place") / FAN)).join(suspects, ["archive", "up"], "left_semi").drop("up") for t in (x, y))
         differ = x.join(y, ["archive", "place"], "full").where(~F.col("digest_a").eqNullSafe(F.col("digest_b")) | ~F.col("offset_a").eqNullSafe(F.col("offset_b")))
         suspects = differ.select("archive", F.col("place").alias("up"))
-    status = F.when(F.col("digest_b").isNull(), "lost").when(F.col("digest_a").isNull(), "added").otherwise("changed")
+    status = F.when(F.col("digest_b").isNull(), "lost").when(F.col("digest_a").isNull(), "added").when(F.col("digest_a") == F.col("digest_b"), "moved").otherwise("changed")
     return differ.withColumn("status", status)
 
 
