@@ -9,8 +9,19 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_ROWS = "1000"
+
+
 def python_workers(spark: SparkSession) -> None:
-    """Python workers find this package where the driver does, if it isn't installed (a cluster installs or ships it)."""
+    """Readies a session for kernels in Python.
+
+    Workers find this package where the driver does, if it isn't installed (a cluster
+    installs or ships it). Arrow batches hold ``BATCH_ROWS`` rows unless the session sets
+    their size: whole texts are rows here, and Spark's 10,000 of them fill a worker's memory.
+    """
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(size, None) in (None, "10000"):
+        spark.conf.set(size, BATCH_ROWS)
     root = str(Path(__file__).resolve().parents[2])
     paths = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in paths.split(":"):
