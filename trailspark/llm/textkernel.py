@@ -155,7 +155,7 @@ def windows_within(first: np.ndarray, n: int, size: int) -> np.ndarray:
     return left >= size
 
 
-def chunks(column, max_bytes: int = 1 << 21):
+def chunks(column, max_bytes: int = 1 << 19):
     """Row ranges of a string column that hold about ``max_bytes`` each (one longer row stands alone), as (low, raw, offsets)."""
     raw, rows = buffers(column)
     low, n = 0, len(rows) - 1
