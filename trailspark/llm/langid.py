@@ -11,13 +11,11 @@ foreign passages become spans of their own.
 from __future__ import annotations
 
 import unicodedata
-from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,89 +24,173 @@ from trailspark.llm.common import python_workers
 FOLDS, OUT = 3, 1
 PENALTY = 12.0
 #: Training documents for each language, at most about (drawn by hash of the id; all below that many).
-MAX_TRAIN = 5_000
+MAX_TRAIN = 2_000
 #: Letter grams that the model keeps for each language, the most frequent ones.
 MAX_GRAMS = 30_000
 MAX_LANGUAGES = 1_000
 MIN_SHARE = 0.01  # of a language's words that must be in a script for it to be a candidate there
-_CACHE = 1 << 17
-_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 # First code points of script ranges, in order.
 SCRIPTS = [(0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"), (0x0900, "Devanagari"), (0x0980, "Indic"), (0x0E00, "Thai"), (0x0E80, "Other"), (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1200, "Other"), (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2000, "Other"), (0x2C60, "Latin"), (0x2C80, "Other"), (0x3040, "Kana"), (0x3100, "Han"), (0x3130, "Hangul"), (0x3190, "Han"), (0xA000, "Other"), (0xA720, "Latin"), (0xA800, "Other"), (0xAC00, "Hangul"), (0xD7B0, "Other"), (0xF900, "Han"), (0xFB00, "Other"), (0x20000, "Han")]
-_STARTS = [s for s, _ in SCRIPTS]
+_STARTS = np.array([s for s, _ in SCRIPTS])
+NAMES = sorted({name for _, name in SCRIPTS})
+_SCRIPT_IDS = np.array([NAMES.index(name) for _, name in SCRIPTS])
+_CHUNK = 1 << 19  # characters scored at a time, for four languages
 
 
-def script(word: str) -> str:
-    """The script of a word's first letter, by range."""
-    return SCRIPTS[bisect_right(_STARTS, ord(word[0])) - 1][1]
+def held_out(id_col):
+    """Whether the row must not be learned from; a null id never is."""
+    return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % FOLDS == OUT, F.lit(False))
 
 
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(unicodedata.normalize("NFC", text).lower()) if text else []
+_kinds: dict[str, np.ndarray] = {}
 
 
-def grams_of(word: str) -> list[str]:
-    padded = f"^{word}$"
-    return [padded[i : i + 3] for i in range(len(padded) - 2)]
+def _letters() -> np.ndarray:
+    """For each code point 2 for a letter, 1 for a mark, else 0; made once in a process."""
+    if "kind" not in _kinds:
+        table = np.zeros(0x110000, np.uint8)
+        for c in range(0x110000):
+            first = unicodedata.category(chr(c))[0]
+            table[c] = 2 if first == "L" else 1 if first == "M" else 0
+        _kinds["kind"] = table
+    return _kinds["kind"]
 
 
-def held_out(id_col):
-    """Whether the row must not be learned from; a null id never is."""
-    return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % FOLDS == OUT, F.lit(False))
+def _key(before, here, after):
+    return (before.astype(np.uint64) << np.uint64(42)) | (here.astype(np.uint64) << np.uint64(21)) | after.astype(np.uint64)
+
+
+def scripts_of(points: np.ndarray) -> np.ndarray:
+    return _SCRIPT_IDS[np.searchsorted(_STARTS, points, side="right") - 1]
+
+
+def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For all letters of all words: the one before (or ^), the letter and the one after (or $); each word's first letter; each text's first word (and the end).
+
+    Words are letters with the letters and marks after them, in composed lower case.
+    """
+    clean = [unicodedata.normalize("NFC", t).lower() if t else "" for t in texts]
+    ends = np.cumsum([0, *(len(t) + 1 for t in clean)])
+    points = np.frombuffer("\n".join([*clean, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _letters()[points]
+    while True:  # marks that follow no letter belong to no word
+        loose = (kind == 1) & (np.concatenate([[0], kind[:-1]]) == 0)
+        if not loose.any():
+            break
+        kind = np.where(loose, 0, kind)
+    inside = kind > 0
+    at = np.flatnonzero(inside)
+    here = points[at]
+    before, after = np.concatenate([[0], here[:-1]])[: len(here)], np.concatenate([here[1:], [0]])[: len(here)]
+    begins = ~np.concatenate([[False], inside[:-1]])[at]
+    finishes = ~np.concatenate([inside[1:], [False]])[at]
+    before[begins], after[finishes] = ord("^"), ord("$")
+    first = np.flatnonzero(begins)
+    return before, here, after, first, np.searchsorted(at[first], ends)
+
+
+def gram_counts(texts: list[str | None]) -> dict[str, int]:
+    """How often each trigram occurs, and under #name each script, by words."""
+    before, here, after, first, _ = trigrams(texts)
+    keys, n = np.unique(_key(before, here, after), return_counts=True)
+    low = (1 << 21) - 1
+    out = {chr(k >> 42) + chr(k >> 21 & low) + chr(k & low): c for k, c in zip(keys.tolist(), n.tolist(), strict=True)}
+    for i, c in enumerate(np.bincount(scripts_of(here[first]), minlength=len(NAMES)).tolist()):
+        if c:
+            out[f"#{NAMES[i]}"] = c
+    return out
 
 
 class Model:
-    """Log-probabilities of trigrams for each language, and the languages of each script."""
-
-    def __init__(self, langs: list[str], grams: dict[str, np.ndarray], unseen: np.ndarray, scripts: dict[str, np.ndarray]):
-        self.langs, self.grams, self.unseen, self.scripts = langs, grams, unseen, scripts
-        self._cache: dict[str, int] = {}
-        self._rows = np.empty((_CACHE, len(langs)))
-
-    def score(self, word: str) -> np.ndarray:
-        """Scores of a word; languages that don't use its script get less than any other, or all the same if none does."""
-        who = self.scripts.get(script(word))
-        out = np.zeros(len(self.langs))
-        if who is None:
-            return out
-        for g in grams_of(word):
-            out = out + self.grams.get(g, self.unseen)
-        return np.where(who, out, out.min() - PENALTY)
-
-    def scores(self, words: list[str]) -> np.ndarray:
-        """One row of scores for each word; those of recent words are kept, in bounded memory."""
-        cache, place = self._cache, np.empty(len(words), np.int64)
-        if len(cache) + len(words) > _CACHE:
-            cache.clear()
-        if len(words) > _CACHE:
-            return np.array([self.score(w) for w in words])
-        for i, w in enumerate(words):
-            at = cache.get(w)
-            if at is None:
-                at = cache[w] = len(cache)
-                self._rows[at] = self.score(w)
-            place[i] = at
-        return self._rows[place]
-
-    def path(self, words: list[str]) -> np.ndarray:
-        """The best language of each word, a change of language costing ``PENALTY``; ties go to the first language."""
-        return best_path(self.scores(words), PENALTY) if words else np.zeros(0, np.int64)
+    """Log-probabilities of trigrams for each language, and the languages of each script.
 
-    def __getstate__(self):
-        return (self.langs, self.grams, self.unseen, self.scripts)
+    Texts are scored by whole batches: each letter stands for the trigram around it, which
+    is looked up in a dense table over the model's letters (by binary search where these are
+    many), and a word's scores are the sums over its letters.
+    """
 
-    def __setstate__(self, state):
-        self.__init__(*state)
+    DENSE = 126
+
+    def __init__(self, langs: list[str], grams: list[str], scores: np.ndarray, unseen: np.ndarray, allowed: np.ndarray):
+        """``scores`` has a row for each of ``grams``; ``allowed`` one for each of ``NAMES``."""
+        self.langs, self.allowed = langs, allowed
+        points = np.array([[ord(c) for c in g] for g in grams], np.uint64).reshape(-1, 3)
+        keys = _key(points[:, 0], points[:, 1], points[:, 2])
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.rows = np.vstack([scores[order].reshape(len(order), len(langs)), unseen.reshape(1, len(langs))])
+        self.size = len(keys)
+        alphabet = np.unique(points)
+        self.classes = self.dense = None
+        if len(alphabet) <= self.DENSE:
+            base = len(alphabet) + 1  # the last class is any other letter
+            self.classes = (alphabet, base)
+            at = np.searchsorted(alphabet, points[order])
+            self.dense = np.full(base**3, self.size, np.int32)
+            self.dense[(at[:, 0] * base + at[:, 1]) * base + at[:, 2]] = np.arange(self.size)
+
+    def _places(self, before, here, after) -> np.ndarray:
+        if self.dense is not None:
+            alphabet, base = self.classes
+            small = self.__dict__.get("small")
+            if small is None:
+                small = np.full(0x110000, base - 1, np.uint8)
+                small[alphabet.astype(np.int64)] = np.arange(len(alphabet))
+                self.__dict__["small"] = small
+            return self.dense[(small[before].astype(np.int32) * base + small[here]) * base + small[after]]
+        want = _key(before, here, after)
+        at = np.minimum(np.searchsorted(self.keys, want), max(self.size - 1, 0))
+        return np.where(self.size and self.keys[at] == want, at, self.size)
 
-    def label(self, text: str | None) -> tuple[str, float]:
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "small"}
+
+    def words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For the words of the texts in order: scores, numbers of letters, and the first word of each text (and the end)."""
+        before, here, after, first, bounds = trigrams(texts)
+        letters = np.diff(np.append(first, len(here)))
+        scores = np.zeros((len(first), len(self.langs)))
+        if not len(first) or not self.langs:
+            return scores, letters, bounds
+        places = self._places(before, here, after)
+        for i in range(len(self.langs)):
+            scores[:, i] = np.add.reduceat(self.rows[places, i], first)
+        may = self.allowed[scripts_of(here[first])]
+        scores = np.where(may, scores, scores.min(axis=1, keepdims=True) - PENALTY)
+        scores[~may.any(axis=1)] = 0.0
+        return scores, letters, bounds
+
+    def paths(self, texts: list[str | None]):
+        """For each text the best language of each word, a change costing ``PENALTY`` (ties go to the first), and the words' letters."""
+        scores, letters, bounds = self.words(texts)
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            yield (best_path(scores[a:b], PENALTY) if b > a and self.langs else np.zeros(0, np.int64)), letters[a:b]
+
+    def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """The language of most letters on the best path, and its share of them among all letters; ``und`` without letters."""
-        words = words_of(text)
-        if not words or not self.langs:
-            return "und", 0.0
-        share = np.bincount(self.path(words), [len(w) for w in words], len(self.langs))
-        best = int(np.argmax(share))
-        return self.langs[best], float(share[best] / share.sum())
+        out = []
+        for path, letters in self.paths(texts):
+            if not len(path):
+                out.append(("und", 0.0))
+                continue
+            share = np.bincount(path, letters, len(self.langs))
+            best = int(np.argmax(share))
+            out.append((self.langs[best], float(share[best] / share.sum())))
+        return out
+
+
+def groups(texts: list[str | None], size: int):
+    """The texts in order, in lists of about ``size`` characters (one longer text stands alone)."""
+    out, total = [], 0
+    for t in texts:
+        if out and total + len(t or "") > size:
+            yield out
+            out, total = [], 0
+        out.append(t)
+        total += len(t or "")
+    if out:
+        yield out
 
 
 def best_path(scores: np.ndarray, penalty: float) -> np.ndarray:
@@ -156,37 +238,35 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     def run(frames):
         for frame in frames:
             out: dict[str, Counter] = {}
-            for lang, text in zip(frame["lang"], frame["text"], strict=True):
+            for lang, part in frame.groupby("lang")["text"]:
                 count = out.setdefault(lang, Counter())
-                for word, n in Counter(words_of(text)).items():
-                    count[f"#{script(word)}"] += n
-                    for g in grams_of(word):
-                        count[g] += n
+                for texts in groups(part.tolist(), _CHUNK):
+                    count.update(gram_counts(texts))
             yield pd.DataFrame([(lang, g, n) for lang, c in out.items() for g, n in c.items()], columns=["lang", "gram", "n"])
 
     counts = drawn.select("lang", "text").mapInPandas(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     sums = {r["lang"]: (r["total"], r["kinds"]) for r in counts.where("gram not like '#%'").groupBy("lang").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).collect()}
     langs = sorted(sums)
+    allowed = np.zeros((len(NAMES), len(langs)), bool)
     if not langs:
-        return Model([], {}, np.zeros(0), {})
+        return Model([], [], np.zeros((0, 0)), np.zeros(0), allowed)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     kept = counts.where("gram not like '#%'").withColumn("rank", rank).where(F.col("rank") <= MAX_GRAMS).select("lang", "gram", "n").toArrow()
     at = {lang: i for i, lang in enumerate(langs)}
     kinds = max(k for _, k in sums.values()) + 1
     below = np.array([sums[lang][0] + 0.5 * kinds for lang in langs])
-    unseen = np.log(0.5 / below)
-    grams: dict[str, np.ndarray] = {}
+    grams = sorted(set(kept.column("gram").to_pylist()))
+    place = {g: i for i, g in enumerate(grams)}
+    seen = np.zeros((len(grams), len(langs)))
     for lang, g, n in zip(*(kept.column(c).to_pylist() for c in ("lang", "gram", "n")), strict=True):
-        grams.setdefault(g, unseen.copy())[at[lang]] = np.log((n + 0.5) / below[at[lang]])
-    scripts: dict[str, np.ndarray] = {}
+        seen[place[g], at[lang]] = n
     used: dict[str, dict[str, int]] = {}
     for r in counts.where("gram like '#%'").collect():
         used.setdefault(r["lang"], {})[r["gram"][1:]] = r["n"]
     for lang, by in used.items():
         for name, n in by.items():
-            if n >= MIN_SHARE * sum(by.values()):
-                scripts.setdefault(name, np.zeros(len(langs), bool))[at[lang]] = True
-    return Model(langs, grams, unseen, scripts)
+            allowed[NAMES.index(name), at[lang]] = n >= MIN_SHARE * sum(by.values())
+    return Model(langs, grams, np.log((seen + 0.5) / below), np.log(0.5 / below), allowed)
 
 
 def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,10 +278,10 @@ def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(frames):
         for frame in frames:
             out = []
-            for text in frame["text"]:
-                path = model.path(words_of(text)) if model.langs else np.zeros(0, np.int64)
-                edge = np.flatnonzero(np.diff(path, prepend=-1)) if len(path) else np.zeros(0, np.int64)
-                out.append([{"lang": model.langs[path[a]], "start": a, "end": b} for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(path)], strict=True)] if len(path) else [])
+            for texts in groups(frame["text"].tolist(), _CHUNK):
+                for path, _ in model.paths(texts):
+                    edge = np.flatnonzero(np.diff(path, prepend=-1))
+                    out.append([{"lang": model.langs[path[a]], "start": a, "end": b} for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(path)][: len(edge)], strict=True)])
             yield pd.DataFrame({"id": frame["id"], "spans": out})
 
     return source.mapInPandas(run, schema).withColumnRenamed("id", id_col)
@@ -219,7 +299,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     def run(batches):
         for batch in batches:
-            found = [model.label(t.as_py()) for t in batch.column(1)]
+            found = [x for texts in groups(batch.column(1).to_pylist(), _CHUNK) for x in model.label(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())], names=["id", "lang_pred", "score"])
 
     out = source.mapInArrow(run, schema)
