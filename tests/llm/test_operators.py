@@ -371,6 +371,19 @@ def test_pii_discovers_by_context(spark):
     assert clean[0] == "visa [card] paid" and clean[len(good)] == "visa [card] paid" and clean[len(good) + 1] == texts[-1]
 
 
+def test_pii_seeds_are_whole_spans(spark):
+    """Seeds of several words, of few digits and of none, after a word of any length; and candidates of several words."""
+    long = "x" * 90
+    good = [f"4{i:03d} 1111 1111 11" for i in range(100, 112)]
+    good = [f"{c}{next(d for d in range(10, 100) if brute.luhn(f'{c}{d}'.replace(' ', '')))}" for c in good]
+    texts = [f"paid {c} today" for c in good] + [f"ring +1 ({i}) 555-7713 now" for i in range(100, 112)] + [f"write {a}nn@mail.example.com soon" for a in "abcdefgh"] + [f"{long} 10.0.0.{i} up" for i in range(8)]
+    found = pii.bootstrap(pii._instances(pii.scan(docs_of(spark, texts), ["doc_id"])))
+    assert {(r.pattern, r.kind) for r in found.collect()} == {("paid 9999 9999 9999 9999", "card"), ("ring +9 (999) 999-9999", "phone"), ("write aaa@aaaa.aaaaaaa.aaa", "email"), (f"{long} 99.9.9.9", "ip")}
+    bad = next(f"4111 1111 1111 11{d}" for d in range(10, 100) if not brute.luhn(f"41111111111111{d}"))
+    got = {r.doc_id: r for r in pii.find(docs_of(spark, [*texts, f"paid {bad} today", f"order {bad} today"])).collect()}
+    assert (got[len(texts)].spans, got[len(texts)].n_added, got[len(texts) + 1].spans) == ("card:5:24", 1, "")
+
+
 def test_redaction(spark):
     texts = [None, "", "é a@b.cd, 1.2.3.4 é", "+1 (132) 555-1352", "+1.2.3.4.5678901 a@b.c"]
     got = [r.text for r in pii.redacted(docs_of(spark, texts)).orderBy("doc_id").collect()]

@@ -1,8 +1,10 @@
 """PII: base patterns with checks, widened by bootstrapped contextual extraction. Built-in functions only.
 
 Base spans come from one regular expression for each kind and a check of each match. Their
-surroundings then seed the bootstrap: every word with a digit is an instance, and the word
-before it with the shape of the instance (digits as 9, letters as a) is a lexical pattern.
+surroundings then seed the bootstrap: whole base spans with the rest of the words they touch
+are seeds; words with a digit or @ that touch none, and longest runs of such words, are
+candidates. The word before an instance with its shape (digits as 9, letters as a) is a
+lexical pattern.
 Spark scores the graph of patterns and instances by turns: a pattern of a kind scores the
 share of its instances that are of the kind, an instance the best score of its patterns.
 Patterns with enough distinct seeds and a high score discover identifiers that no base
@@ -27,10 +29,10 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _S = r"\x20\x09-\x0D"
-#: Words with a digit.
-INSTANCE = rf"(?<![^{_S}])(?=[^0-9{_S}]*[0-9])[^{_S}]++"
-MIN_DIGITS = 5
-CONTEXT = 64  # characters before an instance that hold the word before it
+#: Words with a digit or @.
+INSTANCE = rf"(?<![^{_S}])(?=[^0-9@{_S}]*+[0-9@])[^{_S}]++"
+#: The last word of a text that ends in white space.
+LAST = rf"(?s)^.*(?<![^{_S}])([^{_S}]++)[{_S}]++\z"
 MIN_SEEDS, MIN_SCORE, ROUNDS = 5, 0.9, 3
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 
@@ -79,31 +81,49 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def scan(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """``keep``, ``key`` (digest of the text), the base spans of each kind, and ``found``: all words with ``MIN_DIGITS`` digits and the word before each."""
+    """``keep``, ``key`` (digest of the text), the base spans of each kind, and ``found``: structs (start, end, value, left, seed).
+
+    Seeds are base spans, of any number of words, with the rest of their first and last
+    word. Candidates (of null ``seed``) are the words with a digit or @ that touch no base
+    span, and the longest runs of two or more of them. ``left`` is the word before.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = docs.select(*keep, F.md5(text.cast("binary")).alias("key"), text.alias("__t"))
-    out = out.select(*keep, "key", "__t", *[base_spans(F.col("__t"), k).alias(f"__{k}") for k in KINDS], _matches(F.col("__t"), INSTANCE).alias("__w"))
-    words = F.filter("__w", lambda m: F.length(_digits(m["value"])) >= MIN_DIGITS)
-
-    def before(m):
-        tail = F.substring(F.col("__t"), F.greatest(F.lit(1), m["start"] - CONTEXT + 1), F.least(F.lit(CONTEXT), m["start"]))
-        return F.lower(F.regexp_extract(tail, rf"([^{_S}]+)[{_S}]+$", 1))
-
-    found = F.transform(words, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), before(m).alias("left")))
+    gaps = F.split("__t", INSTANCE, -1)
+    out = out.select(*keep, "key", "__t", *[base_spans(F.col("__t"), k).alias(f"__{k}") for k in KINDS], _matches(F.col("__t"), INSTANCE).alias("__m"), F.transform(gaps, lambda g: F.lower(F.regexp_extract(g, LAST, 1))).alias("__l"))
+
+    def word(m, i):
+        near = (i > 0) & (F.get("__l", i) == "")  # only white space between it and the candidate before
+        left = F.when(near, F.lower(F.get("__m", i - 1)["value"])).otherwise(F.get("__l", i))
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), left.alias("left"), F.when(near, F.get("__m", i - 1)["end"]).alias("after"))
+
+    touches = lambda m: reduce(lambda a, b: a | b, [F.exists(f"__{k}", lambda s: (s["start"] < m["end"]) & (s["end"] > m["start"])) for k in KINDS])
+    every = [*keep, "key", "__t", *[f"__{k}" for k in KINDS]]
+    out = out.select(*every, F.transform("__m", word).alias("__w"))
+    out = out.select(*every, "__w", F.filter("__w", lambda m: ~touches(m)).alias("__f"))
+
+    def instance(first, last, seed):
+        value = F.when(first["start"] == last["start"], first["value"]).otherwise(F.substring(F.col("__t"), first["start"] + 1, last["end"] - first["start"]))
+        return F.struct(first["start"].alias("start"), last["end"].alias("end"), value.alias("value"), first["left"].alias("left"), F.lit(seed).cast("string").alias("seed"))
+
+    def seeds(kind):
+        first = lambda s: F.get(F.filter("__w", lambda m: (m["start"] <= s["start"]) & (s["start"] < m["end"])), F.lit(0))
+        last = lambda s: F.get(F.filter("__w", lambda m: (m["start"] < s["end"]) & (s["end"] <= m["end"])), F.lit(0))
+        ends = F.transform(f"__{kind}", lambda s: F.struct(first(s).alias("a"), last(s).alias("b")))
+        return F.transform(ends, lambda e: instance(e["a"], e["b"], kind))
+
+    begins = F.filter("__f", lambda m, i: ~F.coalesce((i > 0) & (F.get("__f", i - 1)["end"] == m["after"]), F.lit(False)))
+    stops = F.filter("__f", lambda m, i: ~F.coalesce(F.get("__f", i + 1)["after"] == m["end"], F.lit(False)))
+    runs = F.filter(F.zip_with(begins, stops, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda r: r["a"]["start"] < r["b"]["start"])
+    found = F.concat(*[seeds(k) for k in KINDS], F.transform("__f", lambda m: instance(m, m, None)), F.transform(runs, lambda r: instance(r["a"], r["b"], None)))
     return out.select(*keep, "key", *[f"__{k}" for k in KINDS], found.alias("found"))
 
 
 def _instances(scanned: DataFrame) -> DataFrame:
-    """Distinct texts' instances: ``key``, ``start``, ``end``, ``value``, ``pattern`` and ``seed``, the kind of the base span that starts in it, or null.
-
-    Words that lie in a base span but don't start it are left out.
-    """
-    rows = scanned.where(F.size("found") > 0).dropDuplicates(["key"]).select("key", *[f"__{k}" for k in KINDS], F.explode("found").alias("m"))
-    starts = F.coalesce(*[F.when(F.exists(f"__{k}", lambda s: (s["start"] >= F.col("m.start")) & (s["start"] < F.col("m.end"))), F.lit(k)) for k in KINDS])
-    inside = reduce(lambda a, b: a | b, [F.exists(f"__{k}", lambda s: (s["start"] < F.col("m.end")) & (s["end"] > F.col("m.start"))) for k in KINDS])
+    """Distinct texts' instances: ``key``, ``start``, ``end``, ``value``, ``pattern`` and ``seed``, the kind of the base span it holds, or null."""
+    rows = scanned.where(F.size("found") > 0).select("key", "found").dropDuplicates(["key"]).select("key", F.explode("found").alias("m"))
     shape = F.regexp_replace(F.regexp_replace("m.value", r"[0-9]", "9"), r"[A-Za-z]", "a")
-    rows = rows.select("key", F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.value").alias("value"), F.concat_ws(" ", "m.left", shape).alias("pattern"), starts.alias("seed"), inside.alias("inside"))
-    return rows.where("seed is not null or not inside").drop("inside")
+    return rows.select("key", "m.start", "m.end", "m.value", F.concat_ws(" ", "m.left", shape).alias("pattern"), "m.seed")
 
 
 def bootstrap(instances: DataFrame, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE, rounds: int = ROUNDS) -> DataFrame:
@@ -112,25 +132,26 @@ def bootstrap(instances: DataFrame, min_seeds: int = MIN_SEEDS, min_score: float
     Only patterns with ``min_seeds`` distinct seeds can ever reach it, so the graph is cut
     to them before the rounds. Hot patterns are sums and counts, combined before shuffles.
     """
-    links = instances.groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
-    strong = links.where("seed is not null").groupBy("pattern").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= min_seeds).select("pattern")
-    links = stored(links.join(strong, "pattern", "left_semi"))
+    seeds = instances.where("seed is not null").select("pattern", "value", F.col("seed").alias("kind")).distinct()
+    strong = stored(seeds.groupBy("pattern").agg(F.count_distinct("value").alias("seeds")).where(F.col("seeds") >= min_seeds).select("pattern"))
+    links = stored(instances.select("pattern", "value").join(strong, "pattern", "left_semi").distinct())
     kinds = F.array(*[F.lit(k) for k in KINDS])
-    scores = links.select("value", "seed").where("seed is not null").groupBy("value", F.col("seed").alias("kind")).agg(F.lit(1.0).alias("score"))
+    scores = stored(seeds.join(strong, "pattern", "left_semi").select("value", "kind").distinct().withColumn("score", F.lit(1.0)))
+    own = scores.select("value", "kind", F.col("score").alias("own"))
     patterns = None
     for _ in range(rounds):
         sizes = links.groupBy("pattern").agg(F.count("*").alias("n"))
         sums = links.select("pattern", "value").join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("s"))
         patterns = stored(sums.join(sizes, "pattern").select("pattern", "kind", (F.round(F.col("s") / F.col("n"), 9)).alias("score")))
-        best = links.select("pattern", "value", "seed").join(patterns, "pattern").groupBy("value", "kind").agg(F.max("score").alias("score"), F.max(F.when(F.col("seed") == F.col("kind"), 1.0)).alias("own"))
-        scores = stored(best.select("value", "kind", F.coalesce("own", "score").alias("score")))
+        best = links.join(patterns, "pattern").groupBy("value", "kind").agg(F.max("score").alias("score"))
+        scores = stored(best.join(own, ["value", "kind"], "left").select("value", "kind", F.coalesce("own", "score").alias("score")))
     chosen = patterns.where(F.col("score") >= min_score).groupBy("pattern").agg(F.max(F.struct("score", F.array_position(kinds, F.col("kind")).alias("place"), "kind"))["kind"].alias("kind"))
     return chosen
 
 
 def _added(scanned: DataFrame) -> DataFrame:
     """For each text that has any: ``key`` and ``added``, structs (kind, start, end) that the bootstrap discovered."""
-    instances = _instances(scanned)
+    instances = stored(_instances(scanned))
     chosen = bootstrap(instances)
     new = instances.where("seed is null").join(chosen, "pattern")
     return new.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("added"))
