@@ -244,6 +244,19 @@ def test_language(spark):
     assert langid.identify(df.limit(0)).count() == 0
 
 
+def test_language_learns_all(spark):
+    """Over 2,000 documents and 30,000 grams of a language, and over 1,000 languages."""
+    schema = "doc_id long, text string, lang string"
+    ids = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rng = np.random.default_rng(2)
+    letters = "".join(chr(0xAC00 + c) for c in rng.integers(0, 11_000, 40_000))
+    model = langid.train(spark.createDataFrame([(i, chr(0x4E00 + i), "zh") for i in ids] + [(ids[0], letters, "ko")], schema))
+    padded = f"^{letters}$"
+    assert 2_000 < len(ids) < langid.MAX_TRAIN and model.langs == ["ko", "zh"]
+    assert model.size == len(ids) + len({padded[i : i + 3] for i in range(len(letters))}) > 30_000 + len(ids)
+    assert len(langid.train(spark.createDataFrame([(i, "a", f"l{i}") for i in ids[:1001]], schema)).langs) == 1001
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(8)
     for _ in range(60):

@@ -16,7 +16,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailspark.llm.common import python_workers
@@ -24,10 +24,7 @@ from trailspark.llm.common import python_workers
 FOLDS, OUT = 3, 1
 PENALTY = 12.0
 #: Training documents for each language, at most about (drawn by hash of the id; all below that many).
-MAX_TRAIN = 2_000
-#: Letter grams that the model keeps for each language, the most frequent ones.
-MAX_GRAMS = 30_000
-MAX_LANGUAGES = 1_000
+MAX_TRAIN = 5_000
 MIN_SHARE = 0.01  # of a language's words that must be in a script for it to be a candidate there
 
 # First code points of script ranges, in order.
@@ -231,7 +228,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Counts over the training documents: rows with a language whose id isn't held out, thinned by hash to about ``MAX_TRAIN`` each."""
     python_workers(docs.sparkSession)
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & ~held_out(F.col("id")))
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
+    sizes = known.groupBy("lang").count()
     place = F.pmod(F.xxhash64("id", F.lit("train")), F.lit(1_000_000)) / 1_000_000
     drawn = known.join(F.broadcast(sizes), "lang").where(place * F.col("count") < MAX_TRAIN)
 
@@ -250,8 +247,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     allowed = np.zeros((len(NAMES), len(langs)), bool)
     if not langs:
         return Model([], [], np.zeros((0, 0)), np.zeros(0), allowed)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    kept = counts.where("gram not like '#%'").withColumn("rank", rank).where(F.col("rank") <= MAX_GRAMS).select("lang", "gram", "n").toArrow()
+    kept = counts.where("gram not like '#%'").select("lang", "gram", "n").toArrow()
     at = {lang: i for i, lang in enumerate(langs)}
     kinds = max(k for _, k in sums.values()) + 1
     below = np.array([sums[lang][0] + 0.5 * kinds for lang in langs])
