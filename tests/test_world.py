@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trailspark.plans import scene
 from trailspark.plans import world as w
+from trailspark.plans.trk import trk
 
 
 def clip(spark, tracks, frames=250):
@@ -59,3 +61,19 @@ def test_frames_and_tiles(spark):
 def test_offset_line(spark):
     v = spark.createDataFrame([("a", 0, 0.0, 0.0), ("a", 1, 10.0, 0.0), ("a", 2, 20.0, 0.0)], "line_id string, v int, x double, y double")
     assert {(r.x, r.y) for r in w.offset_line(v, 2.0).collect()} == {(0.0, 2.0), (10.0, 2.0), (20.0, 2.0)}
+
+
+def test_hidden_judges_all_tracks(spark):
+    """Odd and moving tracks in a zone; static ones off the road."""
+    places = {1: (5, 5), 2: (5, 5), 3: (50, 36), 4: (50, 34), 5: (50, 90)}
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in places.items() for _ in range(3)], "track_id long, x double, y double")
+    static = spark.createDataFrame([(1,), (3,), (4,)], "track_id long")
+    got = scene.hidden(df, [[(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]], static, [[(0.0, 0.0), (100.0, 0.0)]], 10.0)
+    assert {r.track_id for r in got.collect()} == {1, 2, 3}
+
+
+def test_editor_hides_the_hidden(spark):
+    sf = "/root/testdata/sf0.001"
+    hide = {r.track_id for r in scene.hidden_tracks(spark, sf).collect()}
+    every = {r.track_id for r in trk(spark, sf).select("track_id").distinct().collect()}
+    assert any(i % 2 for i in hide) and {r.track_id for r in w.editor_documents(spark, sf).collect()} == {i for i in every - hide if i >= 0}

@@ -68,3 +68,4 @@ class Focus:
     brake_out: float = 2.2
     hold_s: float = 0.2
     lateral_px: float = 25.0
+    off_road: float = 3.5  # car lengths

@@ -11,7 +11,7 @@ from trailspark.functions import geometry as g
 from trailspark.operators import joins, kernels, sequences, windows
 from trailspark.operators.lineage import python_workers
 from trailspark.params import Focus
-from trailspark.plans.kinematics import STATION, simple_states, with_station
+from trailspark.plans.kinematics import POLYLINE, STATION, simple_states, static_tracks, with_station
 from trailspark.plans.trk import HIGH, LOW, TRK, query, rounded, trk
 
 
@@ -30,12 +30,18 @@ def guide(samples: DataFrame, step: float, least: int = 6, half: int = 3) -> Dat
     return one.select("v", *smooth).where("x is not null")
 
 
-def hidden(samples: DataFrame, zones: list[list[tuple[float, float]]], static: DataFrame) -> DataFrame:
-    """Static tracks whose median place is in one of the zones."""
-    m = samples.join(static.select("track_id"), "track_id", "left_semi").groupBy("track_id").agg(F.percentile("x", F.lit(0.5)).alias("x"), F.percentile("y", F.lit(0.5)).alias("y"))
+def hidden(samples: DataFrame, zones: list[list[tuple[float, float]]], static: DataFrame | None = None, roads: list[list[tuple[float, float]]] = (), car: float = 0.0) -> DataFrame:
+    """Tracks whose median place is in one of the zones, and ``static`` ones whose median place is farther than 3.5 car lengths from every road."""
+    m = samples.groupBy("track_id").agg(F.percentile("x", F.lit(0.5)).alias("x"), F.percentile("y", F.lit(0.5)).alias("y"))
     hit = F.lit(False)
     for z in zones:
         hit = hit | g.in_polygon(F.col("x"), F.col("y"), z)
+    if static is not None and roads:
+        off = F.lit(True)
+        for r in roads:
+            off = off & (joins.station(F.col("x"), F.col("y"), r)["d"] > Focus.off_road * car)
+        m = m.join(static.select("track_id").distinct().withColumn("still", F.lit(True)), "track_id", "left")
+        hit = hit | (F.coalesce("still", F.lit(False)) & off)
     return m.where(hit).select("track_id")
 
 
@@ -137,8 +143,14 @@ ZONES = [[(0.0, 0.0), (80.0, 0.0), (80.0, 60.0), (0.0, 60.0)], [(200.0, 40.0), (
 SELECT track_id FROM m WHERE ((y > 0) <> (y > 60) AND x < 80 AND x >= 0) OR ((y > 40) <> (y > 100) AND x < 300 AND x >= 200)"""
 )
 def hidden_ids(spark, sf_dir):
-    df = trk(spark, sf_dir)
-    return hidden(df, ZONES, df.where("track_id % 2 = 0").select("track_id").distinct())
+    """The zones' tracks of even id, as the SQL has them; ``hidden_tracks`` judges all."""
+    return hidden(trk(spark, sf_dir).where("track_id % 2 = 0"), ZONES)
+
+
+@query()
+def hidden_tracks(spark, sf_dir):
+    """All tracks in a zone, and the static ones off the road."""
+    return hidden(trk(spark, sf_dir), ZONES, static_tracks(spark, sf_dir), [POLYLINE], 25.0)
 
 
 @query(

@@ -13,6 +13,7 @@ from trailspark.functions import geometry as g
 from trailspark.operators import kernels, sequences, windows
 from trailspark.operators.lineage import python_workers, stored
 from trailspark.params import Kinematics
+from trailspark.plans.scene import hidden_tracks
 from trailspark.plans.trk import query, rounded, trk
 
 H_COLS = [f"h{r}{c}" for r in (1, 2, 3) for c in (1, 2, 3)]
@@ -233,4 +234,4 @@ def displayed(spark, sf_dir):
 def editor_documents(spark, sf_dir):
     df = trk(spark, sf_dir)
     states = df.select("track_id", "k", F.when(F.col("speed") < 20, "stopped").otherwise("rolling").alias("state"))
-    return editor_payload(df, states, df.where("track_id % 7 = 0").select("track_id").distinct())
+    return editor_payload(df, states, hidden_tracks(spark, sf_dir))
