@@ -77,3 +77,18 @@ def test_editor_hides_the_hidden(spark):
     hide = {r.track_id for r in scene.hidden_tracks(spark, sf).collect()}
     every = {r.track_id for r in trk(spark, sf).select("track_id").distinct().collect()}
     assert any(i % 2 for i in hide) and {r.track_id for r in w.editor_documents(spark, sf).collect()} == {i for i in every - hide if i >= 0}
+
+
+def test_stitch_refuses_far_fragments(spark):
+    """The tail must end within 0.8 car lengths of the predicted place, or 0.3 of the way driven."""
+    rows = [(1, 10.0, 20.0, 100.0, 200.0, 0.0, 0.0, 10.0), (2, 0.0, 8.0, 0.0, 82.0, 0.0, 0.0, 10.0), (3, 0.0, 8.0, 0.0, 800.0, 0.0, 0.0, 10.0), (4, 40.0, 50.0, 900.0, 910.0, 0.0, 0.0, 0.0), (5, 30.0, 38.0, 0.0, 0.0, 0.0, 0.0, 0.0)]
+    tracks = spark.createDataFrame(rows, "track_id long, t0 double, t1 double, s0 double, s1 double, lat0 double, lat1 double, v double")
+    pairs = scene.stitch_candidates(tracks, 3.0)
+    assert {(r.head, r.tail) for r in pairs.collect()} == {(1, 2), (1, 3), (4, 5)}
+    assert {(r.head, r.tail) for r in scene.stitch(pairs.withColumn("clip", F.lit("a")), 10.0).collect()} == {(1, 2)}
+
+
+def test_entry_speed_is_that_of_the_first_steps(spark):
+    rows = [(1, k, float(k), 3.0 * min(k, 10), 1.0 * k) for k in range(20)] + [(2, 0, 0.0, 5.0, 5.0)]
+    got = scene.entry_speeds(spark.createDataFrame(rows, "track_id long, k long, t double, s double, off double"))
+    assert {(r.track_id, r.v, r.w) for r in got.collect()} == {(1, 3.0, 1.0), (2, 0.0, 0.0)}

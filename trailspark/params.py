@@ -69,3 +69,5 @@ class Focus:
     hold_s: float = 0.2
     lateral_px: float = 25.0
     off_road: float = 3.5  # car lengths
+    reach_cars: float = 0.8
+    reach_share: float = 0.3  # of the way driven in the gap

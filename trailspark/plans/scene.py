@@ -48,24 +48,43 @@ def hidden(samples: DataFrame, zones: list[list[tuple[float, float]]], static: D
 def stitch_candidates(tracks: DataFrame, max_gap: float, max_lateral: float = Focus.lateral_px) -> DataFrame:
     """Pairs (head, tail) where the tail ends before the head begins, near in time, lateral place and predicted station.
 
-    ``tracks`` has track_id, t0, t1, s0, s1, lat0, lat1 and v (entry speed along the line).
-    The pairs come from an equi-join on buckets of time.
+    ``tracks`` has track_id, t0, t1, s0, s1, lat0, lat1, v (entry speed along the line) and
+    may have w (entry speed across it). ``far`` is the distance of the tail's end from the
+    predicted place, ``speed`` that of the entry. The pairs come from an equi-join on
+    buckets of time.
     """
-    head = tracks.select(F.col("track_id").alias("head"), F.col("t0").alias("ht"), F.col("s0").alias("hs"), F.col("lat0").alias("hl"), F.col("v").alias("hv"))
+    tracks = tracks if "w" in tracks.columns else tracks.withColumn("w", F.lit(0.0))
+    head = tracks.select(F.col("track_id").alias("head"), F.col("t0").alias("ht"), F.col("s0").alias("hs"), F.col("lat0").alias("hl"), F.col("v").alias("hv"), F.col("w").alias("hw"))
     tail = tracks.select(F.col("track_id").alias("tail"), F.col("t1").alias("tt"), F.col("s1").alias("ts"), F.col("lat1").alias("tl"))
     pairs = joins.band(head, tail, "ht", "tt", max_gap, 0.0, max_gap).where((F.col("head") != F.col("tail")) & (F.col("tt") < F.col("ht")) & (F.abs(F.col("hl") - F.col("tl")) <= max_lateral))
     gap = F.col("ht") - F.col("tt")
-    return pairs.select("head", "tail", gap.alias("gap"), F.abs(F.col("hs") - F.col("hv") * gap - F.col("ts")).alias("miss"))
+    miss = F.abs(F.col("hs") - F.col("hv") * gap - F.col("ts"))
+    return pairs.select("head", "tail", gap.alias("gap"), miss.alias("miss"), F.hypot(miss, F.col("hl") - F.col("hw") * gap - F.col("tl")).alias("far"), F.hypot("hv", "hw").alias("speed"), F.col("ht").alias("t0"))
 
 
-def stitch(candidates: DataFrame, clip: str = "clip") -> DataFrame:
-    """One tail for each head and one head for each tail, heads in order, the nearest tail first. One clip's candidates at a time."""
+def entry_speeds(samples: DataFrame, most: int = 10) -> DataFrame:
+    """Speeds v along and w across the line of each track over its first ``most`` steps at most (0 for a track of one sample)."""
+    w = windows.along("track_id", "k")
+    first = samples.withColumn("__i", F.row_number().over(w)).where(F.col("__i") <= most + 1)
+    ends = first.groupBy("track_id").agg(F.min_by(F.struct("t", "s", "off"), "k").alias("a"), F.max_by(F.struct("t", "s", "off"), "k").alias("b"))
+    speed = lambda c: F.coalesce(F.try_divide(F.col(f"b.{c}") - F.col(f"a.{c}"), F.col("b.t") - F.col("a.t")), F.lit(0.0))
+    return ends.select("track_id", speed("s").alias("v"), speed("off").alias("w"))
+
+
+def within_reach(candidates: DataFrame, car: float) -> DataFrame:
+    """Candidates whose tail ends no farther from the predicted place than 0.8 car lengths or 0.3 of the way driven in the gap."""
+    return candidates.where(F.col("far") <= F.greatest(F.lit(Focus.reach_cars * car), Focus.reach_share * F.col("speed") * F.col("gap")))
+
+
+def stitch(candidates: DataFrame, car: float, clip: str = "clip") -> DataFrame:
+    """One tail for each head and one head for each tail, heads in order of time, the nearest tail first. One clip's candidates at a time."""
     python_workers(candidates.sparkSession)
+    candidates = within_reach(candidates, car)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         used: set = set()
         out = []
-        for head, group in rows.sort_values(["head", "miss", "tail"]).groupby("head", sort=True):
+        for (_, head), group in rows.sort_values(["t0", "head", "far", "tail"]).groupby(["t0", "head"], sort=True):
             for tail in group["tail"]:
                 if tail not in used:
                     used.add(tail)
@@ -166,15 +185,21 @@ def guide_path(spark, sf_dir):
 SELECT h.track_id AS head, t.track_id AS tail, round(h.t0 + 2592000 - t.t1, 3) AS gap, round(abs(h.s0 - t.s1), 6) AS miss FROM a h JOIN a t ON h.track_id <> t.track_id AND t.t1 < h.t0 + 2592000 AND h.t0 + 2592000 - t.t1 <= 259200 AND abs(h.lat0 - t.lat1) <= 25"""
 )
 def stitch_pairs(spark, sf_dir):
-    """Candidates, heads being taken 30 days later so that some tracks end before others begin."""
-    s = with_station(trk(spark, sf_dir))
-    a = s.groupBy("track_id").agg((F.min("t") + 2592000.0).alias("t0"), F.max("t").alias("t1"), F.min_by("s", "k").alias("s0"), F.max_by("s", "k").alias("s1"), F.min_by("off", "k").alias("lat0"), F.max_by("off", "k").alias("lat1"), F.lit(0.0).alias("v"))
+    """Candidates, heads being taken 30 days later so that some tracks end before others begin. As in the SQL, none moves at its entry."""
+    a = _fragments(with_station(trk(spark, sf_dir))).withColumn("v", F.lit(0.0))
     return stitch_candidates(a, 259200.0).select("head", "tail", F.round("gap", 3).alias("gap"), F.round("miss", 6).alias("miss"))
 
 
+def _fragments(s):
+    return s.groupBy("track_id").agg((F.min("t") + 2592000.0).alias("t0"), F.max("t").alias("t1"), F.min_by("s", "k").alias("s0"), F.max_by("s", "k").alias("s1"), F.min_by("off", "k").alias("lat0"), F.max_by("off", "k").alias("lat1"))
+
+
 @query()
 def stitched(spark, sf_dir):
-    return stitch(stitch_pairs(spark, sf_dir).withColumn("clip", F.lit("a"))).select("head", "tail")
+    """The candidates with real entry speeds and within reach, one to one."""
+    s = with_station(trk(spark, sf_dir))
+    a = _fragments(s).join(entry_speeds(s), "track_id")
+    return stitch(stitch_candidates(a, 259200.0).withColumn("clip", F.lit("a")), 25.0).select("head", "tail")
 
 
 @query()
