@@ -1,10 +1,13 @@
 """The kinematics stage and its neighbours on micro fixtures."""
 
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trailspark.plans import scene
+from trailspark.params import Quality
+from trailspark.plans import fields, scene
 from trailspark.plans import world as w
 from trailspark.plans.trk import trk
 
@@ -92,3 +95,11 @@ def test_entry_speed_is_that_of_the_first_steps(spark):
     rows = [(1, k, float(k), 3.0 * min(k, 10), 1.0 * k) for k in range(20)] + [(2, 0, 0.0, 5.0, 5.0)]
     got = scene.entry_speeds(spark.createDataFrame(rows, "track_id long, k long, t double, s double, off double"))
     assert {(r.track_id, r.v, r.w) for r in got.collect()} == {(1, 3.0, 1.0), (2, 0.0, 0.0)}
+
+
+def test_wave_fits_boots_in_full(spark, monkeypatch):
+    seen = {}
+    whole = fields.wave_fit
+    monkeypatch.setattr(fields, "wave_fit", lambda *a, **b: seen.update(inspect.signature(whole).bind(*a, **b).arguments) or whole(*a, **b))
+    assert fields.wave_fits(spark, "/root/testdata/sf0.001").columns
+    assert seen.get("boots", inspect.signature(whole).parameters["boots"].default) == Quality.boots == 2000

@@ -181,7 +181,7 @@ def wave_fits(spark, sf_dir):
     df = with_state(trk(spark, sf_dir))
     onsets = sequences.stop_onsets(df, sequences.runs(df, "stopped"), LOW, 50.0, 3600.0)
     events = with_station(onsets).select(F.lit("all").alias("wave"), "t", "s")
-    return wave_fit(events, front, 20.0, boots=100)
+    return wave_fit(events, front, 20.0)
 
 
 @query()
