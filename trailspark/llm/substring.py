@@ -1,13 +1,12 @@
-"""Substring dedup: documents parsed into factors relative to an index of all documents.
+"""Substring dedup: windows of words that occur earlier in the corpus are marked.
 
-Relative Lempel-Ziv, made for a cluster. The reference is the whole corpus, cut into
-blocks at winnowed anchors: of the word grams inside each window of ``window`` words the
+This stands in for a greedy relative Lempel-Ziv parse, which would take a quadratic pass of
+blocks over the corpus. The corpus is indexed by winnowed anchors: of the word grams inside each window of ``window`` words the
 one with the least hash, so equal windows have equal anchors wherever they stand. The
-index holds each anchor's hash; an anchor of only one document can start no factor and
-drops out. Each document is then parsed from left to right: a factor begins at the first
-window that the index has from an earlier place and runs on as long as the next window
-has one too. Factors are therefore never shorter than a window. Windows across factor
-boundaries are checked like all others, by their own hashes, so the spans are whole.
+index holds each anchor's hash; an anchor of only one document can mark no window and
+drops out. The windows of the others are grouped by their own hashes, and all but the first
+occurrence of each are marked. No factor is parsed: a run of marked windows is one span,
+never shorter than a window, and may come from many earlier places.
 
 Shuffled are the anchors (one in about 8 words), the windows of anchors that repeat, and
 the texts once. Every grouping is a minimum or a count and is combined before its shuffle.
