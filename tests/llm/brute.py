@@ -72,6 +72,80 @@ def pii_digest(spans):
     return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k in KINDS for a, b in spans[k]).encode()).hexdigest()
 
 
+def pii_instances(text):
+    """(start, end, value, left, right, kind or None) of the base spans widened to words, and of the free words with a digit or @ and their runs."""
+    text = text or ""
+    every = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    spans = [(a, b, k) for k, found in pii(text).items() for a, b in found]
+    hot = [i for i, w in enumerate(every) if re.search("[0-9@]", w[2])]
+    free = [i for i in hot if not any(a < every[i][1] and b > every[i][0] for a, b, _ in spans)]
+    pairs = [(next(i for i in hot if every[i][0] <= a < every[i][1]), next(i for i in hot if every[i][0] < b <= every[i][1]), k) for a, b, k in spans]
+    pairs += [(i, i, None) for i in free]
+    run = []
+    for i in [*free, None]:
+        if run and i != run[-1] + 1:
+            pairs += [(run[0], run[-1], None)] if len(run) > 1 else []
+            run = []
+        run.append(i)
+    out = []
+    for i, j, k in pairs:
+        value = text[every[i][0] : every[j][1]] if k else " ".join(w[2] for w in every[i : j + 1])
+        out.append((every[i][0], every[j][1], value, every[i - 1][2].lower() if i else "^", every[j + 1][2].lower() if j + 1 < len(every) else "$", k))
+    return out
+
+
+def pii_patterns(value, left, right):
+    shape = re.sub(r"[^\W\d_]+", "a", re.sub("[0-9]+", "9", value))
+    n = len(re.findall("[0-9]", value))
+    rough = ("a" if re.search(r"[^\W\d_]", value) else "") + ("" if n == 0 else "9" if n < 5 else "99" if n < 9 else "999")
+    return [f"L {left} {rough}", f"B {left} {rough} {right}", f"S {left} {shape}", f"R {shape} {right}"]
+
+
+def pii_accepted(texts, rounds=3):
+    """pattern -> (kind, score)."""
+    seeds, values = {}, {}
+    for t in set(texts):
+        for _, _, v, left, right, k in pii_instances(t):
+            for p in pii_patterns(v, left, right):
+                values.setdefault(p, set()).add(v)
+                if k:
+                    seeds.setdefault((p, k), set()).add(v)
+    own = {}
+    for (_, k), vs in seeds.items():
+        for v in vs:
+            own.setdefault(v, {})[k] = 1.0
+    labels = own
+    for _ in range(rounds):
+        accepted = {}
+        for (p, k), vs in seeds.items():
+            score = round(sum(labels.get(v, {}).get(k, 0.0) for v in values[p]) / len(values[p]), 9)
+            if len(vs) >= 5 and score >= 0.9:
+                accepted[p, k] = score
+        labels = {v: dict(x) for v, x in own.items()}
+        for (p, k), score in accepted.items():
+            for v in values[p] - set(own):
+                of = labels.setdefault(v, {})
+                of[k] = max(of.get(k, 0.0), score)
+    out = {}
+    for (p, k), score in accepted.items():
+        out[p] = max(out.get(p, (0, -9, "")), (score, -list(KINDS).index(k), k))
+    return out
+
+
+def pii_added(texts):
+    """For each text the spans (kind, start, end) found by accepted patterns only."""
+    accepted = pii_accepted(texts)
+    out = []
+    for t in texts:
+        best = {}
+        for a, b, v, left, right, k in pii_instances(t):
+            hits = [accepted[p] for p in pii_patterns(v, left, right) if p in accepted]
+            if k is None and hits:
+                best[a, b] = max(hits)[2]
+        out.append({(k, a, b) for (a, b), k in best.items() if not any((x, y) != (a, b) and x <= a and b <= y for x, y in best)})
+    return out
+
+
 def dedup(docs, window=20):
     """docs: (id, text) in the order of id; per document (n_words, n_removed, digest)."""
     seen, out = {}, []

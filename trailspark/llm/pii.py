@@ -1,21 +1,27 @@
 """PII: base patterns with checks, widened by bootstrapped contextual extraction. Built-in functions only.
 
-Base spans come from one regular expression for each kind and a check of each match. Their
-surroundings then seed the bootstrap: whole base spans with the rest of the words they touch
-are seeds; words with a digit or @ that touch none, and longest runs of such words, are
-candidates. The word before an instance with its shape (digits as 9, letters as a) is a
-lexical pattern.
-Spark scores the graph of patterns and instances by turns: a pattern of a kind scores the
-share of its instances that are of the kind, an instance the best score of its patterns.
-Patterns with enough distinct seeds and a high score discover identifiers that no base
-pattern found; they become spans of the pattern's kind where they touch no base span.
+Base spans come from one regular expression for each kind and a check of each match. They
+seed the bootstrap: whole base spans with the rest of the words they touch are the seeds;
+words with a digit or @ that touch none, and the longest runs of such words, are candidates.
+
+The surroundings of an instance are its lexical patterns: the word before with the rough
+form (letters or not, how many digits), the words before and after with the rough form,
+and the word before, or after, with the shape (runs of digits as 9, of letters as a).
+So a pattern says nothing of an identifier's exact characters, and forms that no
+expression foresaw, such as ``user(at)host.com`` or a number with other separators, can
+be instances of a pattern that seeds have made.
+
+Spark scores the graph of patterns and instances by turns. A pattern scores, for a kind,
+the share of its distinct instances that are of the kind: seeds count 1, instances of
+accepted patterns the best score of these, all others 0. Patterns with enough distinct seeds
+and a high score are accepted, and so may raise others in the next round; a pattern
+never raises itself above the bar, as only accepted ones pass on scores. Candidates under an
+accepted pattern become spans of its kind; they never touch a base span.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailspark.llm.common import looked_up, stored
@@ -28,29 +34,59 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: A character that every match has.
+NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 _S = r"\x20\x09-\x0D"
 #: Words with a digit or @.
 INSTANCE = rf"(?<![^{_S}])(?=[^0-9@{_S}]*+[0-9@])[^{_S}]++"
-#: The last word of a text that ends in white space.
+#: The last word of a text that ends in white space, the first of one that begins with it.
 LAST = rf"(?s)^.*(?<![^{_S}])([^{_S}]++)[{_S}]++\z"
+FIRST = rf"^[{_S}]++([^{_S}]++)"
 MIN_SEEDS, MIN_SCORE, ROUNDS = 5, 0.9, 3
 _SPAN = "array<struct<start:int,end:int,value:string>>"
+_WORD = "array<struct<start:int,end:int,value:string,left:string,right:string,after:int>>"
+_FOUND = "array<struct<start:int,end:int,value:string,left:string,right:string,seed:string>>"
+
+
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` and its lambdas use it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _blocks(a: Column) -> Column:
+    """An array in slices of about the square root of its size, so that folds and look-ups within slices cost its power 1.5."""
+    size = F.greatest(F.ceil(F.sqrt(F.size(a))).cast("int"), F.lit(1))
+    return F.when(F.size(a) > 0, _let(size, lambda n: F.transform(F.sequence(F.lit(0), ((F.size(a) - 1) / n).cast("int")), lambda b: F.slice(a, b * n + 1, n)))).otherwise(F.slice(F.array(a), 1, 0))
+
+
+def _fold(a: Column, zero: Column, f) -> Column:
+    """``zero`` and the results of ``f`` over ever more of an array."""
+    return F.aggregate(a, F.array(zero), lambda out, x: F.concat(out, F.array(f(F.element_at(out, -1), x))))
+
+
+def _running(a: Column, zero: Column, f) -> Column:
+    """For each element of an array the result of the associative ``f`` over those before it, ``zero`` for the first."""
+
+    def of(blocks):
+        bases = _fold(F.transform(blocks, lambda b: F.aggregate(b, zero, f)), zero, f)
+        return F.flatten(F.zip_with(blocks, F.slice(bases, 1, F.size(blocks)), lambda b, base: F.slice(_fold(b, base, f), 1, F.size(b))))
+
+    return _let(_blocks(a), of)
 
 
 def _matches(text: Column, pattern: str) -> Column:
     """Structs (start, end, value) of the leftmost non-overlapping matches, in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    steps = F.arrays_zip(F.transform(gaps, lambda g: F.length(g)).alias("gap"), F.concat(found, F.array(F.lit(None).cast("string"))).alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
-    def add(state, step):
-        begin = state["at"] + step["gap"]
-        end = begin + F.coalesce(F.length(step["value"]), F.lit(0))
-        new = F.when(step["value"].isNotNull(), F.array(F.struct(begin.alias("start"), end.alias("end"), step["value"].alias("value")))).otherwise(F.array().cast(_SPAN))
-        return F.struct(end.alias("at"), F.concat(state["out"], new).alias("out"))
+    def of(p):
+        gap = F.transform(p["gaps"], lambda g: F.length(g))
+        return _let(F.struct(p["found"].alias("found"), gap.alias("gap")), place)
 
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(steps, start, add)["out"]).otherwise(F.array().cast(_SPAN))
+    def place(p):
+        steps = F.zip_with(p["found"], F.slice(p["gap"], 1, F.size(p["found"])), lambda v, g: F.length(v) + g)
+        return _let(F.struct(p["found"].alias("found"), p["gap"].alias("gap"), _let(steps, lambda a: _running(a, F.lit(0), lambda x, y: x + y)).alias("at")), lambda q: F.transform(q["found"], lambda v, i: _let(F.get(q["at"], i) + F.get(q["gap"], i), lambda s: F.struct(s.alias("start"), (s + F.length(v)).alias("end"), v.alias("value")))))
+
+    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+    return F.when(F.regexp_like(text, F.lit(pattern)), _let(parts, of)).otherwise(F.array().cast(_SPAN))
 
 
 def _digits(value: Column) -> Column:
@@ -77,84 +113,147 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 def base_spans(text: Column, kind: str) -> Column:
-    return F.filter(_matches(text, PATTERNS[kind]), lambda m: _valid(kind, m["value"]))
+    found = F.filter(_matches(text, PATTERNS[kind]), lambda m: _valid(kind, m["value"]))
+    return F.when(F.contains(text, F.lit(NEEDS[kind])), found).otherwise(F.array().cast(_SPAN)) if kind in NEEDS else found
+
+
+def may_hold(text: Column) -> Column:
+    """Whether a text has a digit or @, without which it has no instance of any kind."""
+    return F.regexp_like(text, F.lit("[0-9@]"))
+
+
+def _words(text: Column) -> Column:
+    """The words with a digit or @ as structs (start, end, value, left, right, after), lower-cased neighbours and the end of such a word right before."""
+
+    def of(p):
+        def word(m, i):
+            near = (i > 0) & (F.get(p["left"], i) == "")
+            next_near = (F.get(p["right"], i + 1) == "") & (i + 1 < F.size(p["m"]))
+            left = F.when(near, F.lower(F.get(p["m"], i - 1)["value"])).when(F.get(p["left"], i) == "", "^").otherwise(F.get(p["left"], i))
+            right = F.when(next_near, F.lower(F.get(p["m"], i + 1)["value"])).when(F.get(p["right"], i + 1) == "", "$").otherwise(F.get(p["right"], i + 1))
+            return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), left.alias("left"), right.alias("right"), F.when(near, F.get(p["m"], i - 1)["end"]).alias("after"))
+
+        return F.transform(p["m"], word)
+
+    def gaps(p):
+        return _let(F.struct(p["m"].alias("m"), F.transform(p["gaps"], lambda g: F.lower(F.regexp_extract(g, LAST, 1))).alias("left"), F.transform(p["gaps"], lambda g: F.lower(F.regexp_extract(g, FIRST, 1))).alias("right")), of)
+
+    return _let(F.struct(_matches(text, INSTANCE).alias("m"), F.split(text, INSTANCE, -1).alias("gaps")), gaps)
+
+
+def _found(words: Column, spans: Column) -> Column:
+    """Seeds, one for each of ``spans`` (sorted, with ``kind`` and ``value``), and candidates among ``words``."""
+
+    def outside(block):
+        low, high = F.get(block, F.lit(0))["start"], F.element_at(block, -1)["end"]
+        near = F.filter(spans, lambda s: (s["end"] > low) & (s["start"] < high))
+        return _let(near, lambda these: F.filter(block, lambda m: ~F.exists(these, lambda s: (s["start"] < m["end"]) & (s["end"] > m["start"]))))
+
+    def seeds(block):
+        low, high = F.get(block, F.lit(0))["start"], F.array_max(F.transform(block, lambda s: s["end"]))
+        near = F.filter(words, lambda m: (m["end"] > low) & (m["start"] < high))
+
+        def whole(these):
+            first = lambda s: F.get(F.filter(these, lambda m: (m["start"] <= s["start"]) & (s["start"] < m["end"])), F.lit(0))
+            last = lambda s: F.get(F.filter(these, lambda m: (m["start"] < s["end"]) & (s["end"] <= m["end"])), F.lit(0))
+            ends = F.transform(block, lambda s: F.struct(first(s).alias("a"), last(s).alias("b"), s.alias("s")))
+
+            def seed(e):
+                value = F.concat(F.substring(e["a"]["value"], F.lit(1), e["s"]["start"] - e["a"]["start"]), e["s"]["value"], F.substring(e["b"]["value"], e["s"]["end"] - e["b"]["start"] + 1, e["b"]["end"] - e["s"]["end"]))
+                return F.struct(e["a"]["start"].alias("start"), e["b"]["end"].alias("end"), value.alias("value"), e["a"]["left"].alias("left"), e["b"]["right"].alias("right"), e["s"]["kind"].alias("seed"))
+
+            return F.transform(ends, seed)
+
+        return _let(near, whole)
+
+    def candidate(first, last, value):
+        return F.struct(first["start"].alias("start"), last["end"].alias("end"), value.alias("value"), first["left"].alias("left"), last["right"].alias("right"), F.lit(None).cast("string").alias("seed"))
+
+    def candidates(free):
+        numbered = F.transform(free, lambda m, i: F.struct(m.alias("m"), i.alias("i")))
+        begins = F.filter(numbered, lambda n: ~F.coalesce((n["i"] > 0) & (F.get(free, n["i"] - 1)["end"] == n["m"]["after"]), F.lit(False)))
+        stops = F.filter(numbered, lambda n: ~F.coalesce(F.get(free, n["i"] + 1)["after"] == n["m"]["end"], F.lit(False)))
+        runs = F.filter(F.zip_with(begins, stops, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda r: r["a"]["i"] < r["b"]["i"])
+        joined = lambda r: F.array_join(F.transform(F.slice(free, r["a"]["i"] + 1, r["b"]["i"] - r["a"]["i"] + 1), lambda m: m["value"]), " ")
+        return F.concat(F.transform(free, lambda m: candidate(m, m, m["value"])), F.transform(runs, lambda r: candidate(r["a"]["m"], r["b"]["m"], joined(r))))
+
+    free = F.flatten(F.transform(_blocks(words), outside)).cast(_WORD)
+    return F.concat(F.flatten(F.transform(_blocks(spans), seeds)).cast(_FOUND), _let(free, candidates).cast(_FOUND))
 
 
 def scan(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """``keep``, ``key`` (digest of the text), the base spans of each kind, and ``found``: structs (start, end, value, left, seed).
+    """``keep``, ``key`` (digest of the text), the base spans of each kind, and ``found``: structs (start, end, value, left, right, seed).
 
     Seeds are base spans, of any number of words, with the rest of their first and last
     word. Candidates (of null ``seed``) are the words with a digit or @ that touch no base
-    span, and the longest runs of two or more of them. ``left`` is the word before.
+    span, and the longest runs of two or more of them (joined by single spaces).
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.select(*keep, F.md5(text.cast("binary")).alias("key"), text.alias("__t"))
-    gaps = F.split("__t", INSTANCE, -1)
-    out = out.select(*keep, "key", "__t", *[base_spans(F.col("__t"), k).alias(f"__{k}") for k in KINDS], _matches(F.col("__t"), INSTANCE).alias("__m"), F.transform(gaps, lambda g: F.lower(F.regexp_extract(g, LAST, 1))).alias("__l"))
-
-    def word(m, i):
-        near = (i > 0) & (F.get("__l", i) == "")  # only white space between it and the candidate before
-        left = F.when(near, F.lower(F.get("__m", i - 1)["value"])).otherwise(F.get("__l", i))
-        return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), left.alias("left"), F.when(near, F.get("__m", i - 1)["end"]).alias("after"))
+    out = docs.select(*keep, F.md5(text.cast("binary")).alias("key"), text.alias("__t"), may_hold(text).alias("__may"))
+    none = F.array().cast(_SPAN)
+    out = out.select(*keep, "key", *[F.when(F.col("__may"), base_spans(F.col("__t"), k)).otherwise(none).alias(f"__{k}") for k in KINDS], F.when(F.col("__may"), _words(F.col("__t"))).otherwise(F.array().cast(_WORD)).alias("__w"))
 
-    touches = lambda m: reduce(lambda a, b: a | b, [F.exists(f"__{k}", lambda s: (s["start"] < m["end"]) & (s["end"] > m["start"])) for k in KINDS])
-    every = [*keep, "key", "__t", *[f"__{k}" for k in KINDS]]
-    out = out.select(*every, F.transform("__m", word).alias("__w"))
-    out = out.select(*every, "__w", F.filter("__w", lambda m: ~touches(m)).alias("__f"))
+    def named(kind):
+        return F.transform(f"__{kind}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value")))
 
-    def instance(first, last, seed):
-        value = F.when(first["start"] == last["start"], first["value"]).otherwise(F.substring(F.col("__t"), first["start"] + 1, last["end"] - first["start"]))
-        return F.struct(first["start"].alias("start"), last["end"].alias("end"), value.alias("value"), first["left"].alias("left"), F.lit(seed).cast("string").alias("seed"))
+    out = out.withColumn("__s", F.array_sort(F.concat(*[named(k) for k in KINDS])))
+    found = _let(F.struct(F.col("__w").alias("w"), F.col("__s").alias("s")), lambda p: _found(p["w"], p["s"]))
+    return out.select(*keep, "key", *[f"__{k}" for k in KINDS], F.when(F.size("__w") > 0, found).otherwise(F.array().cast(_FOUND)).alias("found"))
 
-    def seeds(kind):
-        first = lambda s: F.get(F.filter("__w", lambda m: (m["start"] <= s["start"]) & (s["start"] < m["end"])), F.lit(0))
-        last = lambda s: F.get(F.filter("__w", lambda m: (m["start"] < s["end"]) & (s["end"] <= m["end"])), F.lit(0))
-        ends = F.transform(f"__{kind}", lambda s: F.struct(first(s).alias("a"), last(s).alias("b")))
-        return F.transform(ends, lambda e: instance(e["a"], e["b"], kind))
 
-    begins = F.filter("__f", lambda m, i: ~F.coalesce((i > 0) & (F.get("__f", i - 1)["end"] == m["after"]), F.lit(False)))
-    stops = F.filter("__f", lambda m, i: ~F.coalesce(F.get("__f", i + 1)["after"] == m["end"], F.lit(False)))
-    runs = F.filter(F.zip_with(begins, stops, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda r: r["a"]["start"] < r["b"]["start"])
-    found = F.concat(*[seeds(k) for k in KINDS], F.transform("__f", lambda m: instance(m, m, None)), F.transform(runs, lambda r: instance(r["a"], r["b"], None)))
-    return out.select(*keep, "key", *[f"__{k}" for k in KINDS], found.alias("found"))
+def patterns_of(value: Column, left: Column, right: Column) -> Column:
+    """The lexical patterns of an instance, as strings."""
+    shape = F.regexp_replace(F.regexp_replace(value, r"[0-9]+", "9"), r"\p{L}+", "a")
+    n = F.length(_digits(value))
+    rough = F.concat(F.when(F.regexp_like(value, F.lit(r"\p{L}")), "a").otherwise(""), F.when(n == 0, "").when(n < 5, "9").when(n < 9, "99").otherwise("999"))
+    return F.array(F.concat(F.lit("L "), left, F.lit(" "), rough), F.concat(F.lit("B "), left, F.lit(" "), rough, F.lit(" "), right), F.concat(F.lit("S "), left, F.lit(" "), shape), F.concat(F.lit("R "), shape, F.lit(" "), right))
 
 
 def _instances(scanned: DataFrame) -> DataFrame:
-    """Distinct texts' instances: ``key``, ``start``, ``end``, ``value``, ``pattern`` and ``seed``, the kind of the base span it holds, or null."""
+    """Distinct texts' instances: ``key``, ``start``, ``end``, ``value``, ``patterns`` and ``seed``, the kind of the base span it holds, or null."""
     rows = scanned.where(F.size("found") > 0).select("key", "found").dropDuplicates(["key"]).select("key", F.explode("found").alias("m"))
-    shape = F.regexp_replace(F.regexp_replace("m.value", r"[0-9]", "9"), r"[A-Za-z]", "a")
-    return rows.select("key", "m.start", "m.end", "m.value", F.concat_ws(" ", "m.left", shape).alias("pattern"), "m.seed")
+    return rows.select("key", "m.start", "m.end", "m.value", patterns_of(F.col("m.value"), F.col("m.left"), F.col("m.right")).alias("patterns"), "m.seed")
 
 
 def bootstrap(instances: DataFrame, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE, rounds: int = ROUNDS) -> DataFrame:
-    """High-confidence patterns ``(pattern, kind)``; a pattern has at most one kind (the better scored, then the first by name).
+    """Accepted patterns ``(pattern, kind, score)``; a pattern has at most one kind (the better scored, then the first of ``KINDS``).
 
-    Only patterns with ``min_seeds`` distinct seeds can ever reach it, so the graph is cut
-    to them before the rounds. Hot patterns are sums and counts, combined before shuffles.
+    Only patterns with ``min_seeds`` distinct seeds of one kind can be accepted, so the graph
+    is cut to them before the rounds. A hot pattern's instances are distinct values, counted
+    and summed before the shuffle, and looked up with salt.
     """
-    seeds = instances.where("seed is not null").select("pattern", "value", F.col("seed").alias("kind")).distinct()
-    strong = stored(seeds.groupBy("pattern").agg(F.count_distinct("value").alias("seeds")).where(F.col("seeds") >= min_seeds).select("pattern"))
-    links = stored(instances.select("pattern", "value").join(strong, "pattern", "left_semi").distinct())
-    kinds = F.array(*[F.lit(k) for k in KINDS])
-    scores = stored(seeds.join(strong, "pattern", "left_semi").select("value", "kind").distinct().withColumn("score", F.lit(1.0)))
-    own = scores.select("value", "kind", F.col("score").alias("own"))
-    patterns = None
-    for _ in range(rounds):
-        sizes = links.groupBy("pattern").agg(F.count("*").alias("n"))
-        sums = links.select("pattern", "value").join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("s"))
-        patterns = stored(sums.join(sizes, "pattern").select("pattern", "kind", (F.round(F.col("s") / F.col("n"), 9)).alias("score")))
-        best = links.join(patterns, "pattern").groupBy("value", "kind").agg(F.max("score").alias("score"))
-        scores = stored(best.join(own, ["value", "kind"], "left").select("value", "kind", F.coalesce("own", "score").alias("score")))
-    chosen = patterns.where(F.col("score") >= min_score).groupBy("pattern").agg(F.max(F.struct("score", F.array_position(kinds, F.col("kind")).alias("place"), "kind"))["kind"].alias("kind"))
-    return chosen
+    every = instances.select(F.explode("patterns").alias("pattern"), "value", "seed")
+    seeds = every.where("seed is not null").select("pattern", "value", F.col("seed").alias("kind")).distinct()
+    strong = stored(seeds.groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= min_seeds).select("pattern", "kind"))
+    names = strong.select(F.col("pattern").alias("__p")).distinct()
+    links = stored(looked_up(every.select("pattern", "value").distinct(), "pattern", names, "__p", "left_semi"))
+    sizes = links.groupBy("pattern").agg(F.count("*").alias("n"))
+    wanted = stored(strong.join(sizes, "pattern"))
+    own = stored(every.where("seed is not null").select("value", F.col("seed").alias("kind")).distinct().withColumn("score", F.lit(1.0)))
+    labels, accepted = own, None
+    for turn in range(rounds):
+        sums = links.join(labels, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("s"))
+        scored = wanted.join(sums, ["pattern", "kind"]).select("pattern", "kind", F.round(F.col("s") / F.col("n"), 9).alias("score"))
+        accepted = stored(scored.where(F.col("score") >= min_score))
+        if turn + 1 < rounds:
+            raised = looked_up(links, "pattern", accepted.withColumnRenamed("pattern", "__p"), "__p", "inner")
+            raised = raised.groupBy("value", "kind").agg(F.max("score").alias("score")).join(own.select("value"), "value", "left_anti")
+            labels = stored(own.unionByName(raised))
+    place = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
+    return accepted.groupBy("pattern").agg(F.max(F.struct("score", (-place).alias("place"), "kind")).alias("b")).select("pattern", "b.kind", "b.score")
 
 
 def _added(scanned: DataFrame) -> DataFrame:
-    """For each text that has any: ``key`` and ``added``, structs (kind, start, end) that the bootstrap discovered."""
+    """For each text that has any: ``key`` and ``added``, structs (kind, start, end) that the bootstrap discovered; the longest where they overlap in a run."""
     instances = stored(_instances(scanned))
     chosen = bootstrap(instances)
-    new = instances.where("seed is null").join(chosen, "pattern")
-    return new.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("added"))
+    rows = instances.where("seed is null").select("key", "start", "end", F.explode("patterns").alias("pattern"))
+    rows = looked_up(rows, "pattern", chosen.withColumnRenamed("pattern", "__p"), "__p", "inner")
+    place = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
+    best = rows.groupBy("key", "start", "end").agg(F.max(F.struct("score", (-place).alias("place"), "kind"))["kind"].alias("kind"))
+    reached = F.max("end").over(Window.partitionBy("key").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1))
+    best = best.withColumn("__reached", reached).where("__reached is null or end > __reached")
+    return best.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("added"))
 
 
 def _with_added(scanned: DataFrame, added: DataFrame) -> DataFrame:
@@ -183,24 +282,43 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return every.select(F.col("__id").alias(id_col), *[F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(*[all_of(k) for k in KINDS]), ",").alias("spans"), F.coalesce(F.size("added"), F.lit(0)).cast("long").alias("n_added"))
 
 
+def _apart(spans: Column) -> Column:
+    """Sorted spans without overlaps: those that overlap are one, named after the first."""
+
+    def of(p):
+        marked = F.zip_with(p["s"], p["reached"], lambda s, r: F.struct(s.alias("s"), r.alias("r")))
+        begins = lambda q: F.filter(q["m"], lambda m: m["s"]["start"] >= m["r"])
+
+        def ends(q):
+            return F.transform(q["b"], lambda m, i: F.struct(m["s"]["start"].alias("start"), F.coalesce(F.get(q["b"], i + 1)["r"], q["last"]).alias("end"), m["s"]["kind"].alias("kind")))
+
+        last = F.array_max(F.transform(p["s"], lambda x: x["end"]))
+        return _let(F.struct(marked.alias("m"), last.alias("last")), lambda q: _let(F.struct(begins(q).alias("b"), q["last"].alias("last")), ends))
+
+    reached = _running(F.transform(spans, lambda s: s["end"]), F.lit(0), lambda x, y: F.greatest(x, y))
+    return _let(F.struct(spans.alias("s"), reached.alias("reached")), of)
+
+
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span, base or discovered, replaced by ``[kind]``; overlapping spans become one, named after the first.
 
-    All rows and columns stay; a null text stays null.
+    All rows and columns stay; a null text stays null. Texts without a digit or @ hold no span and
+    are passed on without a shuffle; the others meet the spans of their digest, found once.
     """
     names = docs.columns
-    added = _added(stored(scan(docs.select(text_col), [], text_col)))
-
-    def named(kind):
-        return F.transform(base_spans(F.col("__t"), kind), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
-
-    spans = F.concat(*[named(k) for k in KINDS], F.transform(F.coalesce("__added", F.array().cast("array<struct<kind:string,start:int,end:int>>")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    joined = docs.withColumn("__t", F.coalesce(text_col, F.lit(""))).withColumn("__k", F.md5(F.col("__t").cast("binary")))
-    joined = looked_up(joined, "__k", added.select(F.col("key").alias("__key"), F.col("added").alias("__added")), "__key")
-    joined = joined.withColumn("__s", F.array_sort(spans))
-    merged = F.aggregate("__s", F.array().cast("array<struct<start:int,end:int,kind:string>>"), lambda out, s: F.when((F.size(out) > 0) & (F.element_at(out, -1)["end"] > s["start"]), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["start"].alias("start"), F.greatest(F.element_at(out, -1)["end"], s["end"]).alias("end"), F.element_at(out, -1)["kind"].alias("kind"))))).otherwise(F.concat(out, F.array(s))))
-    pieces = F.transform("__m", lambda s, i: F.concat(F.substring(F.col("__t"), F.when(i > 0, F.get(F.col("__m"), i - 1)["end"]).otherwise(0) + 1, s["start"] - F.when(i > 0, F.get(F.col("__m"), i - 1)["end"]).otherwise(0)), F.lit("["), s["kind"], F.lit("]")))
-    tail = F.substring(F.col("__t"), F.element_at("__m", -1)["end"] + 1, F.length("__t"))
-    joined = joined.withColumn("__m", merged)
-    text = F.when(F.size("__m") > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col(text_col))
-    return joined.withColumn(text_col, text).select(*names)
+    has = F.coalesce(may_hold(F.col(text_col)), F.lit(False))
+    scanned = stored(scan(docs.where(has).select(text_col), [], text_col).where(F.size("found") > 0).dropDuplicates(["key"]))
+    plain = lambda spans, kind: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), kind(s).alias("kind")))
+    every = _with_added(scanned, _added(scanned))
+    spans = F.concat(*[plain(F.col(f"__{k}"), lambda s, k=k: F.lit(k)) for k in KINDS], plain(F.coalesce("added", F.array().cast("array<struct<kind:string,start:int,end:int>>")), lambda s: s["kind"]))
+    spans = every.select(F.col("key").alias("__key"), F.array_sort(spans).alias("__spans")).where(F.size("__spans") > 0).select("__key", _let(F.col("__spans"), _apart).alias("__m"))
+    joined = docs.where(has).withColumn("__k", F.md5(F.col(text_col).cast("binary")))
+    joined = looked_up(joined, "__k", spans, "__key")
+
+    def replaced(p):
+        before = lambda i: F.when(i > 0, F.get(p["m"], i - 1)["end"]).otherwise(0)
+        pieces = F.transform(p["m"], lambda s, i: F.concat(F.substring(p["t"], before(i) + 1, s["start"] - before(i)), F.lit("["), s["kind"], F.lit("]")))
+        return F.concat(F.array_join(pieces, ""), F.substring(p["t"], F.element_at(p["m"], -1)["end"] + 1, F.length(p["t"])))
+
+    text = F.when(F.size("__m") > 0, _let(F.struct(F.col("__m").alias("m"), F.col(text_col).alias("t")), replaced)).otherwise(F.col(text_col))
+    return joined.withColumn(text_col, text).select(*names).unionByName(docs.where(~has).select(*names))
