@@ -1,8 +1,12 @@
 """The ten operators against plain versions, and their defined results on odd input."""
 
 import hashlib
+import math
 import random
+import re
+import unicodedata
 import zlib
+from collections import Counter
 
 import brute
 import numpy as np
@@ -244,6 +248,80 @@ def test_language(spark):
     assert langid.identify(df.limit(0)).count() == 0
 
 
+def plain_grams(text):
+    """Trigrams of padded words and words by script, letter by letter."""
+    grams, scripts, word = Counter(), Counter(), ""
+    for c in unicodedata.normalize("NFC", text or "").lower() + " ":
+        if unicodedata.category(c)[0] == "L" or (word and unicodedata.category(c)[0] == "M"):
+            word += c
+        elif word:
+            padded = f"^{word}$"
+            grams.update(padded[i : i + 3] for i in range(len(word)))
+            scripts[next(n for start, n in reversed(langid.SCRIPTS) if ord(word[0]) >= start)] += 1
+            word = ""
+    return grams, scripts
+
+
+def plain_language(train, texts):
+    """(label, score) of each text, from (text, lang) pairs, word by word and over all paths' best by dynamic programming."""
+    langs = sorted({lang for t, lang in train if plain_grams(t)[0]})
+    seen = {lang: (Counter(), Counter()) for lang in langs}
+    for t, lang in train:
+        for total, new in zip(seen.get(lang, (Counter(), Counter())), plain_grams(t), strict=True):
+            total.update(new)
+    kinds = max(len(g) for g, _ in seen.values()) + 1
+    out = []
+    for t in texts:
+        rows = []
+        for word in re.findall(r"\S+", "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in unicodedata.normalize("NFC", t or "").lower())):
+            grams, scripts = plain_grams(word)
+            if not grams:
+                continue
+            script = next(iter(scripts))
+            may = {lang for lang in langs if seen[lang][1][script] and seen[lang][1][script] >= langid.MIN_SHARE * sum(seen[lang][1].values())}
+            s = {lang: sum(n * math.log((seen[lang][0][g] + 0.5) / (sum(seen[lang][0].values()) + 0.5 * kinds)) for g, n in grams.items()) for lang in langs}
+            low = min(s.values())
+            s = {lang: (s[lang] if lang in may else low - langid.PENALTY) if may else 0.0 for lang in langs}
+            rows.append((s, sum(grams.values()), bool(may)))
+        if not rows:
+            out.append(("und", 0.0))
+            continue
+        value, back = {lang: rows[0][0][lang] for lang in langs}, []
+        for s, _, _ in rows[1:]:
+            top = max(langs, key=lambda x: (value[x], [-ord(c) for c in x]))
+            back.append({x: x if value[x] >= value[top] - langid.PENALTY else top for x in langs})
+            value = {x: max(value[x], value[top] - langid.PENALTY) + s[x] for x in langs}
+        path = [max(langs, key=lambda x: (value[x], [-ord(c) for c in x]))]
+        for b in reversed(back):
+            path.insert(0, b[path[0]])
+        share = Counter()
+        for lang, (_, n, known) in zip(path, rows, strict=True):
+            share[lang] += n * known
+        best = max(langs, key=lambda x: (share[x], [-ord(c) for c in x]))
+        post = [n / sum(math.exp(v - s[best]) for v in s.values()) if known else 0.0 for s, n, known in rows]
+        out.append((best, sum(post) / sum(n for _, n, _ in rows)))
+    return out
+
+
+def test_language_is_the_plain_version(spark):
+    """Counts, labels and scores over the documents, and texts of other scripts, mixed languages, marks and few letters."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.substring("text", 1, 700).alias("text"), "lang")
+    odd = [None, "", "123", "Ελληνικά και άλλα", "漢字", "a", "the e\u0301 \u0301x", "the of and Ελληνικά the", "und der die und der nicht the of and of the and de la les des que dans"]
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()] + [(100_000 + i, t, None) for i, t in enumerate(odd)]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    train = [(t, lang) for i, t, lang in rows if lang is not None and zlib.crc32(str(i).encode()) % 3 != 1]
+    want = plain_language(train, [t for _, t, _ in rows])
+    assert [got[i].lang_pred for i, _, _ in rows] == [w[0] for w in want]
+    assert [got[i].score for i, _, _ in rows] == pytest.approx([w[1] for w in want], abs=1e-6)
+    assert [got[100_000 + i].score for i in range(5)] == [0.0] * 5 and got[100_003].lang_pred in {"de", "en", "es", "fr"}
+
+
+def test_language_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = langid.identify(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").where("lang is not null").collect()
+    assert len(rows) > 300 and np.mean([r.lang_pred == r.lang for r in rows]) > 0.99
+
+
 def test_language_learns_all(spark):
     """Over 2,000 documents and 30,000 grams of a language, and over 1,000 languages."""
     schema = "doc_id long, text string, lang string"

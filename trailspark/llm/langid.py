@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailspark.llm.common import python_workers
+from trailspark.llm.common import python_workers, stored
 
 FOLDS, OUT = 3, 1
 PENALTY = 12.0
@@ -159,21 +159,34 @@ class Model:
         return scores, letters, bounds
 
     def paths(self, texts: list[str | None]):
-        """For each text the best language of each word, a change costing ``PENALTY`` (ties go to the first), and the words' letters."""
+        """For each text the best language of each word, a change costing ``PENALTY`` (ties go to the first), the words' letters, and each language's share of the evidence for them.
+
+        The evidence of a word is the posterior of its trigrams under equal priors; a word in
+        a script of no language has none.
+        """
         scores, letters, bounds = self.words(texts)
+        share = np.zeros_like(scores)
+        if self.langs:
+            np.exp(scores - scores.max(axis=1, keepdims=True), out=share)
+            share /= share.sum(axis=1, keepdims=True)
+            share[(scores == 0.0).all(axis=1)] = 0.0
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            yield (best_path(scores[a:b], PENALTY) if b > a and self.langs else np.zeros(0, np.int64)), letters[a:b]
+            yield (best_path(scores[a:b], PENALTY) if b > a and self.langs else np.zeros(0, np.int64)), letters[a:b], share[a:b]
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """The language of most letters on the best path, and its share of them among all letters; ``und`` without letters."""
+        """The language of most letters on the best path, and its mean posterior over the letters; ``und`` without letters.
+
+        Words that speak for no language (a script that none uses) count as letters without
+        evidence; a text of such words alone has the first language and score 0.
+        """
         out = []
-        for path, letters in self.paths(texts):
+        for path, letters, share in self.paths(texts):
             if not len(path):
                 out.append(("und", 0.0))
                 continue
-            share = np.bincount(path, letters, len(self.langs))
-            best = int(np.argmax(share))
-            out.append((self.langs[best], float(share[best] / share.sum())))
+            known = share.any(axis=1)
+            best = int(np.argmax(np.bincount(path, letters * known, len(self.langs))))
+            out.append((self.langs[best], float(share[:, best] @ letters / letters.sum())))
         return out
 
 
@@ -241,7 +254,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     count.update(gram_counts(texts))
             yield pd.DataFrame([(lang, g, n) for lang, c in out.items() for g, n in c.items()], columns=["lang", "gram", "n"])
 
-    counts = drawn.select("lang", "text").mapInPandas(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = stored(drawn.select("lang", "text").mapInPandas(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     sums = {r["lang"]: (r["total"], r["kinds"]) for r in counts.where("gram not like '#%'").groupBy("lang").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).collect()}
     langs = sorted(sums)
     allowed = np.zeros((len(NAMES), len(langs)), bool)
@@ -275,7 +288,7 @@ def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for frame in frames:
             out = []
             for texts in groups(frame["text"].tolist(), _CHUNK):
-                for path, _ in model.paths(texts):
+                for path, _, _ in model.paths(texts):
                     edge = np.flatnonzero(np.diff(path, prepend=-1))
                     out.append([{"lang": model.langs[path[a]], "start": a, "end": b} for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(path)][: len(edge)], strict=True)])
             yield pd.DataFrame({"id": frame["id"], "spans": out})
@@ -284,10 +297,11 @@ def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per document: id, ``held_out``, ``lang_pred`` and ``score`` (share of the letters).
+    """One row per document: id, ``held_out``, ``lang_pred`` and ``score``, the language's mean posterior over the letters.
 
     ``und`` with score 0 for null texts, texts without letters, or where nothing could be
-    learned. Repeated rows are labelled each; other columns aren't carried.
+    learned; the first language with score 0 where no letter is in a script that a language
+    uses. Repeated rows are labelled each; other columns aren't carried.
     """
     model = train(docs, id_col, text_col, lang_col)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
