@@ -352,12 +352,58 @@ def test_fixity(spark):
     pages = spark.createDataFrame([(i, f"http://x/{i}", "x" * (i % 50)) for i in range(300)] + [(7, "http://x/7", "dup"), (None, None, None)], "page_id long, url string, html string")
     same = warc.audit_pages(pages, pages.repartition(3))
     assert same.count() == 0
-    broken = warc.damaged(pages, every=41)
-    got = {r.id_a for r in warc.audit_pages(pages, broken).where("status = 'changed'").collect()}
-    assert got == {i for i in range(300) if i % 41 == 0 and i % 50}
+    body = F.when(F.col("page_id") % 41 == 0, F.concat("html", F.lit("!"))).otherwise(F.col("html"))
+    got = [(r.id, r.status) for r in warc.audit_pages(pages, pages.withColumn("html", body)).collect()]
+    assert sorted(got) == [(i, "changed") for i in range(0, 300, 41)]
     lost = warc.audit_pages(pages, pages.where("page_id is not null")).collect()
-    assert [r.status for r in lost] == ["lost"]
+    assert [(r.id, r.status) for r in lost] == [(None, "lost")]
     assert warc.audit_pages(pages.limit(0), pages.limit(0)).count() == 0
+    assert {r.status for r in warc.audit_pages(pages, pages.limit(0)).collect()} == {"lost"} and warc.audit_pages(pages.limit(0), pages).count() == 302
+
+
+def test_fixity_localises_each_kind(spark):
+    """One lost, one added, one changed and one moved record give these rows and no others, and few ranges are read."""
+    rows = [(i, f"http://x/{i}", f"body {i}", float(i)) for i in range(3000)]
+    a = spark.createDataFrame(rows, "page_id long, url string, html string, file_order double")
+    changed = {700: (700, "http://x/700", "other", 700.0), 1500: (1500, "http://x/1500", "body 1500", 1690.5)}
+    b = [changed.get(r[0], r) for r in rows if r[0] != 40] + [(2500, "http://x/2500", "new", 2500.0)]
+    b = spark.createDataFrame(b, a.schema)
+    got = warc.audit_pages(a, b, order_col="file_order").collect()
+    assert sorted((r.id, r.status, r.copies) for r in got) == [(40, "lost", 1), (700, "changed", 1), (1500, "moved", 1), (2500, "added", 1)]
+    moved = next(r for r in got if r.status == "moved")
+    assert moved.digest_a == moved.digest_b and moved.offset_b > moved.offset_a
+    x, y = (warc._rows(t, "page_id", "url", "html", "file_order", 2048) for t in (a, b))
+    parts = warc.parts_of(2048, x, y)
+    assert warc.suspects(warc.tree(warc._laid_out(x, parts)), warc.tree(warc._laid_out(y, parts))).count() <= 12
+
+
+def test_fixity_of_copies_and_repeated_ids(spark):
+    """Copies are one row with their number; records of one id are paired by digest; null ids are never changed; extra columns stay out."""
+    rows = [(1, "u", "same")] * 5 + [(2, "u", "a"), (2, "u", "b"), (2, "u", "c"), (None, "u", "x"), (None, "u", "y")] + [(i, "u", None) for i in range(10, 40)]
+    a = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, place int")
+    b = [(1, "u", "same")] * 3 + [(2, "u", "a"), (2, "u", "d"), (None, "u", "x"), (None, "u", "z")] + [(i, "u", None) for i in range(10, 40)]
+    b = spark.createDataFrame([(*r, 1) for r in b], a.schema)
+    got = sorted((r.id or 0, r.status, r.copies) for r in warc.audit_pages(a, b).collect())
+    assert got == [(0, "added", 1), (0, "lost", 1), (1, "lost", 2), (2, "changed", 1), (2, "lost", 1)]
+
+
+def test_fixity_of_crowded_ranges(spark):
+    """Ranges beyond twice their size are split alike in both replicas, and damage is found in each part."""
+    a = spark.createDataFrame([(i % 3 if i % 2 else None, "u", f"b{i}") for i in range(600)], "page_id long, url string, html string")
+    b = a.where("html not in ('b10', 'b11')").unionByName(a.where("html = 'b12'"))
+    got = sorted((r.id is None, r.status, r.copies) for r in warc.audit_pages(a, b, size=16).collect())
+    assert got == [(False, "lost", 1), (True, "added", 1), (True, "lost", 1)]
+    assert warc.leaves(a, size=16).groupBy("archive").count().agg(F.max("count")).first()[0] < 80
+
+
+def test_longest_order():
+    rng = random.Random(2)
+    for _ in range(200):
+        p = rng.sample(range(50), rng.randint(0, 9))
+        out = warc._outside_order(p)
+        kept = [x for i, x in enumerate(p) if i not in out]
+        best = max((len(s) for n in range(2 ** len(p)) if (s := [x for i, x in enumerate(p) if n >> i & 1]) == sorted(s)), default=0)
+        assert kept == sorted(kept) and len(kept) == best
 
 
 def test_offsets_are_those_of_the_file(spark, tmp_path):

@@ -38,10 +38,9 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The audit of the pages' archives against a replica with planted damage."""
+    """The audit of the pages' archives against a replica with planted damage of all four kinds."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    found = warc.audit_pages(pages, warc.damaged(pages))
-    return found.select(F.col("id_a").alias("page_id"), "archive", "place", "status", F.col("offset_a").alias("offset"), F.col("length_a").alias("length"), "digest_a", "digest_b")
+    return warc.audit_pages(pages, warc.damaged(pages), order_col="file_order").withColumnRenamed("id", "page_id")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,20 +103,26 @@ kept AS (
   GROUP BY x.doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
     "op7_warc_fixity": """
-WITH p AS (
-  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS a,
-    CASE WHEN page_id % 97 = 0 AND length(html) > 0 THEN CASE WHEN left(html, 1) = '~' THEN '#' ELSE '~' END || substring(html, 2) ELSE coalesce(html, '') END AS b FROM pages),
+WITH p AS (SELECT page_id, page_id // {RECORDS} || '-0' AS archive, coalesce(url, '') AS url, coalesce(html, '') AS html, page_id % 389 AS rest, page_id % {RECORDS} AS within FROM pages),
+moves AS (SELECT page_id FROM p WHERE rest = 11 AND within < {RECORDS} // 2 AND page_id + 40 <= (SELECT max(page_id) FROM pages)),
+b AS (
+  SELECT page_id, archive, url, CASE WHEN page_id % 97 = 0 AND length(html) > 0 THEN CASE WHEN left(html, 1) = '~' THEN '#' ELSE '~' END || substring(html, 2) ELSE html END AS html,
+    page_id + CASE WHEN page_id IN (FROM moves) THEN 40.5 ELSE 0.0 END AS spot FROM p WHERE rest <> 5
+  UNION ALL SELECT page_id, archive, url, html || '<!-- again -->', page_id FROM p WHERE rest = 7),
+two AS (SELECT 'a' AS side, page_id, archive, url, html, page_id + 0.0 AS spot FROM p UNION ALL SELECT 'b', page_id, archive, url, html, spot FROM b),
 r AS (
-  SELECT page_id, a <> b AS differs,
-    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' AS head,
-    chr(13) || chr(10) || chr(13) || chr(10) AS gap, a, b FROM p),
-d AS (
-  SELECT page_id, differs, head || strlen(a) || gap || a || gap AS ra, head || strlen(b) || gap || b || gap AS rb FROM r),
-o AS (
-  SELECT page_id, differs, page_id // {RECORDS} AS range, strlen(ra) AS length, sha256(ra) AS digest_a, sha256(rb) AS digest_b,
-    row_number() OVER w - 1 AS place, sum(strlen(ra)) OVER w - strlen(ra) AS "offset"
-  FROM d WINDOW w AS (PARTITION BY page_id // {RECORDS} ORDER BY page_id))
-SELECT page_id, range || '-0' AS archive, place, 'changed' AS status, "offset"::BIGINT AS "offset", length, digest_a, digest_b FROM o WHERE differs""".replace("{RECORDS}", str(warc.RECORDS)),
+  SELECT side, page_id, archive, spot, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10)
+    || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS text FROM two),
+o AS (SELECT side, page_id, archive, strlen(text) AS length, sha256(text) AS digest, sum(strlen(text)) OVER (PARTITION BY side, archive ORDER BY spot, page_id, sha256(text)) - strlen(text) AS "offset" FROM r),
+x AS (FROM o WHERE side = 'a'), y AS (FROM o WHERE side = 'b'),
+same AS (SELECT x.*, y."offset" AS offset_b FROM x JOIN y USING (page_id, digest)),
+other AS (FROM y WHERE NOT EXISTS (FROM same WHERE same.page_id = y.page_id AND same.digest = y.digest)),
+found AS (
+  SELECT archive, page_id, 'moved' AS status, "offset" AS offset_a, length AS length_a, digest AS digest_a, offset_b, length AS length_b, digest AS digest_b FROM same WHERE page_id IN (FROM moves)
+  UNION ALL SELECT x.archive, x.page_id, 'changed', x."offset", x.length, x.digest, other."offset", other.length, other.digest FROM x JOIN other USING (page_id) WHERE page_id NOT IN (SELECT page_id FROM same)
+  UNION ALL SELECT x.archive, x.page_id, 'lost', x."offset", x.length, x.digest, NULL, NULL, NULL FROM x WHERE page_id NOT IN (SELECT page_id FROM y)
+  UNION ALL SELECT archive, page_id, 'added', NULL, NULL, NULL, "offset", length, digest FROM other WHERE page_id IN (SELECT page_id FROM same))
+SELECT archive, page_id, status, 1::BIGINT AS copies, offset_a::BIGINT AS offset_a, length_a, digest_a, offset_b::BIGINT AS offset_b, length_b, digest_b FROM found""".replace("{RECORDS}", str(warc.RECORDS)),
     "op8_decontaminate": rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{decontaminate.UPPER}', '{decontaminate.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 i AS (SELECT DISTINCT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), '{decontaminate.UPPER}', '{decontaminate.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
