@@ -463,10 +463,21 @@ def test_decontamination(spark):
 
 
 def test_decontamination_beyond_the_broadcast(spark, monkeypatch):
-    text = " ".join(f"w{i}" for i in range(60))
-    df, bench = docs_of(spark, [text, "no", None]), spark.createDataFrame([("i", " ".join(f"w{i}" for i in range(20, 45)))], "item_id string, text string")
+    """The shuffled branch gives the rows of the broadcast one and of the plain version, with a text of 20,000 words and a common gram."""
+    rng = random.Random(13)
+    say = lambda n, voc: " ".join(rng.choice(voc) for _ in range(n))
+    few, many = ["a", "b", "c"], [f"w{i}" for i in range(3000)]
+    items = [(f"i{k}", say(rng.randint(1, 30), many if k % 2 else few)) for k in range(30)]
+    items += [("long", say(20_000, many))]
+    texts = ["no", None, "", items[-1][1], f"{items[1][1]} x {items[2][1]}", say(400, few)] + [f"{say(20, many)} {items[k][1]} {say(5, few)}" for k in range(20)]
+    df, bench = docs_of(spark, texts + texts[3:6]), spark.createDataFrame(items, "item_id string, text string")
+    want = overlap(list(enumerate(texts + texts[3:6])), items)
+    for bound in (-1, 10**6):
+        monkeypatch.setattr(decontaminate, "MAX_BROADCAST", bound)
+        got = decontaminate.overlaps(df, bench).collect()
+        assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == want
     monkeypatch.setattr(decontaminate, "MAX_BROADCAST", -1)
-    assert sorted((r.doc_id, r.n_hit) for r in decontaminate.overlaps(df, bench).collect()) == [(0, 25), (1, 0), (2, 0)]
+    assert sorted(r.doc_id for r in decontaminate.clean(df, bench).collect()) == [w[0] for w in want if not w[5]]
 
 
 # ---- 9

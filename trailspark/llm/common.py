@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailspark.operators.graph import connected_components
 from trailspark.operators.lineage import python_workers, shared_dir, stored
 
-__all__ = ["SPACE_WORD", "connected_components", "looked_up", "python_workers", "shared_dir", "stored"]
+__all__ = ["SPACE_WORD", "connected_components", "let", "looked_up", "python_workers", "shared_dir", "stored"]
 
 #: Words of contracts that split on ASCII space.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
@@ -20,3 +20,8 @@ def looked_up(rows: DataFrame, key: str, few: DataFrame, few_key: str, how: str
     rows = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
     few = few.withColumn("__place", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.join(few, (F.col(key) == F.col(few_key)) & (F.col("__salt") == F.col("__place")), how).drop("__salt", "__place", few_key)
+
+
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` and its lambdas use it."""
+    return F.transform(F.array(value), f)[0]

@@ -6,6 +6,10 @@ equal keep the same gram at the same place, so every shared window shares a fing
 Fingerprints of documents meet those of the items in a join, and each meeting is extended:
 the windows around it are compared word by word. Items of fewer words are one window; their
 fingerprint is the whole item, and documents are asked for each such length that occurs.
+
+Up to ``MAX_BROADCAST`` fingerprints of items are broadcast and met in the stage that reads the
+documents. Beyond, fingerprints go through the shuffle without any text; those that some item
+has go back to their document, which sends only the words around each of them to the items.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailspark.llm.common import looked_up
+from trailspark.llm.common import let, looked_up
 
 WINDOW = 10
 GRAM = 5
@@ -32,7 +36,7 @@ def words(text):
 def fingerprints(w, window: int = WINDOW, gram: int = GRAM):
     """Winnowed fingerprints of a word array: longs of 32 bits of hash and 32 bits of the position, counted down from the top."""
     n = F.size(w)
-    hashed = F.transform(F.sequence(F.lit(0), n - gram), lambda i: F.shiftleft(F.hash(*[F.get(w, i + j) for j in range(gram)]).cast("long"), 32) + (F.lit(_LOW) - i.cast("long")))
+    hashed = let(F.transform(w, lambda x: F.hash(x)), lambda c: F.transform(F.sequence(F.lit(0), n - gram), lambda i: F.shiftleft(F.hash(*[F.get(c, i + j) for j in range(gram)]).cast("long"), 32) + (F.lit(_LOW) - i.cast("long"))))
     return hashed, lambda h: F.array_distinct(F.transform(F.sequence(F.lit(0), n - window), lambda i: F.least(*[F.get(h, i + j) for j in range(window - gram + 1)])))
 
 
@@ -50,6 +54,15 @@ def _grams(df: DataFrame, word_col: str, window: int, gram: int, short: list[int
     return df.withColumn("fps", F.concat(*parts)).drop("__h")
 
 
+def _asked(doc: DataFrame, index: DataFrame, window: int, gram: int, sizes: list[int]) -> DataFrame:
+    """``doc`` with those of its fingerprints, ``fps``, that some item has. Equal texts ask once; no text is shuffled with a fingerprint."""
+    key = lambda size, code: F.shiftleft(size.cast("long"), 32) + code
+    slim = _grams(doc, "w", window, gram, sizes).select("digest", F.explode_outer("fps").alias("f")).select("digest", "f", key(F.col("f.size"), F.col("f.code")).alias("key"))
+    codes = index.select(key(F.col("k_size"), F.col("k_code")).alias("k")).distinct()
+    met = looked_up(slim, "key", codes, "k", "left_semi").groupBy("digest").agg(F.collect_set("f").alias("fps"))
+    return looked_up(doc, "digest", met.withColumnRenamed("digest", "d"), "d")
+
+
 def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """One row per document: id, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``contaminated`` and ``hit_starts``.
 
@@ -71,18 +84,30 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     index = index.distinct()
     small = index.count() <= MAX_BROADCAST
 
-    doc = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"), F.monotonically_increasing_id().alias("row"))
-    doc = _grams(doc, "w", window, gram, sizes)
+    none = F.array().cast("array<struct<size:int,code:int,at:int>>")
+    doc = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"), F.monotonically_increasing_id().alias("row"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("digest"))
+    doc = _grams(doc, "w", window, gram, sizes) if small else _asked(doc, index, window, gram, sizes)
     # one more element, of size -1, keeps documents without fingerprints and meets nothing
     own = F.array(F.struct(F.lit(-1).alias("size"), F.pmod(F.col("row"), F.lit(1 << 30)).cast("int").alias("code"), F.lit(0).alias("at")))
-    asked = doc.select("id", "row", "w", F.explode(F.concat(own, "fps")).alias("f")).select("id", "row", "w", F.col("f.size").alias("size"), F.col("f.code").alias("code"), F.col("f.at").alias("p"))
-    met = asked.join(F.broadcast(index) if small else index, (F.col("size") == F.col("k_size")) & (F.col("code") == F.col("k_code")), "left")
-    # this filter must stay cheap: it runs in one piece of code with the join, so the words are copied for meetings only
-    met = met.where("size = -1 or item is not null")
-    # both sides around the fingerprint, so aligned that word dleft + j of the one faces word ileft + j of the other
-    shift = F.least(F.col("p"), F.col("ileft"))
-    span = F.slice("w", F.col("p") - shift + 1, F.size("around") - F.col("ileft") + shift)
-    met = met.select("id", "row", F.when(F.col("size") == -1, F.size("w")).alias("n"), "item", "size", (F.col("p") - shift).alias("base"), span.alias("here"), F.slice("around", F.col("ileft") - shift + 1, F.size("around")).alias("there"))
+    asked = doc.select("id", "row", "w", F.explode(F.concat(own, F.coalesce("fps", none))).alias("f")).select("id", "row", "w", F.col("f.size").alias("size"), F.col("f.code").alias("code"), F.col("f.at").alias("p"))
+    # the words around a fingerprint, of which ``dleft`` stand before it
+    dleft = F.when(F.col("size") == 0, F.least(F.col("p"), F.lit(reach))).otherwise(0).cast("int")
+    around = F.when(F.col("size") == -1, F.array().cast("array<string>")).otherwise(F.slice("w", F.col("p") - dleft + 1, F.when(F.col("size") == 0, dleft + gram + reach).otherwise(F.col("size"))))
+    cut = [F.when(F.col("size") == -1, F.size("w")).alias("n"), "size", "code", "p", dleft.alias("dleft"), around.alias("near")]
+    if small:
+        met = asked.join(F.broadcast(index), (F.col("size") == F.col("k_size")) & (F.col("code") == F.col("k_code")), "left")
+        # this filter must stay cheap: it runs in one piece of code with the join, so the words are copied for meetings only
+        met = met.where("size = -1 or item is not null").select("id", "row", *cut, "item", "ileft", "around")
+    else:
+        key = lambda size, code: F.shiftleft(F.col(size).cast("long"), 32) + F.col(code)
+        asked = asked.select("id", "row", *cut).withColumn("key", key("size", "code"))
+        known = index.withColumn("k", key("k_size", "k_code")).drop("k_size", "k_code")
+        known = known.join(asked.where("size >= 0").select(F.col("key").alias("k")).distinct(), "k", "left_semi")
+        met = looked_up(asked, "key", known, "k").where("size = -1 or item is not null")
+    # both sides aligned, so that word j of the one faces word j of the other
+    shift = F.least(F.col("dleft"), F.col("ileft"))
+    span = F.slice("near", F.col("dleft") - shift + 1, F.size("around") - F.col("ileft") + shift)
+    met = met.select("id", "row", "n", "item", "size", (F.col("p") - shift).alias("base"), span.alias("here"), F.slice("around", F.col("ileft") - shift + 1, F.size("around")).alias("there"))
     length = F.when(F.col("size") > 0, F.col("size")).otherwise(window)
     last = F.least(F.size("here"), F.size("there")) - length
     found = F.filter(F.sequence(F.lit(0), last), lambda i: F.slice("here", i + 1, length) == F.slice("there", i + 1, length))

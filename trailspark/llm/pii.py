@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailspark.llm.common import looked_up, stored
+from trailspark.llm.common import let, looked_up, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: Possessive and anchored forms of the contract's expressions: the same leftmost matches, in linear time and without deep recursion.
@@ -48,15 +48,10 @@ _WORD = "array<struct<start:int,end:int,value:string,left:string,right:string,af
 _FOUND = "array<struct<start:int,end:int,value:string,left:string,right:string,seed:string>>"
 
 
-def _let(value: Column, f) -> Column:
-    """``f`` of a value that is worked out once, however often ``f`` and its lambdas use it."""
-    return F.transform(F.array(value), f)[0]
-
-
 def _blocks(a: Column) -> Column:
     """An array in slices of about the square root of its size, so that folds and look-ups within slices cost its power 1.5."""
     size = F.greatest(F.ceil(F.sqrt(F.size(a))).cast("int"), F.lit(1))
-    return F.when(F.size(a) > 0, _let(size, lambda n: F.transform(F.sequence(F.lit(0), ((F.size(a) - 1) / n).cast("int")), lambda b: F.slice(a, b * n + 1, n)))).otherwise(F.slice(F.array(a), 1, 0))
+    return F.when(F.size(a) > 0, let(size, lambda n: F.transform(F.sequence(F.lit(0), ((F.size(a) - 1) / n).cast("int")), lambda b: F.slice(a, b * n + 1, n)))).otherwise(F.slice(F.array(a), 1, 0))
 
 
 def _fold(a: Column, zero: Column, f) -> Column:
@@ -71,7 +66,7 @@ def _running(a: Column, zero: Column, f) -> Column:
         bases = _fold(F.transform(blocks, lambda b: F.aggregate(b, zero, f)), zero, f)
         return F.flatten(F.zip_with(blocks, F.slice(bases, 1, F.size(blocks)), lambda b, base: F.slice(_fold(b, base, f), 1, F.size(b))))
 
-    return _let(_blocks(a), of)
+    return let(_blocks(a), of)
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -79,14 +74,14 @@ def _matches(text: Column, pattern: str) -> Column:
 
     def of(p):
         gap = F.transform(p["gaps"], lambda g: F.length(g))
-        return _let(F.struct(p["found"].alias("found"), gap.alias("gap")), place)
+        return let(F.struct(p["found"].alias("found"), gap.alias("gap")), place)
 
     def place(p):
         steps = F.zip_with(p["found"], F.slice(p["gap"], 1, F.size(p["found"])), lambda v, g: F.length(v) + g)
-        return _let(F.struct(p["found"].alias("found"), p["gap"].alias("gap"), _let(steps, lambda a: _running(a, F.lit(0), lambda x, y: x + y)).alias("at")), lambda q: F.transform(q["found"], lambda v, i: _let(F.get(q["at"], i) + F.get(q["gap"], i), lambda s: F.struct(s.alias("start"), (s + F.length(v)).alias("end"), v.alias("value")))))
+        return let(F.struct(p["found"].alias("found"), p["gap"].alias("gap"), let(steps, lambda a: _running(a, F.lit(0), lambda x, y: x + y)).alias("at")), lambda q: F.transform(q["found"], lambda v, i: let(F.get(q["at"], i) + F.get(q["gap"], i), lambda s: F.struct(s.alias("start"), (s + F.length(v)).alias("end"), v.alias("value")))))
 
     parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
-    return F.when(F.regexp_like(text, F.lit(pattern)), _let(parts, of)).otherwise(F.array().cast(_SPAN))
+    return F.when(F.regexp_like(text, F.lit(pattern)), let(parts, of)).otherwise(F.array().cast(_SPAN))
 
 
 def _digits(value: Column) -> Column:
@@ -136,9 +131,9 @@ def _words(text: Column) -> Column:
         return F.transform(p["m"], word)
 
     def gaps(p):
-        return _let(F.struct(p["m"].alias("m"), F.transform(p["gaps"], lambda g: F.lower(F.regexp_extract(g, LAST, 1))).alias("left"), F.transform(p["gaps"], lambda g: F.lower(F.regexp_extract(g, FIRST, 1))).alias("right")), of)
+        return let(F.struct(p["m"].alias("m"), F.transform(p["gaps"], lambda g: F.lower(F.regexp_extract(g, LAST, 1))).alias("left"), F.transform(p["gaps"], lambda g: F.lower(F.regexp_extract(g, FIRST, 1))).alias("right")), of)
 
-    return _let(F.struct(_matches(text, INSTANCE).alias("m"), F.split(text, INSTANCE, -1).alias("gaps")), gaps)
+    return let(F.struct(_matches(text, INSTANCE).alias("m"), F.split(text, INSTANCE, -1).alias("gaps")), gaps)
 
 
 def _found(words: Column, spans: Column) -> Column:
@@ -147,7 +142,7 @@ def _found(words: Column, spans: Column) -> Column:
     def outside(block):
         low, high = F.get(block, F.lit(0))["start"], F.element_at(block, -1)["end"]
         near = F.filter(spans, lambda s: (s["end"] > low) & (s["start"] < high))
-        return _let(near, lambda these: F.filter(block, lambda m: ~F.exists(these, lambda s: (s["start"] < m["end"]) & (s["end"] > m["start"]))))
+        return let(near, lambda these: F.filter(block, lambda m: ~F.exists(these, lambda s: (s["start"] < m["end"]) & (s["end"] > m["start"]))))
 
     def seeds(block):
         low, high = F.get(block, F.lit(0))["start"], F.array_max(F.transform(block, lambda s: s["end"]))
@@ -164,7 +159,7 @@ def _found(words: Column, spans: Column) -> Column:
 
             return F.transform(ends, seed)
 
-        return _let(near, whole)
+        return let(near, whole)
 
     def candidate(first, last, value):
         return F.struct(first["start"].alias("start"), last["end"].alias("end"), value.alias("value"), first["left"].alias("left"), last["right"].alias("right"), F.lit(None).cast("string").alias("seed"))
@@ -178,7 +173,7 @@ def _found(words: Column, spans: Column) -> Column:
         return F.concat(F.transform(free, lambda m: candidate(m, m, m["value"])), F.transform(runs, lambda r: candidate(r["a"]["m"], r["b"]["m"], joined(r))))
 
     free = F.flatten(F.transform(_blocks(words), outside)).cast(_WORD)
-    return F.concat(F.flatten(F.transform(_blocks(spans), seeds)).cast(_FOUND), _let(free, candidates).cast(_FOUND))
+    return F.concat(F.flatten(F.transform(_blocks(spans), seeds)).cast(_FOUND), let(free, candidates).cast(_FOUND))
 
 
 def scan(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -197,7 +192,7 @@ def scan(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
         return F.transform(f"__{kind}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value")))
 
     out = out.withColumn("__s", F.array_sort(F.concat(*[named(k) for k in KINDS])))
-    found = _let(F.struct(F.col("__w").alias("w"), F.col("__s").alias("s")), lambda p: _found(p["w"], p["s"]))
+    found = let(F.struct(F.col("__w").alias("w"), F.col("__s").alias("s")), lambda p: _found(p["w"], p["s"]))
     return out.select(*keep, "key", *[f"__{k}" for k in KINDS], F.when(F.size("__w") > 0, found).otherwise(F.array().cast(_FOUND)).alias("found"))
 
 
@@ -293,10 +288,10 @@ def _apart(spans: Column) -> Column:
             return F.transform(q["b"], lambda m, i: F.struct(m["s"]["start"].alias("start"), F.coalesce(F.get(q["b"], i + 1)["r"], q["last"]).alias("end"), m["s"]["kind"].alias("kind")))
 
         last = F.array_max(F.transform(p["s"], lambda x: x["end"]))
-        return _let(F.struct(marked.alias("m"), last.alias("last")), lambda q: _let(F.struct(begins(q).alias("b"), q["last"].alias("last")), ends))
+        return let(F.struct(marked.alias("m"), last.alias("last")), lambda q: let(F.struct(begins(q).alias("b"), q["last"].alias("last")), ends))
 
     reached = _running(F.transform(spans, lambda s: s["end"]), F.lit(0), lambda x, y: F.greatest(x, y))
-    return _let(F.struct(spans.alias("s"), reached.alias("reached")), of)
+    return let(F.struct(spans.alias("s"), reached.alias("reached")), of)
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -311,7 +306,7 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     plain = lambda spans, kind: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), kind(s).alias("kind")))
     every = _with_added(scanned, _added(scanned))
     spans = F.concat(*[plain(F.col(f"__{k}"), lambda s, k=k: F.lit(k)) for k in KINDS], plain(F.coalesce("added", F.array().cast("array<struct<kind:string,start:int,end:int>>")), lambda s: s["kind"]))
-    spans = every.select(F.col("key").alias("__key"), F.array_sort(spans).alias("__spans")).where(F.size("__spans") > 0).select("__key", _let(F.col("__spans"), _apart).alias("__m"))
+    spans = every.select(F.col("key").alias("__key"), F.array_sort(spans).alias("__spans")).where(F.size("__spans") > 0).select("__key", let(F.col("__spans"), _apart).alias("__m"))
     joined = docs.where(has).withColumn("__k", F.md5(F.col(text_col).cast("binary")))
     joined = looked_up(joined, "__k", spans, "__key")
 
@@ -320,5 +315,5 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
         pieces = F.transform(p["m"], lambda s, i: F.concat(F.substring(p["t"], before(i) + 1, s["start"] - before(i)), F.lit("["), s["kind"], F.lit("]")))
         return F.concat(F.array_join(pieces, ""), F.substring(p["t"], F.element_at(p["m"], -1)["end"] + 1, F.length(p["t"])))
 
-    text = F.when(F.size("__m") > 0, _let(F.struct(F.col("__m").alias("m"), F.col(text_col).alias("t")), replaced)).otherwise(F.col(text_col))
+    text = F.when(F.size("__m") > 0, let(F.struct(F.col("__m").alias("m"), F.col(text_col).alias("t")), replaced)).otherwise(F.col(text_col))
     return joined.withColumn(text_col, text).select(*names).unionByName(docs.where(~has).select(*names))
