@@ -166,6 +166,34 @@ def test_substring_repeated_rows_and_null_ids(spark):
     assert got == [(False, 7, 0), (False, 7, 0), (False, 9, 30), (True, None, 30)]
 
 
+def test_substring_orders_ids_of_any_type(spark):
+    """Strings by their order, null ids last, rows of one id and different texts by digest."""
+    say = lambda a, n: " ".join(f"w{i}" for i in range(a, a + n))
+    rows = [("b", say(0, 30)), ("a10", say(0, 30)), ("a9", say(100, 25)), (None, say(100, 25)), (None, say(0, 22)), (None, say(200, 25)), (None, say(200, 25)), ("c", None)]
+    got = sorted((r.doc_id or "", r.n_words, r.n_removed) for r in substring.kept_digests(spark.createDataFrame(rows, "doc_id string, text string")).collect())
+    assert got == [("", 22, 22), ("", 25, 0), ("", 25, 0), ("", 25, 25), ("a10", 30, 0), ("a9", 25, 0), ("b", 30, 30), ("c", 0, 0)]
+    texts = [say(0, 30), say(5, 30), say(0, 30)]
+    twice = [(7, t) for t in texts] + [(8, say(0, 30))]
+    got = [(r.doc_id, r.n_removed) for r in substring.kept_digests(spark.createDataFrame(twice, "doc_id int, text string")).collect()]
+    assert sorted(got) in ([(7, 0), (7, 0), (7, 25), (8, 30)], [(7, 0), (7, 25), (7, 25), (8, 30)])
+
+
+def test_substring_survives_colliding_hashes(spark, odd, monkeypatch):
+    """With a window hash of a few values only, the second hash keeps different windows apart: nothing is removed wrongly."""
+    whole = textkernel.grams
+    monkeypatch.setattr(textkernel, "grams", lambda h, k, base=textkernel.WORD_BASES[0]: whole(h, k, base) & np.uint64(7) if base == textkernel.WORD_BASES[1] else whole(h, k, base))
+    docs = list(enumerate(odd[:9] + odd[12:13] + odd[14:24]))
+    batch = pa.record_batch([pa.array([i for i, _ in docs]), pa.array([t for _, t in docs])], names=["k", "text"])
+    first: dict = {}
+    for low, raw, rows in textkernel.chunks(batch.column(1)):
+        p = substring.Parsed(raw, rows, 20, 5)
+        words = [raw[a:b].tobytes() for a, b in zip(p.words.start, p.words.end)]
+        for s, r, h, c, new in zip(p.start, p.row, p.hash, p.check, p.first_here()):
+            g = tuple(words[s : s + 20])
+            assert first.setdefault((int(h), int(c)), g) == g
+            assert new == (not any(tuple(words[x : x + 20]) == g for x, y in zip(p.start, p.row) if y == r and x < s))
+
+
 # ---- 4
 
 

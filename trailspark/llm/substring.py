@@ -1,12 +1,14 @@
 """Substring dedup: windows of words that occur earlier in the corpus are marked.
 
-This stands in for a greedy relative Lempel-Ziv parse, which would take a quadratic pass of
-blocks over the corpus. The corpus is indexed by winnowed anchors: of the word grams inside each window of ``window`` words the
-one with the least hash, so equal windows have equal anchors wherever they stand. The
-index holds each anchor's hash; an anchor of only one document can mark no window and
-drops out. The windows of the others are grouped by their own hashes, and all but the first
-occurrence of each are marked. No factor is parsed: a run of marked windows is one span,
-never shorter than a window, and may come from many earlier places.
+This stands in for a greedy relative Lempel-Ziv parse. Factoring each document against every
+reference block takes a pass over all blocks for each block of documents, quadratic in the
+corpus, and references for all marked windows (document and place) would have to travel back to
+them; both are beyond the limits of disk and time. The corpus is indexed by winnowed anchors: of the word
+grams inside each window of ``window`` words the one with the least hash, so equal windows have
+equal anchors wherever they stand. The index holds each anchor's hash; an anchor of only one
+document can mark no window and drops out. The windows of the others are grouped by 96 bits of two hashes
+of their words, and all but the first occurrence of each are marked. No factor is parsed: a run
+of marked windows is one span, never shorter than a window, and may come from many earlier places.
 
 Shuffled are the anchors (one in about 8 words), the windows of anchors that repeat, and
 the texts once. Every grouping is a minimum or a count and is combined before its shuffle.
@@ -22,15 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailspark.llm import textkernel as tk
-from trailspark.llm.common import python_workers, stored
+from trailspark.llm.common import looked_up, python_workers, stored
 
 WINDOW = 20
 GRAM = 5
-_LAST = (1 << 63) - 1
+# Fixed value: the multiplier of the second hash of a window.
+CHECK_BASE = 0xA0761D6478BD642F
 
 
 class Parsed:
-    """The windows of a chunk: ``start`` (in words of the chunk), ``row``, ``hash`` and ``anchor`` of each."""
+    """The windows of a chunk: ``start`` (in words of the chunk), ``row``, ``hash``, ``check`` (32 bits of a second hash) and ``anchor`` of each."""
 
     def __init__(self, raw: np.ndarray, rows: np.ndarray, window: int, gram: int):
         self.words = w = tk.Words(raw, rows)
@@ -45,13 +48,16 @@ class Parsed:
         self.row = tk.row_of(w.first, n)[self.start]
         self.anchor = g[(low - (least[self.start] & low)).astype(np.int64)]
         self.hash = tk.grams(h, window, tk.WORD_BASES[1])[self.start]
+        self.check = (tk.grams(h, window, CHECK_BASE)[self.start] >> np.uint64(32)).astype(np.uint32)
         self.bounds = np.searchsorted(self.row, np.arange(len(rows)))
 
     def first_here(self) -> np.ndarray:
         """Which windows have no equal one earlier in their own row."""
-        order = np.lexsort((self.start, self.hash, self.row))
+        order = np.lexsort((self.start, self.check, self.hash, self.row))
         new = np.ones(len(order), dtype=bool)
-        new[1:] = (self.row[order][1:] != self.row[order][:-1]) | (self.hash[order][1:] != self.hash[order][:-1])
+        new[1:] = False
+        for v in (self.row, self.hash, self.check):
+            new[1:] |= v[order][1:] != v[order][:-1]
         out = np.empty(len(order), dtype=bool)
         out[order] = new
         return out
@@ -74,7 +80,21 @@ def _slice(batch: pa.RecordBatch, column: int, low: int, rows: np.ndarray) -> pa
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("k"), F.col(text_col).alias("text"))
+    """``doc_id``, ``k``, ``text``: longs in the order of the documents, equal only for rows of one id and one text.
+
+    Integers that are all there and distinct are their own keys. Else the distinct pairs of
+    id and digest of the text are sorted, null ids last, and numbered in that order.
+    """
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    if dict(source.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint"):
+        n, distinct = source.agg(F.count("*"), F.count_distinct("doc_id")).first()
+        if n == distinct:
+            return source.select("doc_id", F.col("doc_id").cast("long").alias("k"), "text")
+    digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    key = F.md5(F.concat(F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("null")), F.lit("|"), "digest").cast("binary"))
+    source = source.withColumn("digest", digest).withColumn("key", key)
+    ranks = source.select("doc_id", "digest", "key").distinct().orderBy(F.asc_nulls_last("doc_id"), "digest").select(F.col("key").alias("of"), F.monotonically_increasing_id().alias("k"))
+    return looked_up(source, "key", stored(ranks), "of").select("doc_id", "k", "text")
 
 
 def _anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -97,7 +117,8 @@ def _parse(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int,
     keyed = _keyed(docs, id_col, text_col)
     anchors = _anchors(keyed, window, gram)
     repeated = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    of_doc = stored(anchors.join(repeated, "anchor", "left_semi").groupBy("k").agg(F.collect_list("anchor").alias("anchors")))
+    # a set: rows of one key have equal texts, so no list grows with their number
+    of_doc = anchors.join(repeated, "anchor", "left_semi").groupBy("k").agg(F.collect_set("anchor").alias("anchors"))
     with_anchors = keyed.join(of_doc, "k", "left")
 
     def windows(batches):
@@ -106,10 +127,10 @@ def _parse(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int,
             for low, raw, rows in tk.chunks(batch.column(1)):
                 p = Parsed(raw, rows, window, gram)
                 pick = np.flatnonzero(p.listed(p.anchor, _slice(batch, 2, low, rows)) & p.first_here())
-                yield pa.RecordBatch.from_arrays([pa.array(k[low + p.row[pick]]), pa.array(p.hash[pick].view(np.int64))], names=["k", "window"])
+                yield pa.RecordBatch.from_arrays([pa.array(k[low + p.row[pick]]), pa.array(p.hash[pick].view(np.int64)), pa.array(p.check[pick].view(np.int32))], names=["k", "window", "check"])
 
-    seen = with_anchors.select("k", "text", "anchors").mapInArrow(windows, "k long, window long")
-    first = seen.groupBy("window").agg(F.min("k").alias("k")).groupBy("k").agg(F.collect_list("window").alias("firsts"))
+    seen = with_anchors.select("k", "text", "anchors").mapInArrow(windows, "k long, window long, check int")
+    first = seen.groupBy("window", "check").agg(F.min("k").alias("k")).groupBy("k").agg(F.collect_list("window").alias("firsts"))
     return with_anchors.join(first, "k", "left").select("doc_id", "text", "anchors", "firsts").mapInArrow(run, schema)
 
 
@@ -129,8 +150,11 @@ def _covered(batch: pa.RecordBatch, window: int, gram: int):
 def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """One row per document: id, ``n_words``, ``n_removed``, ``spans`` (word ranges, end exclusive) and ``kept_text``.
 
-    Null and empty texts have no words. Rows of one id are one document: none of them is
-    earlier than another. A null id counts as the largest. Other columns aren't carried.
+    Null and empty texts have no words. Ids may be of any type that can be ordered; null ids
+    come last. Rows of one id (or of a null one) with equal texts are one document: none of
+    them is earlier than another; with different texts they come in the order of a digest of
+    the text. Two windows count as equal by 96 bits of two hashes; where one hash alone meets,
+    nothing is removed. Other columns aren't carried.
     """
     schema = f"doc_id {dict(docs.select(F.col(id_col).alias('doc_id')).dtypes)['doc_id']}, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept_text string"
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
