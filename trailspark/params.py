@@ -18,6 +18,7 @@ class Kinematics:
     spike_window_s: float = 0.2
     scales_s: tuple = (0.16, 0.24, 0.36, 0.54, 0.8)
     search_s: tuple = (-2.0, 0.5)
+    slip_s: float = 0.5  # over which a coherent slip shows in places
 
 
 @dataclass(frozen=True)

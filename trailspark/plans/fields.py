@@ -11,7 +11,8 @@ from trailspark.functions.geometry import kmh
 from trailspark.operators import graph, kernels, sequences, windows
 from trailspark.operators.lineage import python_workers
 from trailspark.params import Quality
-from trailspark.plans.kinematics import STATION, with_state, with_station
+from trailspark.plans import sql
+from trailspark.plans.kinematics import STATES, STATION, with_state, with_station
 from trailspark.plans.trk import HIGH, LOW, TRK, query, rounded, table, trk
 
 DAY = 86400
@@ -184,17 +185,17 @@ def wave_fits(spark, sf_dir):
     return wave_fit(events, front, 20.0)
 
 
-@query()
+@query(f"WITH RECURSIVE {TRK}, zs AS (SELECT track_id, k, (t - min(t) OVER (PARTITION BY track_id)) / {DAY} AS t, x, y, 1.0 AS jac FROM trk), {sql.smoother('zs', 'sm', 50.0)} SELECT track_id, k, round(t, 4) AS t, round(x, 4) AS x, round(y, 4) AS y, round(speed, 4) AS speed FROM sm")
 def kalman_smooth(spark, sf_dir):
     df = trk(spark, sf_dir).withColumn("t", (F.col("t") - F.min("t").over(Window.partitionBy("track_id"))) / DAY)
-    return rounded(kernels.smooth_tracks(df, 50.0))
+    return rounded(kernels.smooth_tracks(df, 50.0), 4)
 
 
-@query()
+@query(f"WITH RECURSIVE {STATES}, {sql.onsets('trk', 'runs', 'onset', LOW, 50.0, 3600.0)}, {sql.wavelets('trk', 'onset', 'wv', 25.0)} SELECT track_id, frame, round(t_wav, 1) AS t_wav FROM onset LEFT JOIN wv USING (track_id, frame)")
 def wavelet_onsets(spark, sf_dir):
     df = with_state(trk(spark, sf_dir))
     onsets = sequences.stop_onsets(df, sequences.runs(df, "stopped"), LOW, 50.0, 3600.0)
-    return kernels.wavelet_onsets(df, onsets, 25.0)
+    return rounded(kernels.wavelet_onsets(df, onsets, 25.0), 1)
 
 
 @query()

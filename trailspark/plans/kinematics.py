@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trailspark.functions import geometry as g
 from trailspark.operators import joins, sequences, windows
+from trailspark.plans import sql
 from trailspark.plans.trk import HIGH, LOW, TRK, query, rounded, trk
 
 STATES = f"""{TRK},
@@ -32,7 +32,7 @@ def state_runs(spark, sf_dir):
     return sequences.runs(with_state(trk(spark, sf_dir)), "stopped").withColumn("run_no", F.col("run_no").cast("long"))
 
 
-@query()
+@query(f"WITH RECURSIVE {STATES}, {sql.absorbed('st', 'ab', 3)} SELECT * FROM ab")
 def absorbed_runs(spark, sf_dir):
     return sequences.state_runs(with_state(trk(spark, sf_dir)), "stopped", 3)
 
@@ -145,7 +145,11 @@ def line_crossings(spark, sf_dir):
     return rounded(df.where(hit).select("track_id", "k", (F.col("pt") + part * (F.col("t") - F.col("pt"))).alias("t")), 1)
 
 
-@query()
+_CROSSED = """cr AS (SELECT track_id, k, round(pt + (150 - px) / (x - px) * (t - pt), 1) AS t FROM (SELECT track_id, k, t, x, y, lag(x) OVER w AS px, lag(y) OVER w AS py, lag(t) OVER w AS pt FROM trk WINDOW w AS (PARTITION BY track_id ORDER BY k))
+WHERE px < 150 AND x >= 150 AND (py + (150 - px) / (x - px) * (y - py)) / 100 BETWEEN -0.15 AND 1.15)"""
+
+
+@query(f"WITH RECURSIVE {TRK}, {_CROSSED}, {sql.refractory('cr', 'ok', 4 * 86400.0)} SELECT * FROM ok")
 def accepted_crossings(spark, sf_dir):
     """Crossings at least four days after the last accepted one."""
     return sequences.refractory(line_crossings(spark, sf_dir), ["track_id"], "t", 4 * 86400.0)
@@ -342,12 +346,12 @@ def stop_onsets(spark, sf_dir):
     return rounded(out).withColumn("t", F.round("t", 1))
 
 
-@query()
+@query(f"WITH RECURSIVE {TRK}, {sql.three_states('trk', 'q3', LOW, HIGH, 2)} SELECT * FROM q3")
 def three_states(spark, sf_dir):
     return sequences.three_states(trk(spark, sf_dir), LOW, HIGH, 2).select("track_id", "k", "state")
 
 
-@query()
+@query(f"WITH RECURSIVE {TRK}, fr AS (SELECT track_id, k AS frame, x, y FROM trk), {sql.screened('fr', 'kept', 150.0)} SELECT * FROM kept")
 def jump_screen(spark, sf_dir):
     df = trk(spark, sf_dir).withColumnRenamed("k", "frame")
     return sequences.screen_jumps(df, 150.0).select("track_id", "frame", "x", "y")
@@ -380,7 +384,7 @@ def onset_flips(spark, sf_dir):
 
 @query(
     f"""WITH {TRK}, s AS (SELECT track_id, k, {SIMPLE} AS state FROM trk),
-o AS (SELECT DISTINCT track_id, f AS frame, st FROM s, (VALUES (10, 'stopped'), (12, 'rolling'), (30, 'braking')) v(f, st) WHERE track_id % 3 = 0),
+o AS (SELECT DISTINCT track_id, f AS frame, st FROM s, (VALUES (10, 'stopped'), (12, 'rolling'), (30, 'braking')) v(f, st)),
 c AS (SELECT *, CASE WHEN lag(state) OVER (PARTITION BY track_id ORDER BY k) = state THEN NULL ELSE k END AS ch FROM s),
 g AS (SELECT *, max(ch) OVER (PARTITION BY track_id ORDER BY k) AS seg FROM c),
 p AS (SELECT o.track_id, o.frame, o.st, min(g.k) AS a, arg_min(g.seg, g.k) AS pseg FROM o JOIN g ON g.track_id = o.track_id AND g.k >= o.frame GROUP BY 1, 2, 3)
@@ -389,13 +393,5 @@ SELECT g.track_id, g.k, coalesce(arg_max(p.st, p.frame), any_value(g.state)) AS
 def override_apply(spark, sf_dir):
     s = simple_states(trk(spark, sf_dir)).select("track_id", "k", "state")
     pins = spark.createDataFrame([(10, "stopped"), (12, "rolling"), (30, "braking")], "frame long, state string")
-    o = s.where("track_id % 3 = 0").select("track_id").distinct().crossJoin(F.broadcast(pins))
+    o = s.select("track_id").distinct().crossJoin(F.broadcast(pins))
     return sequences.pin_overrides(s, o)
-
-
-def first_last(df, key="track_id", order="k"):
-    return df.groupBy(key).agg(F.min(order).alias("f0"), F.max(order).alias("f1"))
-
-
-def ranked(df, by, order):
-    return df.withColumn("rk", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

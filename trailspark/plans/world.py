@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailspark.functions import geometry as g
-from trailspark.operators import kernels, sequences, windows
+from trailspark.operators import kernels, sequences, smoothing, windows
 from trailspark.operators.lineage import python_workers, stored
-from trailspark.params import Kinematics
+from trailspark.params import Kinematics, Slip
 from trailspark.plans.scene import hidden_tracks
 from trailspark.plans.trk import query, rounded, trk
 
@@ -21,11 +21,12 @@ H_COLS = [f"h{r}{c}" for r in (1, 2, 3) for c in (1, 2, 3)]
 
 @dataclass(frozen=True)
 class World:
-    samples: DataFrame  # track_id, k, frame, t, x, y, speed
+    samples: DataFrame  # track_id, k, frame, t, x, y, speed, zv_mag
     runs: DataFrame  # track_id, run_no, stopped, f0, f1
-    events: DataFrame  # track_id, frame, t, x, y
-    tracks: DataFrame  # track_id, n, path, net, static
+    events: DataFrame  # track_id, frame, t, t_wav, x, y
+    tracks: DataFrame  # track_id, n, path, net, static, zv_med_x, zv_med_y
     car_len: float
+    field: DataFrame | None  # frame, a11, a12, a21, a22, b1, b2, spread of the slip
 
 
 def lifted(observations: DataFrame, homographies: DataFrame) -> DataFrame:
@@ -52,45 +53,116 @@ def is_static(stats: DataFrame, car: float) -> DataFrame:
     return stats.withColumn("static", (F.col("t1") - F.col("t0") >= 3) & (F.col("net") < 1.5 * car) & (F.col("path") < 4 * car))
 
 
+def flow_noise(flow: DataFrame, dt: float, ref_frame: bool, floor: float = Kinematics.flow_floor_px) -> DataFrame:
+    """(track_id, frame, vx, vy, sv) of measured displacements (vx, vy, n, spread, jac).
+
+    The noise is a floor or the standard error of the median displacement, over ``dt``. The
+    local scale is divided out of chained homographies, whose errors it carries; those of a
+    reference frame are trusted, and the scale only raises the floor.
+    """
+    jac = F.greatest(F.col("jac"), F.lit(1e-6))
+    error = 1.858 * F.col("spread") / F.sqrt("n")
+    if ref_frame:
+        return flow.select("track_id", "frame", "vx", "vy", (F.greatest(floor * jac, error) / dt).alias("sv"))
+    return flow.select("track_id", "frame", (F.col("vx") / jac).alias("vx"), (F.col("vy") / jac).alias("vy"), (F.greatest(F.lit(floor), error / jac) / dt).alias("sv"))
+
+
+def parked_candidates(rows: DataFrame, car: float, fps: float, p: Kinematics = Kinematics()) -> DataFrame:
+    """Tracks of enough samples that live 3 s or more and whose last places' median is within 1.5 car lengths of that of the first (nine of each, or half)."""
+    w = windows.along("track_id", "frame")
+    n = F.count("*").over(Window.partitionBy("track_id"))
+    rows = rows.withColumns({"__i": F.row_number().over(w), "__n": n}).withColumn("__m", F.least(F.lit(9), F.floor(F.col("__n") / 2)))
+    first, last = F.col("__i") <= F.col("__m"), F.col("__i") > F.col("__n") - F.col("__m")
+    middle = lambda c, part: F.percentile(F.when(part, F.col(c)), F.lit(0.5))
+    ends = rows.groupBy("track_id").agg(F.count("*").alias("n"), ((F.max("frame") - F.min("frame")) / fps).alias("life"), F.hypot(middle("x", last) - middle("x", first), middle("y", last) - middle("y", first)).alias("net"))
+    return ends.where((F.col("n") >= p.min_frames) & (F.col("life") >= 3) & (F.col("net") < 1.5 * car)).select("track_id")
+
+
+def slip_model(parked: DataFrame, flow: DataFrame, last_frame: int, pool: int, p: Slip = Slip()) -> DataFrame | None:
+    """The slip field of each frame from the flow of ``parked`` samples (track_id, frame, x, y), gaps interpolated; None below ten fitted frames.
+
+    Frames are those of one clip, so the field is a small table.
+    """
+    seen = parked.join(flow.select("track_id", "frame", "vx", "vy"), ["track_id", "frame"]).where(F.col("frame") < last_frame)
+    fitted = stored(kernels.slip_field(seen, "frame", pool, p.min_pool))
+    if fitted.count() < p.min_frames:
+        return None
+    names = ["a11", "a12", "a21", "a22", "b1", "b2", "spread"]
+    return windows.gap_fill(fitted.withColumn("clip", F.lit(0)), names, "clip").select("frame", *names)
+
+
+def slipped(rows: DataFrame, field: DataFrame, timescale: float, p: Slip = Slip()) -> DataFrame:
+    """``rows`` (frame, x, y and perhaps vx, vy, sv) with the slip taken from the speeds, its spread added to their noise, and ``slip``, its share of the places' noise.
+
+    Frames before the first of the field take its first, frames after the last its last.
+    """
+    low, high = field.agg(F.min("frame"), F.max("frame")).first()
+    f = field.withColumnRenamed("frame", "__f")
+    out = rows.join(f, F.greatest(F.lit(low), F.least(F.lit(high), F.col("frame"))) == F.col("__f"))
+    sx = (F.col("a11") * F.col("x") + F.col("a12") * F.col("y")) / p.position_scale + F.col("b1")
+    sy = (F.col("a21") * F.col("x") + F.col("a22") * F.col("y")) / p.position_scale + F.col("b2")
+    out = out.withColumn("slip", F.hypot(sx, sy) * timescale)
+    if "vx" in rows.columns:
+        out = out.withColumns({"vx": F.col("vx") - sx, "vy": F.col("vy") - sy, "sv": F.hypot("sv", "spread")})
+    return out.drop(*f.columns)
+
+
 def _smooth(rows: DataFrame, car: float, p: Kinematics) -> DataFrame:
-    """One crossing to Python for the spike clip, both passes of the smoother and the speed."""
-    python_workers(rows.sparkSession)
+    """Both passes of the smoother, many tracks in one crossing to Python; ``zv_mag`` is the size of the measured velocity."""
     has_flow = "vx" in rows.columns
-    cols = ["track_id", "frame", "t", "x", "y", "jac"] + (["vx", "vy"] if has_flow else [])
+    cols = ["track_id", "frame", "t", "x", "y", "jac", "slip"] + (["vx", "vy", "sv"] if has_flow else [])
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("frame")
-        zv = {}
-        for axis in ("x", "y") if has_flow else ():
-            v = f[f"v{axis}"].to_numpy(dtype=float).copy()
-            ok = np.isfinite(v)
-            if ok.sum() >= 5:
-                t = f["t"].to_numpy()[ok]
-                low, high = np.searchsorted(t, t - p.spike_window_s, "left"), np.searchsorted(t, t + p.spike_window_s, "right")
-                middle = np.array([np.median(v[ok][a:b]) for a, b in zip(low, high, strict=True)])
-                band = p.accel * car * p.spike_window_s + 0.3 * car
-                v[ok] = np.clip(v[ok], middle - band, middle + band)
-            zv[axis] = v
-        out = kernels.smooth_track(f["t"], f["x"], f["y"], car, f["jac"], zv or None, p.flow_floor_px if has_flow else None, 0.0, p.sigma_meas, p.sigma_jerk)
-        return pd.DataFrame({"track_id": f["track_id"].to_numpy(), "k": np.arange(len(f)), "frame": f["frame"].to_numpy(), "t": f["t"].to_numpy(), "x": out.x, "y": out.y, "speed": out.speed})
+        bounds = smoothing.bounds_of(f["track_id"])
+        zv = f[["vx", "vy"]].to_numpy(dtype=float) if has_flow else None
+        sv = f["sv"].fillna(1.0).to_numpy(dtype=float) if has_flow else None
+        out = smoothing.smooth_tracks(bounds, f["t"].to_numpy(), f["x"], f["y"], car, f["jac"], zv, sv, f["slip"].to_numpy(), p.sigma_meas, p.sigma_jerk, p.gate)
+        k = np.arange(len(f)) - np.repeat(bounds[:-1], np.diff(bounds))
+        mag = np.hypot(zv[:, 0], zv[:, 1]) if has_flow else np.full(len(f), np.nan)
+        return pd.DataFrame({"track_id": f["track_id"], "k": k, "frame": f["frame"], "t": f["t"], "x": out.x, "y": out.y, "speed": out.speed, "zv_mag": mag})
 
     kinds = dict(rows.dtypes)
-    return rows.select(*cols).groupBy("track_id").applyInPandas(run, f"track_id {kinds['track_id']}, k long, frame {kinds['frame']}, t double, x double, y double, speed double")
+    out = smoothing.whole_groups(rows.select(*cols), "track_id", ["frame"], run, f"track_id {kinds['track_id']}, k long, frame {kinds['frame']}, t double, x double, y double, speed double, zv_mag double")
+    return out.withColumn("zv_mag", F.nanvl("zv_mag", F.lit(None).cast("double")))
+
 
+def world(observations: DataFrame, homographies: DataFrame, fps: float, flow: DataFrame | None = None, p: Kinematics = Kinematics(), ref_frame: bool = False, flow_dt: float | None = None) -> World:
+    """All tables of the stage.
 
-def world(observations: DataFrame, homographies: DataFrame, fps: float, flow: DataFrame | None = None, p: Kinematics = Kinematics()) -> World:
-    """All tables of the stage. ``flow`` (track_id, frame, vx, vy) fuses measured velocities where given."""
-    rows = long_enough(lifted(observations, homographies), p.min_frames)
+    ``flow`` (track_id, frame, vx, vy, n, spread, jac; measured over ``flow_dt`` seconds, one
+    frame by default) is fused where given: its noise is modelled, the slip that parked
+    tracks show is taken off, spikes are clipped, and the smoother weighs what is left.
+    """
+    places = lifted(observations, homographies)
+    rows = long_enough(places, p.min_frames)
     car = car_length(rows)
-    rows = long_enough(sequences.screen_jumps(rows, p.jump * car), p.min_frames).withColumn("t", F.col("frame") / F.lit(float(fps)))
+    rows = long_enough(sequences.screen_jumps(rows, p.jump * car), p.min_frames).withColumn("t", F.col("frame") / F.lit(float(fps))).withColumn("slip", F.lit(0.0))
+    field = None
     if flow is not None:
-        rows = rows.join(flow.select("track_id", "frame", "vx", "vy"), ["track_id", "frame"], "left")
+        speeds = stored(flow_noise(flow, flow_dt or 1.0 / fps, ref_frame, p.flow_floor_px))
+        last = homographies.agg(F.max("frame")).first()[0] or 0
+        parked = places.join(parked_candidates(places, car, fps, p), "track_id", "left_semi").select("track_id", "frame", "x", "y")
+        field = slip_model(parked, speeds, last, 0 if ref_frame else Slip.pool)
+        rows = rows.join(speeds, ["track_id", "frame"], "left")
+        if field is not None:
+            rows = slipped(rows.drop("slip"), field, 1.0 / fps if ref_frame else p.slip_s)
+        band = p.accel * car * p.spike_window_s + 0.3 * car
+        for axis in ("vx", "vy"):
+            rows = windows.clip_spikes(rows, axis, p.spike_window_s, band).withColumn(axis, F.col(f"{axis}_clipped")).drop(f"{axis}_clipped")
+    rows = stored(rows)
     samples = stored(_smooth(rows, car, p))
     marked = samples.withColumn("stopped", sequences.hysteresis("speed", p.v_stop * car, p.v_move * car))
-    runs = stored(sequences.state_runs(marked, "stopped", max(1, int(p.min_run_s * fps))))
-    events = sequences.stop_onsets(samples, runs, p.v_stop * car, 2 * car, 0.8)
-    tracks = is_static(windows.path_stats(samples), car).select("track_id", "n", "path", "net", "static")
-    return World(samples, runs, events, tracks, car)
+    runs = stored(sequences.state_runs(marked, "stopped", max(1, int(p.min_run_s * fps)), order="frame"))
+    onsets = stored(sequences.stop_onsets(samples, runs, p.v_stop * car, 2 * car, 0.8, order="frame"))
+    waves = kernels.wavelet_onsets(samples, onsets, fps, order="frame")
+    events = onsets.join(waves, ["track_id", "frame"]).withColumn("t_wav", F.coalesce("t_wav", "t"))
+    tracks = is_static(windows.path_stats(samples), car)
+    if flow is not None:
+        seen = rows.where("vx is not null").groupBy("track_id").agg(F.count("*").alias("__n"), F.percentile("vx", F.lit(0.5)).alias("zv_med_x"), F.percentile("vy", F.lit(0.5)).alias("zv_med_y"))
+        tracks = tracks.join(seen.where(F.col("__n") >= 10), "track_id", "left")
+    else:
+        tracks = tracks.withColumns({"zv_med_x": F.lit(None).cast("double"), "zv_med_y": F.lit(None).cast("double")})
+    return World(samples, runs, events, tracks.select("track_id", "n", "path", "net", "static", "zv_med_x", "zv_med_y"), car, field)
 
 
 def manual_world(points: DataFrame, homographies: DataFrame, fps: float) -> DataFrame:
