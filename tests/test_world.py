@@ -77,7 +77,7 @@ def test_hidden_judges_all_tracks(spark):
 
 def test_editor_hides_the_hidden(spark):
     sf = "/root/testdata/sf0.001"
-    hide = {r.track_id for r in scene.hidden_tracks(spark, sf).collect()}
+    hide = {r.track_id for r in scene.hidden_ids(spark, sf).collect()}
     every = {r.track_id for r in trk(spark, sf).select("track_id").distinct().collect()}
     assert any(i % 2 for i in hide) and {r.track_id for r in w.editor_documents(spark, sf).collect()} == {i for i in every - hide if i >= 0}
 

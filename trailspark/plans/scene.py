@@ -157,19 +157,17 @@ def trails(samples: DataFrame, length: int, min_straight: float = 0.8, key: str
 ZONES = [[(0.0, 0.0), (80.0, 0.0), (80.0, 60.0), (0.0, 60.0)], [(200.0, 40.0), (300.0, 40.0), (300.0, 100.0), (200.0, 100.0)]]
 
 
-@query(
-    f"""WITH {TRK}, m AS (SELECT track_id, quantile_cont(x, 0.5) AS x, quantile_cont(y, 0.5) AS y FROM trk WHERE track_id % 2 = 0 GROUP BY track_id)
-SELECT track_id FROM m WHERE ((y > 0) <> (y > 60) AND x < 80 AND x >= 0) OR ((y > 40) <> (y > 100) AND x < 300 AND x >= 200)"""
-)
-def hidden_ids(spark, sf_dir):
-    """The zones' tracks of even id, as the SQL has them; ``hidden_tracks`` judges all."""
-    return hidden(trk(spark, sf_dir).where("track_id % 2 = 0"), ZONES)
+HIDDEN = f"""{STATION}, md AS (SELECT track_id, quantile_cont(x, 0.5) AS x, quantile_cont(y, 0.5) AS y FROM trk GROUP BY track_id),
+hs AS (SELECT *, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM trk WINDOW w AS (PARTITION BY track_id ORDER BY k)),
+hp AS (SELECT track_id FROM hs GROUP BY track_id HAVING max(t) - min(t) >= 3 AND sqrt(power(arg_max(x, k) - arg_min(x, k), 2) + power(arg_max(y, k) - arg_min(y, k), 2)) < 60 AND sum(sqrt(dx * dx + dy * dy)) < 9000),
+hd AS (SELECT md.track_id, min(sqrt(power(x - ax - u * (bx - ax), 2) + power(y - ay - u * (by_ - ay), 2))) AS d FROM (SELECT md.*, seg.*, greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) AS u FROM md, seg) md GROUP BY md.track_id),
+hid AS (SELECT track_id FROM md JOIN hd USING (track_id) WHERE ((y > 0) <> (y > 60) AND x < 80 AND x >= 0) OR ((y > 40) <> (y > 100) AND x < 300 AND x >= 200) OR (track_id IN (SELECT track_id FROM hp) AND d > 3.5 * 4))"""
 
 
-@query()
-def hidden_tracks(spark, sf_dir):
+@query(f"WITH {HIDDEN} SELECT track_id FROM hid")
+def hidden_ids(spark, sf_dir):
     """All tracks in a zone, and the static ones off the road."""
-    return hidden(trk(spark, sf_dir), ZONES, static_tracks(spark, sf_dir), [POLYLINE], 25.0)
+    return hidden(trk(spark, sf_dir), ZONES, static_tracks(spark, sf_dir), [POLYLINE], 4.0)
 
 
 @query(

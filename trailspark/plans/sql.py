@@ -77,12 +77,12 @@ def onsets(samples: str, runs: str, out: str, v_stop: float, min_path: float, mi
 
 def wavelets(samples: str, events: str, out: str, fps: float, scales=(0.16, 0.24, 0.36, 0.54, 0.8), search=(-2.0, 0.5)) -> str:
     """``out`` (track_id, frame, t_wav) for ``events`` (track_id, frame): the greatest wavelet energy, a sample a row."""
-    values = ", ".join(f"({max(w * fps, 1.5)!r}::DOUBLE, {int(10 * max(w * fps, 1.5)) // 2})" for w in scales)
+    values = ", ".join(f"({j}, {max(w * fps, 1.5)!r}::DOUBLE, {int(10 * max(w * fps, 1.5)) // 2})" for j, w in enumerate(scales))
     return f"""{out}_i AS (SELECT track_id, k, t, speed, row_number() OVER (PARTITION BY track_id ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY track_id) AS n FROM {samples}),
 {out}_e AS (SELECT e.track_id, e.frame, i.i AS spot, i.n FROM {events} e JOIN {out}_i i ON i.track_id = e.track_id AND i.k = e.frame),
 {out}_p AS (SELECT *, unnest(range(greatest(0, spot + {int(search[0] * fps)} - 1), least(n, spot + {int(search[1] * fps)} + 2))) AS i FROM {out}_e),
-{out}_w(a, half) AS (VALUES {values}),
-{out}_c AS (SELECT p.track_id, p.frame, p.spot, p.n, p.i, w.a, sum(s.speed * 2 / sqrt(3 * w.a) / power(pi(), 0.25) * (1 - power((s.i - p.i) / w.a, 2)) * exp(-power((s.i - p.i) / w.a, 2) / 2)) AS c
+{out}_w(j, a, half) AS (VALUES {values}),
+{out}_c AS (SELECT p.track_id, p.frame, p.spot, p.n, p.i, w.j, sum(s.speed * 2 / sqrt(3 * w.a) / power(pi(), 0.25) * (1 - power((s.i - p.i) / w.a, 2)) * exp(-power((s.i - p.i) / w.a, 2) / 2)) AS c
   FROM {out}_p p CROSS JOIN {out}_w w JOIN {out}_i s ON s.track_id = p.track_id AND abs(s.i - p.i) <= least(w.half, (p.n - 1) // 2) GROUP BY ALL),
 {out}_g AS (SELECT track_id, frame, spot, n, i, sum(c * c) AS e FROM {out}_c GROUP BY ALL),
 {out}_b AS (SELECT track_id, frame, n, count(*) AS wide, arg_max(i, {{'e': e, 'i': -i}}) AS i FROM {out}_g WHERE i BETWEEN spot + {int(search[0] * fps)} AND spot + {int(search[1] * fps)} GROUP BY ALL),

@@ -13,8 +13,9 @@ from trailspark.functions import geometry as g
 from trailspark.operators import kernels, sequences, smoothing, windows
 from trailspark.operators.lineage import python_workers, stored
 from trailspark.params import Kinematics, Slip
-from trailspark.plans.scene import hidden_tracks
-from trailspark.plans.trk import query, rounded, trk
+from trailspark.plans import sql
+from trailspark.plans.scene import HIDDEN, hidden_ids
+from trailspark.plans.trk import HIGH, LOW, TRK, query, rounded, trk
 
 H_COLS = [f"h{r}{c}" for r in (1, 2, 3) for c in (1, 2, 3)]
 
@@ -210,10 +211,12 @@ def backfill(samples: DataFrame, focus: DataFrame, car: float, v_stop: float, ne
     return rows.select("clip", "track_id", "frame", "x", "y", "speed").groupBy("clip").applyInPandas(run, f"track_id {kinds['track_id']}, frame {kinds['frame']}, x double, y double")
 
 
-def parked_flow(samples: DataFrame, static: DataFrame) -> DataFrame:
-    """Medians over static tracks: raw and corrected speed, and the size of the median velocity."""
-    per = samples.join(static.where("static").select("track_id"), "track_id", "left_semi").groupBy("track_id").agg(F.percentile(F.hypot("vx", "vy"), F.lit(0.5)).alias("raw"), F.percentile(F.hypot(F.col("vx") - F.col("bx"), F.col("vy") - F.col("by")), F.lit(0.5)).alias("corrected"), F.hypot(F.percentile("vx", F.lit(0.5)), F.percentile("vy", F.lit(0.5))).alias("bias"))
-    return per.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in ("raw", "corrected", "bias")])
+def parked_flow(samples: DataFrame, parked: DataFrame) -> DataFrame:
+    """Medians over the ``parked`` tracks of their medians: raw speed, speed without the slip (bx, by), and the size of the median velocity without it."""
+    middle = lambda c: F.percentile(c, F.lit(0.5))
+    cx, cy = F.col("vx") - F.col("bx"), F.col("vy") - F.col("by")
+    per = samples.join(parked.select("track_id"), "track_id", "left_semi").groupBy("track_id").agg(middle(F.hypot("vx", "vy")).alias("raw"), middle(F.hypot(cx, cy)).alias("corrected"), F.hypot(middle(cx), middle(cy)).alias("bias"))
+    return per.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in ("raw", "corrected", "bias")], F.count("*").alias("n"))
 
 
 def key_frames(frames: DataFrame, max_frames: int, max_shift: float, key: str = "clip") -> DataFrame:
@@ -279,31 +282,163 @@ def editor_payload(samples: DataFrame, states: DataFrame, hide: DataFrame) -> Da
     return rows.select("track_id", F.to_json(F.struct("track_id", F.col("p.k").alias("frames"), F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.array_join("p.s", "").alias("states"))).alias("payload"))
 
 
+_PINNED = """ov(track_id, frame, st) AS (VALUES (3, 10, 'stopped'), (6, 20, 'rolling'), (6, 22, 'braking'), (9, 0, 'stopped')),
+pc AS (SELECT *, CASE WHEN lag(state) OVER (PARTITION BY track_id ORDER BY k) = state THEN NULL ELSE k END AS ch FROM q3), pg AS (SELECT *, max(ch) OVER (PARTITION BY track_id ORDER BY k) AS seg FROM pc),
+pa AS (SELECT ov.track_id, ov.frame, ov.st, min(pg.k) AS a, arg_min(pg.seg, pg.k) AS pseg FROM ov JOIN pg ON pg.track_id = ov.track_id AND pg.k >= ov.frame GROUP BY 1, 2, 3),
+pinned AS (SELECT pg.track_id, pg.k, coalesce(arg_max(pa.st, pa.frame), any_value(pg.state)) AS state FROM pg LEFT JOIN pa ON pa.track_id = pg.track_id AND pa.pseg = pg.seg AND pg.k >= pa.a GROUP BY pg.track_id, pg.k)"""
+#: The observations of :func:`observed` in SQL, and their places under the homographies.
+OBSERVED = f"""{TRK},
+ob AS (SELECT track_id, cls, k, k AS frame, sum(CASE WHEN k % 40 < 24 THEN 4 + (track_id % 5) * 0.5 ELSE 0.0 END) OVER (PARTITION BY track_id ORDER BY k)::DOUBLE + y / 200 AS cx, 5.0 * (track_id % 7) + y / 300 AS cy, y FROM trk),
+li AS (SELECT track_id, k, frame, frame / 5 AS t, cx + 2 AS x, cy - 1 AS y, 1.0::DOUBLE AS jac FROM ob WHERE frame < 60)"""
+WORLD = f"""{OBSERVED}, zs AS (SELECT * FROM li WHERE track_id IN (SELECT track_id FROM li GROUP BY track_id HAVING count(*) >= 12)), {sql.smoother('zs', 'sm', 30.0)}"""
+EVENTS = f"""{WORLD}, {sql.hysteresis('sm', 'hy', 3.0, 6.6)}, {sql.absorbed('hy', 'ab', 2)}, {sql.onsets('sm', 'ab', 'onset', 3.0, 60.0, 0.8)}"""
+
+
 def observed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """The trajectory view as observations, and a homography for each of its frames."""
-    df = trk(spark, sf_dir).select("track_id", "cls", F.col("k").alias("frame"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.lit(30.0).alias("w"), F.lit(15.0).alias("h"), F.lit(0.9).alias("conf"))
-    h = df.select("frame").distinct().select("frame", *[F.lit(v).alias(c) for c, v in zip(H_COLS, (1.0, 0.0, 2.0, 0.0, 1.0, -1.0, 0.0, 0.0, 1.0), strict=True)])
+    """The tracks as observations of cars that drive for 24 frames and stand for 16, and a homography for each of the first 60 frames."""
+    df = trk(spark, sf_dir)
+    gone = F.sum(F.when(F.col("k") % 40 < 24, 4 + F.col("track_id") % 5 * 0.5).otherwise(0.0)).over(windows.along().rowsBetween(Window.unboundedPreceding, 0))
+    df = df.select("track_id", "cls", F.col("k").alias("frame"), (gone + F.col("y") / 200).alias("cx"), (5.0 * (F.col("track_id") % 7) + F.col("y") / 300).alias("cy"), F.lit(30.0).alias("w"), F.lit(15.0).alias("h"), F.lit(0.9).alias("conf"), "y")
+    h = spark.range(60).select(F.col("id").alias("frame"), *[F.lit(v).alias(c) for c, v in zip(H_COLS, (1.0, 0.0, 2.0, 0.0, 1.0, -1.0, 0.0, 0.0, 1.0), strict=True)])
     return df, h
 
 
-@query()
+@query(f"WITH {OBSERVED} SELECT track_id, frame, round(x, 6) AS x, round(y, 6) AS y, jac FROM li")
+def lifted_places(spark, sf_dir):
+    """Observations under their frame's homography; those beyond the last one drop out."""
+    obs, h = observed(spark, sf_dir)
+    return rounded(lifted(obs.drop("y"), h).select("track_id", "frame", "x", "y", "jac"))
+
+
+@query(f"WITH {TRK} SELECT track_id, k FROM trk WHERE track_id IN (SELECT track_id FROM trk GROUP BY track_id HAVING count(*) >= 70)")
+def long_tracks(spark, sf_dir):
+    return long_enough(trk(spark, sf_dir), 70).select("track_id", "k")
+
+
+@query(f"WITH {TRK} SELECT round(quantile_cont(greatest(20 + y / 10, 24.0), 0.5), 6) AS car FROM trk WHERE k % 5 = 0")
+def car_scale(spark, sf_dir):
+    """The car length of boxes of changing width, every fifth of a track counting."""
+    rows = trk(spark, sf_dir).select("track_id", F.col("k").alias("frame"), (20 + F.col("y") / 10).alias("w"), F.lit(24.0).alias("h"), F.lit(1.0).alias("jac"))
+    return spark.createDataFrame([(round(car_length(rows), 6),)], "car double")
+
+
+@query(f"WITH RECURSIVE {WORLD} SELECT track_id, k, k AS frame, round(t, 3) AS t, round(x, 3) AS x, round(y, 3) AS y, round(speed, 3) AS speed FROM sm")
 def world_samples(spark, sf_dir):
-    return rounded(world(*observed(spark, sf_dir), 25.0, p=Kinematics(jump=20.0)).samples)
+    obs, h = observed(spark, sf_dir)
+    return rounded(world(obs.drop("y"), h, 5.0).samples.drop("zv_mag"), 3)
 
 
-@query()
+@query(f"WITH RECURSIVE {EVENTS}, {sql.wavelets('sm', 'onset', 'wv', 5.0)} SELECT track_id, frame, round(t, 3) AS t, round(coalesce(t_wav, t), 3) AS t_wav, round(x, 3) AS x, round(y, 3) AS y FROM onset LEFT JOIN wv USING (track_id, frame)")
 def world_events(spark, sf_dir):
-    return rounded(world(*observed(spark, sf_dir), 25.0, p=Kinematics(jump=20.0)).events)
+    obs, h = observed(spark, sf_dir)
+    return rounded(world(obs.drop("y"), h, 5.0).events, 3)
+
+
+@query(f"WITH RECURSIVE {EVENTS} SELECT * FROM ab")
+def world_runs(spark, sf_dir):
+    obs, h = observed(spark, sf_dir)
+    return world(obs.drop("y"), h, 5.0).runs
+
+
+#: Measured displacements: y stands for their noise; those of three of four samples of two of three tracks are there.
+FLOW = f"{OBSERVED}, fl AS (SELECT track_id, k AS frame, 10 + (y - 50) / 10 AS vx, -4 + (y - 50) / 20 AS vy, 4 + k % 5 AS n, y / 100 AS spread, 1 + y / 200 AS jac FROM trk WHERE k % 4 <> 3 AND track_id % 3 <> 2)"
+
+
+def measured(spark, sf_dir) -> DataFrame:
+    y = F.col("y")
+    return trk(spark, sf_dir).where("k % 4 <> 3 and track_id % 3 <> 2").select("track_id", F.col("k").alias("frame"), (10 + (y - 50) / 10).alias("vx"), (-4 + (y - 50) / 20).alias("vy"), (4 + F.col("k") % 5).alias("n"), (y / 100).alias("spread"), (1 + y / 200).alias("jac"))
+
+
+_NOISE = "SELECT track_id, frame, {v}, round(greatest({floor}, {error}) / 0.04, 6) AS sv FROM fl"
+
 
+@query(
+    f"WITH {FLOW} SELECT 'chained' AS way, track_id, frame, round(vx / jac, 6) AS vx, round(vy / jac, 6) AS vy, round(greatest(0.4, 1.858 * spread / sqrt(n) / jac) / 0.04, 6) AS sv FROM fl "
+    "UNION ALL SELECT 'reference', track_id, frame, round(vx, 6), round(vy, 6), round(greatest(0.4 * jac, 1.858 * spread / sqrt(n)) / 0.04, 6) FROM fl"
+)
+def flow_velocities(spark, sf_dir):
+    """The noise model of measured velocities, for chained homographies and for those of a reference frame."""
+    fl = measured(spark, sf_dir)
+    both = [flow_noise(fl, 0.04, ref).withColumn("way", F.lit(name)) for name, ref in (("chained", False), ("reference", True))]
+    return rounded(both[0].unionByName(both[1]))
 
-@query()
+
+@query(f"WITH {FLOW} SELECT li.track_id, li.frame, round(x, 6) AS x, round(vx / fl.jac, 6) AS vx FROM li LEFT JOIN fl ON fl.track_id = li.track_id AND fl.frame = li.frame")
+def flow_on_samples(spark, sf_dir):
+    """Samples with their measured velocity, null where none is."""
+    obs, h = observed(spark, sf_dir)
+    rows = lifted(obs.drop("y"), h).select("track_id", "frame", "x")
+    return rounded(rows.join(flow_noise(measured(spark, sf_dir), 0.04, False).drop("vy", "sv"), ["track_id", "frame"], "left"))
+
+
+PARKED = f"""{FLOW}, nn AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY track_id) AS n FROM (SELECT track_id, k AS frame, 300 + y / 5 AS x, y / 3 AS y FROM trk) WINDOW w AS (PARTITION BY track_id ORDER BY frame)),
+pc AS (SELECT track_id FROM nn GROUP BY track_id, n HAVING n >= 12 AND (max(frame) - min(frame)) / 20.0 >= 3 AND sqrt(power(quantile_cont(x, 0.5) FILTER (i > n - least(9, n // 2)) - quantile_cont(x, 0.5) FILTER (i <= least(9, n // 2)), 2)
+  + power(quantile_cont(y, 0.5) FILTER (i > n - least(9, n // 2)) - quantile_cont(y, 0.5) FILTER (i <= least(9, n // 2)), 2)) < 15)"""
+
+
+def _still(spark, sf_dir) -> DataFrame:
+    return trk(spark, sf_dir).select("track_id", F.col("k").alias("frame"), (300 + F.col("y") / 5).alias("x"), (F.col("y") / 3).alias("y"))
+
+
+@query(f"WITH {PARKED} SELECT nn.track_id, nn.frame, round(nn.x, 6) AS x, round(nn.y, 6) AS y, round(fl.vx, 6) AS vx, round(fl.vy, 6) AS vy FROM nn JOIN pc USING (track_id) JOIN fl ON fl.track_id = nn.track_id AND fl.frame = nn.frame")
+def parked_velocities(spark, sf_dir):
+    """Samples of parked tracks with their measured velocity: what the slip field is fitted on."""
+    still = _still(spark, sf_dir)
+    rows = still.join(parked_candidates(still, 10.0, 20.0), "track_id", "left_semi")
+    return rounded(rows.join(measured(spark, sf_dir).select("track_id", "frame", "vx", "vy"), ["track_id", "frame"]))
+
+
+_SLIP = [(f, 0.5 + f / 97.3, -0.2, 0.1, 0.3 - f / 211, 1.0 + f / 7.3, -2.013, 0.25 + f / 400) for f in range(5, 40)]
+_SLIP_SQL = ", ".join("(" + ", ".join(str(v) if i == 0 else f"{v!r}::DOUBLE" for i, v in enumerate(r)) + ")" for r in _SLIP)
+
+
+@query(
+    f"""WITH {FLOW}, sf(f, a11, a12, a21, a22, b1, b2, sp) AS (VALUES {_SLIP_SQL}),
+s AS (SELECT li.track_id, li.frame, fl.vx, fl.vy, (a11 * li.x + a12 * li.y) / 1000 + b1 AS sx, (a21 * li.x + a22 * li.y) / 1000 + b2 AS sy, sp FROM li JOIN fl ON fl.track_id = li.track_id AND fl.frame = li.frame JOIN sf ON sf.f = greatest(5, least(39, li.frame)))
+SELECT track_id, frame, round(vx - sx, 4) AS vx, round(vy - sy, 4) AS vy, round(sqrt(1 + sp * sp), 4) AS sv, round(0.5 * sqrt(sx * sx + sy * sy), 4) AS slip FROM s"""
+)
+def slip_taken_off(spark, sf_dir):
+    """Velocities without the slip of their frame's field; frames beyond its ends take the nearest."""
+    obs, h = observed(spark, sf_dir)
+    field = spark.createDataFrame(_SLIP, "frame long, a11 double, a12 double, a21 double, a22 double, b1 double, b2 double, spread double")
+    rows = lifted(obs.drop("y"), h).select("track_id", "frame", "x", "y").join(measured(spark, sf_dir).select("track_id", "frame", "vx", "vy", F.lit(1.0).alias("sv")), ["track_id", "frame"])
+    return rounded(slipped(rows, field, 0.5).select("track_id", "frame", "vx", "vy", "sv", "slip"), 4)
+
+
+@query(
+    f"""WITH {PARKED}, s AS (SELECT nn.track_id, fl.vx, fl.vy, fl.vx - 9 AS cx, fl.vy + 3 AS cy FROM nn JOIN pc USING (track_id) JOIN fl ON fl.track_id = nn.track_id AND fl.frame = nn.frame),
+t AS (SELECT track_id, quantile_cont(sqrt(vx * vx + vy * vy), 0.5) AS raw, quantile_cont(sqrt(cx * cx + cy * cy), 0.5) AS corrected, sqrt(power(quantile_cont(cx, 0.5), 2) + power(quantile_cont(cy, 0.5), 2)) AS bias FROM s GROUP BY track_id)
+SELECT round(quantile_cont(raw, 0.5), 6) AS raw, round(quantile_cont(corrected, 0.5), 6) AS corrected, round(quantile_cont(bias, 0.5), 6) AS bias, count(*) AS n FROM t"""
+)
+def parked_speeds(spark, sf_dir):
+    """Medians over parked tracks of the measured speed, the speed without slip, and the velocity that stays."""
+    still = _still(spark, sf_dir)
+    rows = still.join(measured(spark, sf_dir).select("track_id", "frame", "vx", "vy"), ["track_id", "frame"])
+    rows = rows.withColumns({"bx": F.lit(9.0), "by": F.lit(-3.0)})
+    return rounded(parked_flow(rows, parked_candidates(still, 10.0, 20.0)))
+
+
+@query(f"WITH RECURSIVE {TRK}, {sql.three_states('trk', 'q3', LOW, HIGH, 5)}, {_PINNED} SELECT track_id, k, state FROM pinned")
 def displayed(spark, sf_dir):
-    pins = spark.createDataFrame([(3, 10, "stopped"), (6, 20, "rolling")], "track_id long, frame long, state string")
-    return displayed_states(trk(spark, sf_dir), pins, 25.0, 20.0, 40.0)[0]
+    """The quantised states with overrides pinned until their next change."""
+    pins = spark.createDataFrame([(3, 10, "stopped"), (6, 20, "rolling"), (6, 22, "braking"), (9, 0, "stopped")], "track_id long, frame long, state string")
+    return displayed_states(trk(spark, sf_dir), pins, 25.0, LOW, HIGH)[0]
+
+
+@query(f"WITH RECURSIVE {TRK}, {sql.three_states('trk', 'q3', LOW, HIGH, 5)}, {_PINNED}, cm AS (SELECT *, lag(state) OVER w AS b, sum(CASE WHEN state = 'rolling' THEN 1 ELSE 0 END) OVER w AS r FROM pinned WINDOW w AS (PARTITION BY track_id ORDER BY k)), mm AS (SELECT track_id, k, r, lag(r) OVER (PARTITION BY track_id ORDER BY k) AS pr FROM cm WHERE state = 'stopped' AND b <> 'stopped') SELECT track_id, k FROM mm WHERE r > coalesce(pr, 0)")
+def displayed_onsets(spark, sf_dir):
+    """The stop commits of the displayed states that count: a car has rolled since its last one."""
+    pins = spark.createDataFrame([(3, 10, "stopped"), (6, 20, "rolling"), (6, 22, "braking"), (9, 0, "stopped")], "track_id long, frame long, state string")
+    return displayed_states(trk(spark, sf_dir), pins, 25.0, LOW, HIGH)[1]
 
 
-@query()
+@query(
+    f"""WITH {HIDDEN}, p AS (SELECT track_id, list({{'k': k, 'x': round(x, 1), 'y': round(y, 1), 's': CASE WHEN speed < 20 THEN 's' ELSE 'r' END}} ORDER BY k) AS p FROM trk WHERE track_id >= 0 AND track_id NOT IN (SELECT track_id FROM hid) GROUP BY track_id)
+SELECT track_id, list_transform(p, lambda v: v.k) AS frames, list_transform(p, lambda v: v.x) AS x, list_transform(p, lambda v: v.y) AS y, array_to_string(list_transform(p, lambda v: v.s), '') AS states FROM p"""
+)
 def editor_documents(spark, sf_dir):
+    """The editor's documents, parsed again, so that the text's own form of numbers doesn't show."""
     df = trk(spark, sf_dir)
     states = df.select("track_id", "k", F.when(F.col("speed") < 20, "stopped").otherwise("rolling").alias("state"))
-    return editor_payload(df, states, hidden_tracks(spark, sf_dir))
+    docs = editor_payload(df, states, hidden_ids(spark, sf_dir))
+    return docs.select(F.from_json("payload", "track_id long, frames array<long>, x array<double>, y array<double>, states string").alias("d")).select("d.*")
