@@ -62,7 +62,7 @@ def _neighbours(cells: DataFrame, extra: list[str], eight: bool) -> DataFrame:
 
 
 def _labelled(cells: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``cells`` with ``component``, numbered by size (largest first), then by the least cell, and its ``size``."""
+    """``cells`` with ``root``, the least cell of their component, and its ``size``."""
     edges = pairs.select(_cell_id(F.col("cx"), F.col("cy")).alias("u"), _cell_id(F.col("vx"), F.col("vy")).alias("v"))
     roots = connected_components(edges)
     rows = cells.withColumn("id", _cell_id(F.col("cx"), F.col("cy"))).join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node", "id")
@@ -71,10 +71,16 @@ def _labelled(cells: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def road_components(grid: DataFrame, min_hits: int, max_angle_deg: float, min_cells: int) -> DataFrame:
-    """Cells with enough hits and net motion over 1, joined to their eight neighbours of like direction; components of ``min_cells`` or more."""
+    """Cells with enough hits and net motion over 1, joined to their eight neighbours of like direction; components of ``min_cells`` or more, numbered by size."""
     cells = grid.where((F.col("hits") >= min_hits) & (F.hypot("dx", "dy") > 1)).select("cx", "cy", "hits", F.atan2("dy", "dx").alias("way"))
     pairs = _neighbours(cells, ["way"], eight=True).where(angle_gap(F.col("way_u"), F.col("way_v")) < math.radians(max_angle_deg))
-    return _labelled(cells, pairs).where(F.col("size") >= min_cells)
+    return ranked(_labelled(cells, pairs).where(F.col("size") >= min_cells))
+
+
+def ranked(labelled: DataFrame) -> DataFrame:
+    """``labelled`` with ``component``: components by size, the largest first, then by their least cell. The window is over components."""
+    places = labelled.select("root", "size").distinct().withColumn("component", F.row_number().over(Window.orderBy(F.desc("size"), "root")))
+    return labelled.join(places.drop("size"), "root")
 
 
 def grid_components(cells: DataFrame) -> DataFrame:

@@ -103,18 +103,51 @@ def gap_fill(df: DataFrame, values: list[str], key: str = "track_id", frame: str
     return out.select(key, frame, *[F.col(f"__{v}").alias(v) for v in values], F.col("__here").isNull().alias("filled"))
 
 
-def resample_arc(df: DataFrame, points: int, key: str = "track_id", order: str = "k") -> DataFrame:
-    """``points`` places at equal arc-length steps along each track: key, i, s, x, y. A track without length repeats its first place."""
-    rows = cumulative_arc(df, key, order)
+def _legs(df: DataFrame, key: str, order: str) -> DataFrame:
+    """The steps of each track as rows (key, order, x, y, arc, x1, y1, arc1, total): from a sample to the next."""
     w = along(key, order)
-    rows = rows.select(key, F.col(order).alias("__k"), "x", "y", "arc", F.lead("arc").over(w).alias("arc1"), F.lead("x").over(w).alias("x1"), F.lead("y").over(w).alias("y1"), F.max("arc").over(Window.partitionBy(key)).alias("total"))
-    spine = rows.where("arc1 > arc or (total = 0 and arc1 is null)").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    spine = spine.withColumn("s", F.col("total") * F.col("i") / (points - 1))
-    inside = ((F.col("s") >= F.col("arc")) & (F.col("s") < F.col("arc1"))) | ((F.col("i") == points - 1) & (F.col("arc1") == F.col("total"))) | F.col("arc1").isNull()
-    part = F.when(F.col("i") == points - 1, F.lit(1.0)).otherwise(F.try_divide(F.col("s") - F.col("arc"), F.col("arc1") - F.col("arc")))
-    part = F.coalesce(part, F.lit(0.0))
-    picked = spine.where(inside).select(key, "i", "s", "__k", F.coalesce(F.col("x") + part * (F.col("x1") - F.col("x")), F.col("x")).alias("x"), F.coalesce(F.col("y") + part * (F.col("y1") - F.col("y")), F.col("y")).alias("y"))
-    return picked.groupBy(key, "i").agg(F.min_by(F.struct("s", "x", "y"), "__k").alias("p")).select(key, "i", "p.s", "p.x", "p.y")
+    rows = cumulative_arc(df, key, order)
+    return rows.select(key, order, "x", "y", "arc", F.lead("arc").over(w).alias("arc1"), F.lead("x").over(w).alias("x1"), F.lead("y").over(w).alias("y1"), F.max("arc").over(Window.partitionBy(key)).alias("total"))
+
+
+def _placed(legs: DataFrame, s) -> DataFrame:
+    part = F.try_divide(s - F.col("arc"), F.col("arc1") - F.col("arc"))
+    return legs.withColumns({"s": s, "x": F.col("x") + part * (F.col("x1") - F.col("x")), "y": F.col("y") + part * (F.col("y1") - F.col("y"))})
+
+
+def resample_arc(df: DataFrame, points: int, key: str = "track_id", order: str = "k") -> DataFrame:
+    """``points`` places at equal arc-length steps along each track: key, i, s, x, y. A track without length repeats its first place.
+
+    Each leg makes only the places that lie on it, its start included and its end left to
+    the next; the last place is the track's end.
+    """
+    rows = _legs(df, key, order)
+    gap = F.col("total") / (points - 1)
+    first, past = F.ceil(F.try_divide("arc", gap)).cast("int"), F.ceil(F.try_divide("arc1", gap)).cast("int")
+    # rounding may put a place on either side of a sample, where both legs agree; the first and last are set
+    spans = rows.where("arc1 > arc").withColumn("i", F.explode(F.filter(F.sequence(F.greatest(first - 1, F.lit(0)), F.least(past + 1, F.lit(points - 2))), lambda i: (i * F.col("total") / (points - 1) >= F.col("arc")) & (i * F.col("total") / (points - 1) < F.col("arc1")))))
+    inner = _placed(spans, F.col("total") * F.col("i") / (points - 1)).select(key, "i", "s", "x", "y")
+    last = rows.where("arc1 is null and total > 0").select(key, F.lit(points - 1).alias("i"), F.col("total").alias("s"), "x", "y")
+    still = rows.where("total = 0 and arc1 is null").select(key, F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"), F.col("total").alias("s"), "x", "y")
+    return inner.unionByName(last).unionByName(still)
+
+
+def resample_steps(df: DataFrame, step: float, key: str = "track_id", order: str = "k") -> DataFrame:
+    """Places every ``step`` of the way along each track, from its start: key, i, x, y."""
+    legs = _legs(df, key, order).where("arc1 > arc")
+    first, past = F.ceil(F.col("arc") / step), F.ceil(F.col("arc1") / step)
+    legs = legs.where(past > first).withColumn("i", F.explode(F.sequence(first, past - 1)))
+    return _placed(legs, F.col("i") * step).select(key, "i", "x", "y")
+
+
+def flip_headings(headings: DataFrame, samples: DataFrame, key: str = "track_id", order: str = "k") -> DataFrame:
+    """``heading`` turned by half a circle where it differs by more than a right angle from the track's net motion."""
+    ends = samples.groupBy(key).agg(F.min_by(F.struct("x", "y"), order).alias("a"), F.max_by(F.struct("x", "y"), order).alias("b"))
+    net = ends.select(key, (F.col("b.x") - F.col("a.x")).alias("__nx"), (F.col("b.y") - F.col("a.y")).alias("__ny")).where("__nx <> 0 or __ny <> 0")
+    gap = F.abs(F.col("heading") - F.atan2("__ny", "__nx"))
+    away = F.coalesce(F.least(gap, 2 * math.pi - gap) > math.pi / 2, F.lit(False))
+    turned = F.col("heading") + F.when(F.col("heading") > 0, -math.pi).otherwise(math.pi)
+    return headings.join(net, key, "left").withColumn("heading", F.when(away, turned).otherwise(F.col("heading"))).drop("__nx", "__ny")
 
 
 def heading_held(df: DataFrame, min_speed: float, key: str = "track_id", order: str = "k") -> DataFrame:

@@ -1,6 +1,6 @@
 """All queries of the library and the SQL that gives the same rows."""
 
-from trailspark.plans import fields, intervals, kinematics, queueing, scene, truth, world
+from trailspark.plans import fields, intervals, kinematics, queueing, scene, shapes, truth, world
 from trailspark.plans.trk import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "fields", "intervals", "kinematics", "queueing", "scene", "truth", "world"]
+__all__ = ["ORACLE", "QUERIES", "fields", "intervals", "kinematics", "queueing", "scene", "shapes", "truth", "world"]
