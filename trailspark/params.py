@@ -57,7 +57,20 @@ class Roads:
     min_hits: int = 3
     max_angle_deg: float = 55.0
     min_cells: int = 40
+    min_spine: float = 4.0  # car lengths
+    near: float = 3.5  # car lengths
+    min_near: int = 200
     bins: int = 36
+    min_in_bin: int = 10
+    min_bins: int = 4
+    smooth: float = 3.0  # bins
+    lane_bin: float = 4.0
+    low: float = 0.02
+    high: float = 0.98
+    lane_smooth: float = 1.6  # bins
+    lane_part: float = 0.9 * 0.45  # of a car length, between two lanes
+    lane_rise: float = 0.12  # of the highest bin
+    lone_lane: float = 0.35  # of a car length
 
 
 @dataclass(frozen=True)
