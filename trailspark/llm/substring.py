@@ -118,29 +118,30 @@ def _parse(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int,
     anchors = _anchors(keyed, window, gram)
     repeated = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     # a set: rows of one key have equal texts, so no list grows with their number
-    of_doc = anchors.join(repeated, "anchor", "left_semi").groupBy("k").agg(F.collect_set("anchor").alias("anchors"))
-    with_anchors = keyed.join(of_doc, "k", "left")
+    of_doc = stored(anchors.join(repeated, "anchor", "left_semi").groupBy("k").agg(F.collect_set("anchor").alias("anchors")))
+    # both kernels below read the same columns of it, so that the texts are shuffled once
+    with_anchors = keyed.join(of_doc, "k", "left").select("doc_id", "k", "text", "anchors")
 
     def windows(batches):
         for batch in batches:
-            k = batch.column(0).to_numpy()
-            for low, raw, rows in tk.chunks(batch.column(1)):
+            k = batch.column(1).to_numpy()
+            for low, raw, rows in tk.chunks(batch.column(2)):
                 p = Parsed(raw, rows, window, gram)
-                pick = np.flatnonzero(p.listed(p.anchor, _slice(batch, 2, low, rows)) & p.first_here())
+                pick = np.flatnonzero(p.listed(p.anchor, _slice(batch, 3, low, rows)) & p.first_here())
                 yield pa.RecordBatch.from_arrays([pa.array(k[low + p.row[pick]]), pa.array(p.hash[pick].view(np.int64)), pa.array(p.check[pick].view(np.int32))], names=["k", "window", "check"])
 
-    seen = with_anchors.select("k", "text", "anchors").mapInArrow(windows, "k long, window long, check int")
+    seen = with_anchors.mapInArrow(windows, "k long, window long, check int")
     first = seen.groupBy("window", "check").agg(F.min("k").alias("k")).groupBy("k").agg(F.collect_list("window").alias("firsts"))
-    return with_anchors.join(first, "k", "left").select("doc_id", "text", "anchors", "firsts").mapInArrow(run, schema)
+    return with_anchors.join(first, "k", "left").select("doc_id", "k", "text", "anchors", "firsts").mapInArrow(run, schema)
 
 
 def _covered(batch: pa.RecordBatch, window: int, gram: int):
     """For each chunk of the batch its parse and which words lie in a window that starts earlier elsewhere."""
-    for low, raw, rows in tk.chunks(batch.column(1)):
+    for low, raw, rows in tk.chunks(batch.column(2)):
         p = Parsed(raw, rows, window, gram)
-        known = p.listed(p.anchor, _slice(batch, 2, low, rows))
+        known = p.listed(p.anchor, _slice(batch, 3, low, rows))
         first = p.first_here()
-        hits = p.start[~first | (known & ~p.listed(p.hash, _slice(batch, 3, low, rows)))]
+        hits = p.start[~first | (known & ~p.listed(p.hash, _slice(batch, 4, low, rows)))]
         step = np.zeros(len(p.words.start) + 1, np.int64)
         np.add.at(step, hits, 1)
         np.add.at(step, hits + window, -1)
