@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailspark.functions import geometry as g
-from trailspark.operators import joins, kernels, sequences, windows
+from trailspark.operators import joins, sequences, windows
 from trailspark.operators.lineage import python_workers
 from trailspark.params import Focus
 from trailspark.plans.kinematics import POLYLINE, STATION, simple_states, static_tracks, with_station
@@ -77,47 +76,38 @@ def within_reach(candidates: DataFrame, car: float) -> DataFrame:
 
 
 def stitch(candidates: DataFrame, car: float, clip: str = "clip") -> DataFrame:
-    """One tail for each head and one head for each tail, heads in order of time, the nearest tail first. One clip's candidates at a time."""
+    """Chains of fragments: (clip, head, link, tail), ``link`` counting back from the head's own first sample.
+
+    Heads go in order of time; each takes the nearest free tail, goes on from that one's own
+    first sample, and so on until none is in reach. A tail is used once and starts no chain
+    of its own afterwards. One clip's candidates at a time.
+    """
     python_workers(candidates.sparkSession)
     candidates = within_reach(candidates, car)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["t0", "head", "far", "tail"])
+        tails = {h: g["tail"].tolist() for h, g in rows.groupby("head", sort=False)}
         used: set = set()
         out = []
-        for (_, head), group in rows.sort_values(["t0", "head", "far", "tail"]).groupby(["t0", "head"], sort=True):
-            for tail in group["tail"]:
-                if tail not in used:
-                    used.add(tail)
-                    out.append((rows[clip].iloc[0], head, tail))
-                    break
-        return pd.DataFrame(out, columns=[clip, "head", "tail"])
+        for head in rows["head"].drop_duplicates().tolist():
+            at, link = None if head in used else head, 0
+            while at is not None:
+                at = next((t for t in tails.get(at, ()) if t not in used and t != head), None)
+                if at is not None:
+                    used.add(at)
+                    link += 1
+                    out.append((rows[clip].iloc[0], head, link, at))
+        return pd.DataFrame(out, columns=[clip, "head", "link", "tail"])
 
     kinds = dict(candidates.dtypes)
-    return candidates.groupBy(clip).applyInPandas(run, f"{clip} {kinds[clip]}, head {kinds['head']}, tail {kinds['tail']}")
-
-
-def lanes(offsets: np.ndarray, car: float, bin_px: float = 4.0) -> tuple[list[float], float]:
-    """Lane centres and half-width from lateral offsets: peaks of the smoothed histogram between its 2nd and 98th percentile."""
-    low, high = np.percentile(offsets, [2, 98])
-    n = max(1, int(np.ceil((high - low) / bin_px)))
-    counts, edges = np.histogram(offsets, bins=n, range=(low, low + n * bin_px))
-    smooth = kernels.gaussian(counts, 1.6)
-    found = kernels.peaks(smooth, max(2, int(0.9 * car * 0.45 / bin_px)), 0.12 * smooth.max())
-    centres = [float((edges[p] + edges[p + 1]) / 2) for p in found] or [0.0]
-    return centres, float(np.median(np.diff(centres)) / 2) if len(centres) > 1 else 0.35 * car
-
-
-def road_lanes(stations: DataFrame, key: str, car: float) -> DataFrame:
-    """Lane centres and half-width of each road (``key``, ``off``). The histogram is made by Spark; only its bins reach the kernel."""
-    python_workers(stations.sparkSession)
-    binned = stations.groupBy(key, F.floor(F.col("off")).alias("bin")).agg(F.count("*").alias("n"))
-    kinds = dict(binned.dtypes)
+    return candidates.groupBy(clip).applyInPandas(run, f"{clip} {kinds[clip]}, head {kinds['head']}, link int, tail {kinds['tail']}")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        centres, half = lanes(np.repeat(rows["bin"].to_numpy() + 0.5, rows["n"].to_numpy()), car)
-        return pd.DataFrame({key: [rows[key].iloc[0]], "lanes": [centres], "lane_halfwidth": [half]})
 
-    return binned.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, lanes array<double>, lane_halfwidth double")
+def absorbed(samples: DataFrame, chains: DataFrame) -> DataFrame:
+    """``samples`` in which the fragments of a chain bear its head's id, so that they are no tracks of their own any more."""
+    to = chains.select(F.col("tail").alias("track_id"), F.col("head").alias("__head"))
+    return samples.join(to, "track_id", "left").withColumn("track_id", F.coalesce("__head", "track_id")).drop("__head")
 
 
 def centerline_pick(paths: DataFrame, near: DataFrame, min_path: float) -> DataFrame:
@@ -192,18 +182,37 @@ def _fragments(s):
     return s.groupBy("track_id").agg((F.min("t") + 2592000.0).alias("t0"), F.max("t").alias("t1"), F.min_by("s", "k").alias("s0"), F.max_by("s", "k").alias("s1"), F.min_by("off", "k").alias("lat0"), F.max_by("off", "k").alias("lat1"))
 
 
-@query()
+CHAINS = f"""{STATION}, fi AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY k) AS i FROM sta),
+sp AS (SELECT track_id, coalesce((arg_max(s, k) - arg_min(s, k)) / nullif(max(t) - min(t), 0), 0) AS v, coalesce((arg_max(off, k) - arg_min(off, k)) / nullif(max(t) - min(t), 0), 0) AS w FROM fi WHERE i <= 11 GROUP BY track_id),
+fr AS (SELECT track_id, min(t) + 2592000 AS t0, max(t) AS t1, arg_min(s, k) AS s0, arg_max(s, k) AS s1, arg_min(off, k) AS lat0, arg_max(off, k) AS lat1 FROM sta GROUP BY track_id),
+cd AS (SELECT h.track_id AS head, t.track_id AS tail, h.t0, sqrt(power(h.s0 - v * (h.t0 - t.t1) - t.s1, 2) + power(h.lat0 - w * (h.t0 - t.t1) - t.lat1, 2)) AS far, sqrt(v * v + w * w) * (h.t0 - t.t1) AS way
+  FROM fr h JOIN sp USING (track_id) JOIN fr t ON h.track_id <> t.track_id AND t.t1 < h.t0 AND h.t0 - t.t1 <= 259200 AND abs(h.lat0 - t.lat1) <= 25),
+ca AS (SELECT * FROM cd WHERE far <= greatest(0.8 * 25, 0.3 * way)),
+tl AS (SELECT head, list(tail ORDER BY far, tail) AS tails FROM ca GROUP BY head), hs AS (SELECT head, row_number() OVER (ORDER BY min(t0), head) AS n FROM ca GROUP BY head),
+ch AS (
+  SELECT n, head, head AS cur, 0 AS link, []::BIGINT[] AS used, NULL::BIGINT AS tail FROM hs WHERE n = 1
+  UNION ALL
+  SELECT CASE WHEN t IS NULL THEN g.n ELSE c.n END, CASE WHEN t IS NULL THEN g.head ELSE c.head END, CASE WHEN t IS NOT NULL THEN t WHEN list_contains(c.used, g.head) THEN -1 ELSE g.head END, CASE WHEN t IS NULL THEN 0 ELSE c.link + 1 END, CASE WHEN t IS NULL THEN c.used ELSE list_append(c.used, t) END, t
+  FROM (SELECT ch.*, list_filter(tl.tails, lambda x: NOT list_contains(ch.used, x) AND x <> ch.head)[1] AS t FROM ch LEFT JOIN tl ON tl.head = ch.cur) c LEFT JOIN hs g ON g.n = c.n + 1 WHERE t IS NOT NULL OR g.n IS NOT NULL),
+cn AS (SELECT head, link, tail FROM ch WHERE tail IS NOT NULL)"""
+
+
+@query(f"WITH RECURSIVE {CHAINS} SELECT head, link::INT AS link, tail FROM cn")
 def stitched(spark, sf_dir):
-    """The candidates with real entry speeds and within reach, one to one."""
+    """Chains by real entry speeds, tails within reach."""
+    return chains(spark, sf_dir).select("head", "link", "tail")
+
+
+def chains(spark, sf_dir):
     s = with_station(trk(spark, sf_dir))
     a = _fragments(s).join(entry_speeds(s), "track_id")
-    return stitch(stitch_candidates(a, 259200.0).withColumn("clip", F.lit("a")), 25.0).select("head", "tail")
+    return stitch(stitch_candidates(a, 259200.0).withColumn("clip", F.lit("a")), 25.0)
 
 
-@query()
-def lane_peaks(spark, sf_dir):
-    s = with_station(trk(spark, sf_dir)).select("seg", "off")
-    return road_lanes(s, "seg", 40.0)
+@query(f"WITH RECURSIVE {CHAINS} SELECT coalesce(cn.head, trk.track_id) AS track_id, count(*) AS n FROM trk LEFT JOIN cn ON cn.tail = trk.track_id GROUP BY 1")
+def merged_tracks(spark, sf_dir):
+    """Tracks with the fragments that they absorbed, which are gone as tracks."""
+    return absorbed(trk(spark, sf_dir).select("track_id", "k"), chains(spark, sf_dir)).groupBy("track_id").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -220,6 +229,26 @@ def centerline(spark, sf_dir):
     return centerline_pick(windows.path_stats(df).select("track_id", "path"), covered, 100.0).select("track_id", F.round("path", 5).alias("path"), "events")
 
 
+def _centre_sql() -> str:
+    return f"""{TRK}, s AS (SELECT *, sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)) AS step FROM trk WINDOW w AS (PARTITION BY track_id ORDER BY k)),
+p AS (SELECT track_id, sum(step) AS path FROM s GROUP BY track_id),
+n AS (SELECT s.track_id, count(DISTINCT e.id) AS events FROM trk s JOIN (VALUES (0, 50.0, 20.0), (1, 120.0, 60.0), (2, 240.0, 30.0)) e(id, ex, ey) ON sqrt(power(s.x - ex, 2) + power(s.y - ey, 2)) < 15 GROUP BY s.track_id),
+best AS (SELECT track_id FROM p JOIN n USING (track_id) WHERE path > 100 ORDER BY events DESC, p.path DESC, track_id LIMIT 1),
+a AS (SELECT track_id, k, x, y, sum(coalesce(step, 0)) OVER (PARTITION BY track_id ORDER BY k) AS arc FROM s WHERE track_id IN (FROM best)),
+z AS (SELECT *, lead(arc) OVER w AS arc1, lead(x) OVER w AS x1, lead(y) OVER w AS y1, max(arc) OVER () AS total FROM a WINDOW w AS (ORDER BY k))"""
+
+
+@query(
+    f"""WITH {_centre_sql()} SELECT track_id, i::INT AS i, round(x + (total * i / 39 - arc) / (arc1 - arc) * (x1 - x), 5) AS x, round(y + (total * i / 39 - arc) / (arc1 - arc) * (y1 - y), 5) AS y FROM z, range(39) r(i) WHERE arc1 > arc AND total * i / 39 >= arc AND total * i / 39 < arc1
+UNION ALL SELECT track_id, 39, round(x, 5), round(y, 5) FROM z WHERE arc1 IS NULL"""
+)
+def centerline_points(spark, sf_dir):
+    """The centre line: forty places along the source track."""
+    df = trk(spark, sf_dir)
+    best = centerline(spark, sf_dir).select("track_id")
+    return rounded(windows.resample_arc(df.join(F.broadcast(best), "track_id", "left_semi"), 40).drop("s"), 5)
+
+
 @query(f"WITH {TRK}, s AS (SELECT k, CASE WHEN speed < {LOW} THEN 'stopped' WHEN speed < {HIGH} THEN 'braking' ELSE 'rolling' END AS state FROM trk) SELECT k, count(*) FILTER (state = 'rolling') AS rolling, count(*) FILTER (state = 'braking') AS braking, count(*) FILTER (state = 'stopped') AS stopped FROM s GROUP BY k")
 def state_counters(spark, sf_dir):
     return counters(simple_states(trk(spark, sf_dir)))
@@ -235,12 +264,24 @@ def draw_trails(spark, sf_dir):
     return rounded(trails(trk(spark, sf_dir), 5).select("track_id", "k", "chord", "trail"), 5)
 
 
-@query()
+_TURN = "degrees(atan2(ny, nx))"
+
+
+@query(
+    f"""WITH {TRK}, s AS (SELECT *, sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)) AS step FROM trk WINDOW w AS (PARTITION BY track_id ORDER BY k)),
+a AS (SELECT track_id, k, x, y, sum(coalesce(step, 0)) OVER (PARTITION BY track_id ORDER BY k) AS arc FROM s),
+z AS (SELECT *, lead(arc) OVER w AS arc1, lead(x) OVER w AS x1, lead(y) OVER w AS y1, max(arc) OVER (PARTITION BY track_id) AS total FROM a WINDOW w AS (PARTITION BY track_id ORDER BY k)),
+q AS (SELECT track_id, i, x + (total * i / 15 - arc) / (arc1 - arc) * (x1 - x) AS x, y + (total * i / 15 - arc) / (arc1 - arc) * (y1 - y) AS y FROM z, range(15) r(i) WHERE arc1 > arc AND total * i / 15 >= arc AND total * i / 15 < arc1
+  UNION ALL SELECT track_id, 15, x, y FROM z WHERE arc1 IS NULL AND total > 0 UNION ALL SELECT track_id, i, x, y FROM z, range(16) r(i) WHERE arc1 IS NULL AND total = 0),
+n AS (SELECT track_id, arg_max(x, k) - arg_min(x, k) AS nx, arg_max(y, k) - arg_min(y, k) AS ny FROM trk GROUP BY track_id),
+m AS (SELECT track_id, CASE WHEN abs({_TURN}) <= 45 THEN 'straight' WHEN abs({_TURN}) >= 135 THEN 'uturn' WHEN {_TURN} > 0 THEN 'right' ELSE 'left' END AS movement FROM n)
+SELECT movement, i::INT AS i, round(quantile_cont(x, 0.5), 5) AS x, round(quantile_cont(y, 0.5), 5) AS y, count(*) AS n FROM q JOIN m USING (track_id) GROUP BY 1, 2 HAVING count(*) >= 3"""
+)
 def movement_lanes(spark, sf_dir):
     df = trk(spark, sf_dir)
     ends = df.groupBy("track_id").agg(F.min_by(F.struct("x", "y"), "k").alias("a"), F.max_by(F.struct("x", "y"), "k").alias("b"))
     label = g.movement(g.turn_degrees(1.0, 0.0, F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")))
-    return rounded(movement_paths(df.join(ends.select("track_id", label.alias("movement")), "track_id"), 16))
+    return rounded(movement_paths(df.join(ends.select("track_id", label.alias("movement")), "track_id"), 16), 5)
 
 
 @query(

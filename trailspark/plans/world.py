@@ -181,34 +181,61 @@ def displayed_states(samples: DataFrame, overrides: DataFrame, fps: float, v_sto
     return pinned, sequences.rearmed_commits(pinned).select("track_id", "k")
 
 
-def backfill(samples: DataFrame, focus: DataFrame, car: float, v_stop: float, near: float = 0.65) -> DataFrame:
-    """New rows (track_id, frame, x, y) of focus cars that stand at their first frame, back to frame 0 or to another car's place.
+def backfill(samples: DataFrame, focus: DataFrame, car: float, v_stop: float, near: float = 0.65, limits: DataFrame | None = None) -> DataFrame:
+    """New rows (clip, track_id, frame, x, y) of focus cars that stand at their first frame, back to frame 0, to another car's place, or to ``limits``.
 
     Cars are taken in the order of their first frame, and later ones see what was filled for
-    earlier ones; one clip is one group.
+    earlier ones, so a ``clip`` (one for all, if there is no such column) is one group.
+    ``limits`` (track_id, stop) names the last frame that a car can't be filled at, see
+    :func:`out_of_frame`.
     """
     python_workers(samples.sparkSession)
-    rows = samples.join(focus.select("track_id"), "track_id", "left_semi").withColumn("clip", F.lit(0))
+    rows = samples if "clip" in samples.columns else samples.withColumn("clip", F.lit(0))
+    rows = rows.join(focus.select("track_id"), "track_id", "left_semi")
+    rows = rows.join(limits, "track_id", "left") if limits is not None else rows.withColumn("stop", F.lit(-1))
+    rows = rows.withColumn("stop", F.coalesce("stop", F.lit(-1)).cast("long"))
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["track_id", "frame"])
-        taken: dict[int, list[tuple[int, float, float]]] = {}
-        for i, fr, x, y in zip(f.track_id, f.frame, f.x, f.y, strict=True):
-            taken.setdefault(int(fr), []).append((i, x, y))
-        heads = f.groupby("track_id").head(10).groupby("track_id").agg(frame=("frame", "first"), x=("x", "first"), y=("y", "first"), speed=("speed", "median"))
+        seen = {fr: g[["track_id", "x", "y"]].to_numpy(dtype=float) for fr, g in f.groupby("frame")}
+        first = f.groupby("track_id").head(10).groupby("track_id").agg(frame=("frame", "first"), x=("x", "first"), y=("y", "first"), speed=("speed", "median"), stop=("stop", "first")).reset_index().sort_values(["frame", "track_id"])
+        filled: list[tuple[int, int, float, float]] = []  # first and last frame, place
         out = []
-        for i, row in heads.reset_index().sort_values(["frame", "track_id"]).set_index("track_id").iterrows():
-            if row.frame <= 0 or row.speed > 1.5 * v_stop or i < 0:
+        for car_id, f0, x, y, speed, stop in first.itertuples(index=False):
+            if f0 <= 0 or speed > 1.5 * v_stop or car_id < 0:
                 continue
-            for fr in range(int(row.frame) - 1, -1, -1):
-                if any(j != i and np.hypot(x - row.x, y - row.y) < near * car for j, x, y in taken.get(fr, ())):
-                    break
-                taken.setdefault(fr, []).append((i, row.x, row.y))
-                out.append((i, fr, row.x, row.y))
-        return pd.DataFrame(out, columns=["track_id", "frame", "x", "y"])
+            close = lambda px, py: np.hypot(px - x, py - y) < near * car  # noqa: B023, E731
+            low = max([stop + 1, *(b + 1 for a, b, px, py in filled if a < f0 and close(px, py))])
+            at = int(f0) - 1
+            while at >= max(low, 0) and not (at in seen and close(seen[at][:, 1], seen[at][:, 2]).any()):
+                out.append((car_id, at, x, y))
+                at -= 1
+            if at < f0 - 1:
+                filled.append((at + 1, int(f0) - 1, x, y))
+        return pd.DataFrame(out, columns=["track_id", "frame", "x", "y"]).assign(clip=f["clip"].iloc[0])[["clip", "track_id", "frame", "x", "y"]]
 
-    kinds = dict(samples.dtypes)
-    return rows.select("clip", "track_id", "frame", "x", "y", "speed").groupBy("clip").applyInPandas(run, f"track_id {kinds['track_id']}, frame {kinds['frame']}, x double, y double")
+    kinds = dict(rows.dtypes)
+    return rows.select("clip", "track_id", "frame", "x", "y", "speed", "stop").groupBy("clip").applyInPandas(run, f"clip {kinds['clip']}, track_id {kinds['track_id']}, frame {kinds['frame']}, x double, y double")
+
+
+def out_of_frame(samples: DataFrame, homographies: DataFrame, width: int, height: int, margin: float = 40.0) -> DataFrame:
+    """(track_id, stop): the last frame before a track's first at which its first place, seen through that frame's inverse homography, leaves the picture by more than ``margin``.
+
+    The picture place is shifted so that it meets the detected one (cx, cy), where given, at the first frame.
+    """
+    cols = ["frame", "x", "y"] + (["cx", "cy"] if "cx" in samples.columns else [])
+    first = samples.groupBy("track_id").agg(F.min_by(F.struct(*cols), "frame").alias("p")).select("track_id", *[F.col(f"p.{c}").alias("f0" if c == "frame" else c) for c in cols])
+    h = homographies.select(F.col("frame").alias("__f"), *H_COLS)
+    back = lambda: g.project(g.inverse([F.col(c) for c in H_COLS]), F.col("x"), F.col("y"))
+    u, v = back()
+    if "cx" in cols:
+        own = first.join(h, F.col("f0") == F.col("__f"), "left").select(*first.columns, F.coalesce(F.col("cx") - u, F.lit(0.0)).alias("du"), F.coalesce(F.col("cy") - v, F.lit(0.0)).alias("dv"))
+    else:
+        own = first.withColumns({"du": F.lit(0.0), "dv": F.lit(0.0)})
+    every = own.withColumn("__f", F.explode(F.when(F.col("f0") > 0, F.sequence(F.lit(0).cast("long"), F.col("f0").cast("long") - 1)))).join(h, "__f")
+    u, v = back()
+    inside = (u + F.col("du")).between(-margin, width + margin) & (v + F.col("dv")).between(-margin, height + margin)
+    return every.where(~inside).groupBy("track_id").agg(F.max("__f").alias("stop"))
 
 
 def parked_flow(samples: DataFrame, parked: DataFrame) -> DataFrame:
@@ -442,3 +469,53 @@ def editor_documents(spark, sf_dir):
     states = df.select("track_id", "k", F.when(F.col("speed") < 20, "stopped").otherwise("rolling").alias("state"))
     docs = editor_payload(df, states, hidden_ids(spark, sf_dir))
     return docs.select(F.from_json("payload", "track_id long, frames array<long>, x array<double>, y array<double>, states string").alias("d")).select("d.*")
+
+
+#: Cars in rows of twenty places, entering at different frames; a quarter of them moves.
+_QUEUED = f"{TRK}, qc AS (SELECT track_id, k + track_id % 13 AS frame, 8.0 * (track_id % 20) + y / 100 AS x, 30.0 * (track_id % 2) AS y, CASE WHEN track_id % 4 = 0 THEN 9.0 ELSE 0.5 END AS speed FROM trk)"
+
+
+def _queued_cars(spark, sf_dir) -> DataFrame:
+    i = F.col("track_id")
+    return trk(spark, sf_dir).select("track_id", (F.col("k") + i % 13).alias("frame"), (8.0 * (i % 20) + F.col("y") / 100).alias("x"), (30.0 * (i % 2)).alias("y"), F.when(i % 4 == 0, 9.0).otherwise(0.5).alias("speed"))
+
+
+@query(
+    f"""WITH RECURSIVE {_QUEUED}, ft AS (SELECT track_id, min(frame) AS f0, arg_min(x, frame) AS x, arg_min(y, frame) AS y, any_value(speed) AS v FROM qc GROUP BY track_id),
+ok AS (SELECT *, row_number() OVER (ORDER BY f0, track_id) AS n FROM ft WHERE f0 > 0 AND v <= 1.5 AND track_id >= 0),
+re AS (SELECT ok.n, coalesce(max(qc.frame) + 1, 0) AS low FROM ok LEFT JOIN qc ON qc.frame < ok.f0 AND sqrt(power(qc.x - ok.x, 2) + power(qc.y - ok.y, 2)) < 0.65 * 10 GROUP BY ok.n),
+ou AS (SELECT n, max(f) AS stop FROM ok, range(13) r(f) WHERE f < f0 AND NOT (x - 6 * f BETWEEN -40 AND 140) GROUP BY n),
+ls AS (SELECT ok.*, greatest(low, coalesce(stop + 1, 0)) AS low FROM ok JOIN re USING (n) LEFT JOIN ou USING (n)),
+bf AS (
+  SELECT 0::BIGINT AS n, 0::BIGINT AS track_id, 0::BIGINT AS a, -1::BIGINT AS b, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, []::STRUCT(a BIGINT, b BIGINT, x DOUBLE, y DOUBLE)[] AS done
+  UNION ALL
+  SELECT n, track_id, a, b, x, y, CASE WHEN a <= b THEN list_append(done, {{'a': a, 'b': b, 'x': x, 'y': y}}) ELSE done END FROM (
+    SELECT l.n, l.track_id, greatest(l.low, coalesce(list_max(list_transform(list_filter(bf.done, lambda d: d.a < l.f0 AND sqrt(power(d.x - l.x, 2) + power(d.y - l.y, 2)) < 0.65 * 10), lambda d: d.b + 1)), 0))::BIGINT AS a, (l.f0 - 1)::BIGINT AS b, l.x, l.y, bf.done FROM bf JOIN ls l ON l.n = bf.n + 1))
+SELECT track_id, unnest(range(a, b + 1)) AS frame, round(x, 6) AS x, y FROM bf WHERE a <= b"""
+)
+def backfilled(spark, sf_dir):
+    """Frames filled for standing cars before they were detected; the picture moves, so that some leave it."""
+    cars = _queued_cars(spark, sf_dir)
+    shift = {"h13": -6.0 * F.col("frame")}
+    eye = {"h11": 1.0, "h12": 0.0, "h21": 0.0, "h22": 1.0, "h23": 0.0, "h31": 0.0, "h32": 0.0, "h33": 1.0}
+    # the inverse of a shift by +6 a frame moves places by -6
+    h = spark.range(13).select(F.col("id").alias("frame")).withColumns({**{k: F.lit(v) for k, v in eye.items()}, "h13": -shift["h13"]})
+    stops = out_of_frame(cars.select("track_id", "frame", "x", "y"), h, 100, 10_000)
+    return rounded(backfill(cars, cars.select("track_id").distinct(), 10.0, 1.0, limits=stops).drop("clip"))
+
+
+@query(
+    f"""WITH {TRK}, kp AS (SELECT -track_id - 1 AS track_id, k AS frame, x, y FROM trk WHERE k % 10 = 0 AND k < 60), sp AS (SELECT track_id, unnest(range(min(frame), max(frame) + 1)) AS frame FROM kp GROUP BY track_id),
+j AS (SELECT sp.track_id, sp.frame, a.x, a.y, a.frame AS here FROM sp LEFT JOIN kp a ON a.track_id = sp.track_id AND a.frame = sp.frame),
+w AS (SELECT *, last_value(here IGNORE NULLS) OVER p AS f0, first_value(here IGNORE NULLS) OVER n AS f1, last_value(x IGNORE NULLS) OVER p AS x0, first_value(x IGNORE NULLS) OVER n AS x1, last_value(y IGNORE NULLS) OVER p AS y0, first_value(y IGNORE NULLS) OVER n AS y1 FROM j
+  WINDOW p AS (PARTITION BY track_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), n AS (PARTITION BY track_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+d AS (SELECT track_id, frame, coalesce(x0 + (x1 - x0) * (frame - f0) / nullif(f1 - f0, 0), x0) + 2 AS x, coalesce(y0 + (y1 - y0) * (frame - f0) / nullif(f1 - f0, 0), y0) - 1 AS y FROM w),
+b AS (SELECT track_id, frame, CASE WHEN count(*) OVER z = 7 THEN avg(x) OVER z ELSE x END AS x, CASE WHEN count(*) OVER z = 7 THEN avg(y) OVER z ELSE y END AS y FROM d WINDOW z AS (PARTITION BY track_id ORDER BY frame ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+g AS (SELECT *, lag(x) OVER v AS px, lead(x) OVER v AS nx, lag(y) OVER v AS py, lead(y) OVER v AS ny FROM b WINDOW v AS (PARTITION BY track_id ORDER BY frame))
+SELECT track_id, frame, round(x, 5) AS x, round(y, 5) AS y, round(CASE WHEN px IS NULL AND nx IS NULL THEN NULL WHEN px IS NULL THEN 5 * sqrt(power(nx - x, 2) + power(ny - y, 2)) WHEN nx IS NULL THEN 5 * sqrt(power(x - px, 2) + power(y - py, 2)) ELSE 2.5 * sqrt(power(nx - px, 2) + power(ny - py, 2)) END, 4) AS speed FROM g"""
+)
+def manual_samples(spark, sf_dir):
+    """Dense samples of hand-made key points, every tenth of a track's."""
+    points = trk(spark, sf_dir).where("k % 10 = 0 and k < 60").select((-F.col("track_id") - 1).alias("track_id"), F.col("k").alias("frame"), "x", "y")
+    out = manual_world(points, observed(spark, sf_dir)[1], 5.0)
+    return out.select("track_id", "frame", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"), F.round("speed", 4).alias("speed"))
