@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,9 +18,12 @@ def load(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def load_optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The artifact, or no rows where Spark's file system finds none."""
+    return load(spark, path, schema) if _exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-    return load(spark, path, schema) if there else spark.createDataFrame([], schema)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def save(df: DataFrame, path: str) -> None:
@@ -26,7 +32,9 @@ def save(df: DataFrame, path: str) -> None:
 
 
 def save_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    """Whole documents, replacing what is there; rows with a ``clip`` become one document each, in a folder of their own."""
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy("clip") if "clip" in df.columns else writer).json(path)
 
 
 def append_metrics(df: DataFrame, path: str) -> None:
@@ -34,6 +42,28 @@ def append_metrics(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(schemas.METRICS).json(path)
+
+
+def backed_up(spark: SparkSession, path: str, backup: str) -> None:
+    """Copies the files at ``path`` to ``backup`` unless that is there already, so that what was first is kept."""
+    if _exists(spark, backup):
+        return
+    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, backup))
+    conf = spark._jsc.hadoopConfiguration()
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, target.getFileSystem(conf), target, False, conf)
+
+
+def cached(spark: SparkSession, path: str, parameters: dict, build) -> DataFrame:
+    """The table of ``build()``, written once as Parquet under ``path`` for each set of ``parameters`` and read from there afterwards."""
+    name = hashlib.sha256(json.dumps(parameters, sort_keys=True, default=str).encode()).hexdigest()[:24]
+    place = f"{path.rstrip('/')}/{name}"
+    if not _exists(spark, f"{place}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(place)
+    return spark.read.parquet(place)
+
+
 def clip(meta: DataFrame) -> DataFrame:
     """Clip parameters; the frame count falls back on nothing here, see ``frame_count``."""
     return meta.select("src", "width", "height", "fps", "n_frames")
