@@ -146,6 +146,22 @@ def pii_added(texts):
     return out
 
 
+def redacted(text, spans):
+    """The text with its spans (kind, start, end) replaced, those that overlap as one."""
+    if text is None:
+        return None
+    out, at, merged = [], 0, []
+    for a, b, k in sorted((a, b, k) for k, a, b in spans):
+        if merged and a < merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b, k])
+    for a, b, k in merged:
+        out += [text[at:a], f"[{k}]"]
+        at = b
+    return "".join([*out, text[at:]])
+
+
 def dedup(docs, window=20):
     """docs: (id, text) in the order of id; per document (n_words, n_removed, digest)."""
     seen, out = {}, []

@@ -637,17 +637,14 @@ def fill(budget, children):
     return given
 
 
-def test_mixing(spark):
-    rng = random.Random(12)
-    rows = [(i, " ".join(["w"] * rng.randint(0, 30)), rng.choice(["en", "de", None]), f"s{rng.choice([0, 0, 0, 1, 2, 3, 4])}", 1) for i in range(400)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, epoch int")
-    got = mixing.mix(df, share=0.6).collect()
+def plain_mix(rows, share):
+    """(id, epoch) of the rows (id, text, lang, source) chosen, leaf by leaf."""
     domain = lambda s: "core" if hashlib.md5(s.encode()).hexdigest()[0] < "8" else "wide"
     leaf = {}
-    for i, t, lang, s, _ in rows:
-        leaf.setdefault((domain(s), lang or "(null)", s), []).append((i, len(t.split())))
+    for i, t, lang, s in rows:
+        leaf.setdefault((domain(s or "(null)"), lang or "(null)", s or "(null)"), []).append((i, len((t or "").encode().split())))
     room = {k: 2 * sum(n for _, n in v) for k, v in leaf.items()}
-    budget = int(sum(room.values()) / 2 * 0.6)
+    budget = int(sum(room.values()) / 2 * share)
     sub = lambda pre: sum(n for k, n in room.items() if k[: len(pre)] == pre)
     want = []
     doms = fill(budget, {d: (mixing.DOMAIN_WEIGHTS[d], sub((d,))) for d in {k[0] for k in leaf}})
@@ -659,31 +656,75 @@ def test_mixing(spark):
                 whole = given // total if total else 0
                 want += [(i, e) for i, _ in docs for e in range(1, whole + 1)]
                 left = given - whole * total
-                key = lambda i: hashlib.md5(f"{mixing.SEED}:{whole + 1}:{i}".encode()).hexdigest()  # noqa: B023, E731
+                key = lambda i: hashlib.md5(f"{mixing.SEED}:{whole + 1}:{'' if i is None else i}".encode()).hexdigest()  # noqa: B023, E731
                 used = 0
-                for i, n in sorted(docs, key=lambda x: key(x[0])):
+                for i, n in sorted(docs, key=lambda x: (key(x[0]), x[1])):
                     used += n
                     if used > left or left <= 0:
                         break
                     want.append((i, whole + 1))
-    assert sorted((r.doc_id, r.epoch) for r in got) == sorted(want)
+    return want
+
+
+def test_mixing(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 30)), rng.choice(["en", "de", None]), f"s{rng.choice([0, 0, 0, 1, 2, 3, 4])}", 1) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, epoch int")
+    got = mixing.mix(df, share=0.6).collect()
+    assert sorted((r.doc_id, r.epoch) for r in got) == sorted(plain_mix([r[:4] for r in rows], 0.6))
     assert mixing.mix(df.limit(0)).count() == 0
     zero = mixing.mix(df, weights=spark.createDataFrame([("core", 0.0)], "path string, weight double"))
     assert {r.domain for r in zero.collect()} == {"wide"}
 
 
+def test_mixing_of_nulls_and_repeated_ids(spark):
+    """Null texts have no tokens; null and repeated ids share a place in the order and come by tokens; null sources are one node."""
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 1, 2, 3, i]), None if i % 9 == 0 else " ".join(["w"] * rng.randint(1, 9)), "en", rng.choice([None, "a", "b"])) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.mix(df, share=0.4).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.epoch) for r in got) == sorted((i is None, i or 0, e) for i, e in plain_mix(rows, 0.4))
+    assert {r.source for r in got} <= {None, "a", "b"}
+
+
 # ---- pipeline
 
 
-def test_pipeline(spark):
+def test_stages_meet_odd_documents(spark, odd, tmp_path):
+    """Null ids, languages and sources, repeated rows, clashing names and empty tables go through every stage."""
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    before = {r.doc_id: r.text for r in docs.collect()}
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, SF)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
-    last = {r.doc_id for r in docs.collect()}
+    names = "doc_id long, text string, lang string, source string, n_chars long, __d int, __t int, __k int, __salt int, domain string, __digest string, __KEY string, __found string, __of string"
+    rows = [(i if i % 5 else None, t, "en" if i % 3 else None, "s" if i % 4 else None, None, 1, 2, 3, 4, "d", "e", "f", "g", "h") for i, t in enumerate(odd)]
+    docs = spark.createDataFrame(rows + rows[5:9], names).repartition(3)
+    spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([("a", odd[14]), (None, "x"), ("b", None)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for part in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            got = stage(spark, part, str(tmp_path))
+            assert got.columns == docs.columns, name
+            assert (got.count() > 0) == (part is docs), name
+        got = corpus_pipeline.STAGES[-1][1](spark, part, str(tmp_path))
+        assert set(got.columns) >= {"doc_id", "text", "lang", "source", "epoch", "n_tokens", "domain", "doc_domain"} and (got.count() > 0) == (part is docs)
+
+
+def test_pipeline_is_the_plain_version(spark):
+    """Every stage's decisions, and the rows of the whole, against plain versions of stages two to five fed with what the classifier keeps."""
+    import corpus_pipeline
+
+    first = corpus_pipeline.quality_classifier(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).collect()
+    scores = {r.doc_id: r.score for r in quality.classify(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")).collect()}
+    assert {r.doc_id for r in first} == {i for i, x in scores.items() if x >= 0.3}
+    fps = {r.doc_id: brute.simhash(r.text) for r in first}
+    ids = sorted(fps)
+    comp = brute.components(ids, [(a, b) for a in ids for b in ids if a < b and (fps[a] ^ fps[b]).bit_count() <= 2])
+    kept = [r for r in first if comp[r.doc_id] == r.doc_id]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    hit = {d for d, *_, bad in overlap([(r.doc_id, r.text) for r in kept], items) if bad}
+    clean = [r for r in kept if r.doc_id not in hit]
+    more = brute.pii_added([r.text or "" for r in clean])
+    texts = {r.doc_id: brute.redacted(r.text, {(k, a, b) for k, found in brute.pii(r.text).items() for a, b in found} | m) for r, m in zip(clean, more, strict=True)}
     run = corpus_pipeline.run(spark, SF).collect()
-    assert run and {r.doc_id for r in run} <= last <= set(before)
-    assert all(r.n_chars == len(r.text) and not any(brute.pii(r.text).values()) for r in run)
+    assert {r.doc_id for r in run} <= set(texts) and all(r.text == texts[r.doc_id] and r.n_chars == len(r.text) for r in run)
+    want = plain_mix([(r.doc_id, texts[r.doc_id], r.lang, r.source) for r in clean], mixing.SHARE)
+    assert sorted((r.doc_id, r.epoch) for r in run) == sorted(want) and 0 < len(hit) < len(kept) < len(first)

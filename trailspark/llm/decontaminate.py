@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailspark.llm.common import let, looked_up
+from trailspark.llm.common import fresh, let, looked_up
 
 WINDOW = 10
 GRAM = 5
@@ -123,7 +123,7 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, without those that share a window with an item. Equal texts are judged alike."""
     digest = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    source = docs.select(digest.alias("__digest"), F.col(text_col).alias("__text"))
-    found = overlaps(source, items, "__digest", "__text", item_col, item_text_col).where("contaminated").select("__digest").distinct()
-    rows = docs.withColumn("__d", digest)
-    return looked_up(rows, "__d", found, "__digest", "left_anti").select(*docs.columns)
+    source = docs.select(digest.alias("digest"), F.col(text_col).alias("words"))
+    own, of = fresh("__digest", docs), fresh("__of", docs)
+    found = overlaps(source, items, "digest", "words", item_col, item_text_col).where("contaminated").select(F.col("digest").alias(of)).distinct()
+    return looked_up(docs.withColumn(own, digest), own, found, of, "left_anti").select(*docs.columns)

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailspark.llm.common import let, looked_up, stored
+from trailspark.llm.common import fresh, let, looked_up, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: Possessive and anchored forms of the contract's expressions: the same leftmost matches, in linear time and without deep recursion.
@@ -306,14 +306,14 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     plain = lambda spans, kind: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), kind(s).alias("kind")))
     every = _with_added(scanned, _added(scanned))
     spans = F.concat(*[plain(F.col(f"__{k}"), lambda s, k=k: F.lit(k)) for k in KINDS], plain(F.coalesce("added", F.array().cast("array<struct<kind:string,start:int,end:int>>")), lambda s: s["kind"]))
-    spans = every.select(F.col("key").alias("__key"), F.array_sort(spans).alias("__spans")).where(F.size("__spans") > 0).select("__key", let(F.col("__spans"), _apart).alias("__m"))
-    joined = docs.where(has).withColumn("__k", F.md5(F.col(text_col).cast("binary")))
-    joined = looked_up(joined, "__k", spans, "__key")
+    own, of, found = fresh("__key", docs), fresh("__of", docs), fresh("__found", docs)
+    spans = every.select(F.col("key").alias(of), F.array_sort(spans).alias("spans")).where(F.size("spans") > 0).select(of, let(F.col("spans"), _apart).alias(found))
+    joined = looked_up(docs.where(has).withColumn(own, F.md5(F.col(text_col).cast("binary"))), own, spans, of)
 
     def replaced(p):
         before = lambda i: F.when(i > 0, F.get(p["m"], i - 1)["end"]).otherwise(0)
         pieces = F.transform(p["m"], lambda s, i: F.concat(F.substring(p["t"], before(i) + 1, s["start"] - before(i)), F.lit("["), s["kind"], F.lit("]")))
         return F.concat(F.array_join(pieces, ""), F.substring(p["t"], F.element_at(p["m"], -1)["end"] + 1, F.length(p["t"])))
 
-    text = F.when(F.size("__m") > 0, let(F.struct(F.col("__m").alias("m"), F.col(text_col).alias("t")), replaced)).otherwise(F.col(text_col))
+    text = F.when(F.size(found) > 0, let(F.struct(F.col(found).alias("m"), F.col(text_col).alias("t")), replaced)).otherwise(F.col(text_col))
     return joined.withColumn(text_col, text).select(*names).unionByName(docs.where(~has).select(*names))

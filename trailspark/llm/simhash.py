@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailspark.llm import textkernel
-from trailspark.llm.common import connected_components, python_workers, stored
+from trailspark.llm.common import connected_components, fresh, python_workers, stored
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -112,14 +112,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs``, all columns, of one document of each component: the one with the least id, of several such rows one.
 
-    Rows of the least id with different texts are told apart by a digest of the text.
+    Rows of the least id with different texts are told apart by a digest of id and text.
+    Equal rows are combined before the one shuffle of the texts, which serves the join too.
     """
     names = docs.columns
-    digest = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.length(text_col))
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
+    digest = F.md5(F.concat(part(id_col), F.lit("|"), part(text_col)).cast("binary"))
     source = docs.select(F.col(id_col).alias("__id"), digest.alias("__digest"), F.col(text_col).alias("__text"))
     marked = stored(fingerprints(source, "__id", "__text", keep=["__id", "__digest"]))
     kept = components(marked, "__id", bits).where(F.col("__id").eqNullSafe(F.col("component_id")))
-    first = kept.groupBy("root").agg(F.min("__digest").alias("__digest"), F.min("__id").alias("__id")).drop("root")
-    rows = docs.withColumn("__d", digest)
-    rows = rows.join(first, rows[id_col].eqNullSafe(first["__id"]) & (F.col("__d") == F.col("__digest")), "left_semi")
-    return rows.dropDuplicates([id_col, "__d"]).select(*names)
+    own, of = fresh("__digest", docs), fresh("__of", docs)
+    first = kept.groupBy("root").agg(F.min("__digest").alias(of)).select(of)
+    rows = docs.withColumn(own, digest).dropDuplicates([own])
+    return rows.join(first, F.col(own) == F.col(of), "left_semi").select(*names)
