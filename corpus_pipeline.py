@@ -35,8 +35,9 @@ def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents drawn for each epoch: their columns, ``domain``, ``n_tokens`` and ``epoch``."""
-    return mixing.mix(docs, carry=[c for c in docs.columns if c not in ("domain", "n_tokens", "epoch")])
+    """The documents drawn for each epoch: their columns, ``domain``, ``n_tokens`` and ``epoch``; own columns of these names come as ``doc_domain`` and so on."""
+    docs = docs.withColumnsRenamed({c: f"doc_{c}" for c in docs.columns if c.lower() in ("domain", "n_tokens", "epoch")})
+    return mixing.mix(docs, carry=docs.columns)
 
 
 STAGES = [
@@ -47,7 +48,7 @@ STAGES = [
     ("source_mixing", source_mixing),
 ]
 
-#: Fingerprints (XXH64) and the classifier can't be expressed in SQL; tests hold ``run`` against plain versions.
+#: Fingerprints (XXH64) and the classifier can't be expressed in SQL; a test holds ``run`` against plain versions of the stages.
 ORACLE_SQL = None
 
 

@@ -29,17 +29,44 @@ def python_workers(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share.
+
+    A session on one machine that names none gets a temporary one; elsewhere that is an
+    error, as each executor would write to its own disk.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='trailspark-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+_kept: set[str] = set()
+
+
+def _folder(spark: SparkSession) -> str:
+    """The folder of this application's tables; it is deleted when the driver's JVM ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/trailspark/{spark.sparkContext.applicationId}"
+    if path not in _kept:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+        _kept.add(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all tables that this application has stored so far; results that still read them must have been written before."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once as a table in the shared folder and read back: no lineage, and safe when an executor is lost."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/trailspark/{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
