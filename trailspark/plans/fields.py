@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailspark.functions.geometry import kmh
-from trailspark.operators import graph, kernels, sequences, windows
-from trailspark.operators.lineage import python_workers
+from trailspark.operators import graph, kernels, sequences, smoothing, windows
+from trailspark.operators.lineage import python_workers, stored
 from trailspark.params import Quality
 from trailspark.plans import sql
 from trailspark.plans.kinematics import STATES, STATION, with_state, with_station
@@ -23,13 +23,16 @@ def speed_field(samples: DataFrame, dt: float, ds: float, time: str = "t", stati
     return samples.groupBy(F.floor(F.col(time) / dt).alias("ti"), F.floor(F.col(station) / ds).alias("si")).agg(F.avg("speed").alias("speed"), F.count("*").alias("n"))
 
 
-def theil_sen(points: DataFrame, key: list[str], t: str = "t", s: str = "s") -> DataFrame:
-    """Median of pairwise slopes and the median intercept of each key; for fits of bounded size (one front, one track)."""
-    a = points.select(*key, F.col(t).alias("ta"), F.col(s).alias("sa"))
-    b = points.select(*key, F.col(t).alias("tb"), F.col(s).alias("sb"))
-    pairs = a.join(b, key).where(F.col("tb") - F.col("ta") > 1e-9)
-    slopes = pairs.groupBy(*key).agg(F.percentile((F.col("sb") - F.col("sa")) / (F.col("tb") - F.col("ta")), F.lit(0.5)).alias("slope"))
-    return points.join(slopes, key).groupBy(*key).agg(F.first("slope").alias("slope"), F.percentile(F.col(s) - F.col("slope") * F.col(t), F.lit(0.5)).alias("intercept"))
+def theil_sen(points: DataFrame, key: str, t: str = "t", s: str = "s") -> DataFrame:
+    """Median of pairwise slopes and the median intercept of each key, many keys at a time; for fits of bounded size (one front, one track), larger ones are an error."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        bounds = smoothing.bounds_of(frame[key]).tolist()
+        out = [(frame[key].iloc[a], kernels.theil_sen(frame["t"].iloc[a:b], frame["s"].iloc[a:b])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return pd.DataFrame([(k, *fit) for k, fit in out if fit], columns=[key, "slope", "intercept"])
+
+    rows = points.select(key, F.col(t).cast("double").alias("t"), F.col(s).cast("double").alias("s"))
+    return smoothing.whole_groups(rows, key, ["t"], run, f"{key} {dict(points.dtypes)[key]}, slope double, intercept double")
 
 
 def principal_axis(points: DataFrame, key: list[str]) -> DataFrame:
@@ -63,7 +66,7 @@ SELECT track_id, round(any_value(slope), 6) AS slope, round(quantile_cont(s - sl
 )
 def theil_sen_fits(spark, sf_dir):
     p = trk(spark, sf_dir).select("track_id", (F.col("t") / DAY).alias("t"), F.col("x").alias("s"))
-    return theil_sen(p, ["track_id"]).select("track_id", F.round("slope", 6).alias("slope"), F.round("intercept", 3).alias("intercept"))
+    return theil_sen(p, "track_id").select("track_id", F.round("slope", 6).alias("slope"), F.round("intercept", 3).alias("intercept"))
 
 
 _ANGLE = "0.5 * atan2(2 * sxy, sxx - syy)"
@@ -146,42 +149,117 @@ def slow_front(spark, sf_dir):
     return graph.component_front(cells, upper=True, min_rows=1)
 
 
-def wave_fit(events: DataFrame, front: DataFrame, car: float, seed: int = Quality.seed, boots: int = Quality.boots) -> DataFrame:
+def wave_fit(events: DataFrame, front: DataFrame, car: float, seed: int = Quality.seed, boots: int = Quality.boots, parts: int = 16) -> DataFrame:
     """One row for each ``wave``: slope, its bootstrap interval, speed in km/h, residual MAD, number of points and whether it is in the band.
 
     ``events`` and ``front`` have wave, t and s. Events within three car lengths of the
     front's line are fitted; below four of them the front's own slope stands alone. One
-    wave's points are one group and few.
+    wave's points are one group and few; its resamples are dealt out to ``parts`` tasks.
     """
     python_workers(events.sparkSession)
-    names = ["wave", "front_slope", "slope", "low", "high", "kmh", "mad", "n", "in_band"]
+    names = ["wave", "front_slope", "slope", "kmh", "mad", "n", "t", "s"]
 
-    def run(key: tuple, e: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        row: list = [key[0], None, None, None, None, None, None, 0, None]
+    def fit(key: tuple, e: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
+        row: list = [key[0], None, None, None, None, 0, [], []]
         line = kernels.theil_sen(f["t"], f["s"]) if len(f) >= 4 else None
         if len(e) >= 3 and line:
             e = e.sort_values(["t", "s"])
             row[1] = line[0]
             on = e[np.abs(e["s"] - (line[0] * e["t"] + line[1])) < Quality.lateral * car]
-            row[7] = len(on)
-            fit = kernels.theil_sen(on["t"], on["s"]) if len(on) >= 4 else None
-            if fit:
-                ci = kernels.bootstrap_slope(on["t"], on["s"], boots, seed)
-                speed = abs(fit[0]) * Quality.car_m / car * 3.6
-                left = np.abs(on["s"] - fit[0] * on["t"] - fit[1])
-                row[2:7] = [fit[0], ci and ci[0], ci and ci[1], speed, float(np.median(left))]
-                row[8] = bool(Quality.band_kmh[0] <= speed <= Quality.band_kmh[1] and ci and ci[0] * ci[1] > 0)
+            row[5] = len(on)
+            if len(on) >= 4 and (own := kernels.theil_sen(on["t"], on["s"])):
+                left = np.abs(on["s"] - own[0] * on["t"] - own[1])
+                row[2:5] = [own[0], abs(own[0]) * Quality.car_m / car * 3.6, float(np.median(left))]
+                row[6:] = [on["t"].tolist(), on["s"].tolist()]
         return pd.DataFrame([row], columns=names)
 
-    return events.select("wave", "t", "s").groupBy("wave").cogroup(front.select("wave", "t", "s").groupBy("wave")).applyInPandas(run, "wave string, front_slope double, slope double, low double, high double, kmh double, mad double, n int, in_band boolean")
+    fits = stored(events.select("wave", "t", "s").groupBy("wave").cogroup(front.select("wave", "t", "s").groupBy("wave")).applyInPandas(fit, "wave string, front_slope double, slope double, kmh double, mad double, n int, t array<double>, s array<double>"))
 
+    def draws(frames):
+        for frame in frames:
+            for wave, t, s, part in frame.itertuples(index=False):
+                found = kernels.bootstrap_slopes(t, s, boots, seed, part, parts)
+                yield pd.DataFrame({"wave": wave, "drawn": found})
 
-@query()
-def wave_fits(spark, sf_dir):
+    shares = fits.where("slope is not null").select("wave", "t", "s", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")).repartition(parts, "wave", "part")
+    middle = shares.mapInPandas(draws, "wave string, drawn double").groupBy("wave").agg(F.percentile("drawn", F.lit(0.025)).alias("low"), F.percentile("drawn", F.lit(0.975)).alias("high"))
+    out = fits.drop("t", "s").join(middle, "wave", "left")
+    band = F.col("kmh").between(*Quality.band_kmh) & (F.col("low") * F.col("high") > 0)
+    return out.select("wave", "front_slope", "slope", "low", "high", "kmh", "mad", "n", F.when(F.col("slope").isNotNull(), F.coalesce(band, F.lit(False))).alias("in_band"))
+
+
+def axis_of(events: DataFrame, width: float, rounds: int = 3) -> tuple[float, float, float, float] | None:
+    """Centre and direction of the events' principal axis, fitted again to those within ``width`` of it; none below three events."""
+    kept = events
+    axis = None
+    for _ in range(rounds):
+        row = principal_axis(kept.withColumn("__g", F.lit(0)), ["__g"]).first()
+        if row is None or row["n"] < 3:
+            return None
+        axis = (row["mx"], row["my"], row["ux"], row["uy"])
+        kept = events.where(F.abs((F.col("y") - axis[1]) * axis[2] - (F.col("x") - axis[0]) * axis[3]) < width)
+    return axis if kept.limit(3).count() >= 3 else None
+
+
+def waves(samples: DataFrame, events: DataFrame, car: float, v_move: float, cell_s: float = Quality.cell_s, time: str = "t", boots: int = Quality.boots) -> DataFrame:
+    """The wave of a clip's stop events (track_id, t, x, y) among its samples, as :func:`wave_fit` and ``backward``; no row without an axis.
+
+    Stations lie along the events' robust axis. Traffic goes the way that most event tracks
+    with a net motion of two car lengths go (against the axis if none does); tracks near the
+    axis that don't go the other way make the field of mean speeds, whose largest slow
+    component's edge is the front.
+    """
+    axis = axis_of(events, Quality.lateral * car)
+    if axis is None:
+        return samples.sparkSession.createDataFrame([], "wave string, front_slope double, slope double, low double, high double, kmh double, mad double, n int, in_band boolean, backward boolean")
+    mx, my, ux, uy = axis
+
+    def placed(df):
+        x, y = F.col("x") - mx, F.col("y") - my
+        return df.withColumns({"s": x * ux + y * uy, "lat": y * ux - x * uy})
+
+    rows = placed(samples)
+    per = stored(rows.groupBy("track_id").agg(F.percentile(F.abs("lat"), F.lit(0.5)).alias("side"), (F.max_by("s", "k") - F.min_by("s", "k")).alias("net"), F.hypot(F.max_by("x", "k") - F.min_by("x", "k"), F.max_by("y", "k") - F.min_by("y", "k")).alias("far")))
+    way = per.join(events.select("track_id").distinct(), "track_id", "left_semi").where(F.col("far") > 2 * car).agg(F.percentile("net", F.lit(0.5)).alias("m")).first()["m"]
+    sign = -1 if way is None or way < 0 else 1
+    inside = per.where((F.col("side") <= Quality.lateral * car) & (F.col("net") * sign >= 0)).select("track_id")
+    field = speed_field(rows.join(inside, "track_id", "left_semi"), cell_s, car, time, "s")
+    slow = stored(field.where(F.col("speed") < v_move).select(F.col("ti").alias("cx"), F.col("si").alias("cy")))
+    front = graph.component_front(graph.largest_component(graph.grid_components(slow)), upper=sign < 0)
+    front = front.select(F.lit("all").alias("wave"), ((F.col("cx") + 0.5) * cell_s).alias("t"), ((F.col("cy") + 0.5) * car).alias("s"))
+    near = placed(events).where(F.abs("lat") < Quality.lateral * car).select(F.lit("all").alias("wave"), F.col(time).alias("t"), "s")
+    return wave_fit(near, front, car, boots=boots).withColumn("backward", F.col("slope") * sign < 0)
+
+
+_THEIL = "(SELECT quantile_cont((b.s - a.s) / (b.t - a.t), 0.5) FROM {p} a JOIN {p} b ON b.t - a.t > 1e-9)"
+
+
+@query(
+    f"""WITH RECURSIVE {_SLOW}, best AS (SELECT root FROM ro GROUP BY root ORDER BY count(*) DESC, root LIMIT 1), fp AS (SELECT (cx + 0.5) * {DAY} AS t, max(cy) * 50.0 AS s FROM ro WHERE root = (SELECT root FROM best) GROUP BY cx),
+{STATES.replace(TRK + ",", "", 1)}, {sql.onsets('trk', 'runs', 'onset', LOW, 50.0, 3600.0)},
+ep AS (SELECT o.track_id, o.t, g.seg, arc + u * sqrt(power(bx - ax, 2) + power(by_ - ay, 2)) AS s, sqrt(power(o.x - ax - u * (bx - ax), 2) + power(o.y - ay - u * (by_ - ay), 2)) AS d FROM (SELECT o.*, g.*, greatest(0, least(1, ((o.x - ax) * (bx - ax) + (o.y - ay) * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) AS u FROM onset o, seg g) o, LATERAL (SELECT o.seg AS seg) g),
+en AS (SELECT *, row_number() OVER (PARTITION BY track_id, t ORDER BY d, seg) AS rk FROM ep), fl AS (SELECT {_THEIL.format(p='fp')} AS m), fi AS (SELECT m, quantile_cont(s - m * t, 0.5) AS c FROM fp, fl GROUP BY m),
+op AS (SELECT t, s FROM en, fi WHERE rk = 1 AND abs(s - (m * t + c)) < 60), ol AS (SELECT {_THEIL.format(p='op')} AS m), oi AS (SELECT m, quantile_cont(s - m * t, 0.5) AS c FROM op, ol GROUP BY m)
+SELECT 'all' AS wave, round(fi.m * {DAY}, 6) AS front_slope, round(oi.m * {DAY}, 6) AS slope, (SELECT round(quantile_cont(abs(s - oi.m * t - oi.c), 0.5), 4) FROM op) AS mad, (SELECT count(*) FROM op)::INT AS n FROM fi, oi"""
+)
+def wave_slopes(spark, sf_dir):
+    """The fits of the wave without their interval, a day as the unit of time."""
+    front, events = _front_and_events(spark, sf_dir)
+    out = wave_fit(events, front, 20.0, boots=0)
+    return out.select("wave", F.round(F.col("front_slope") * DAY, 6).alias("front_slope"), F.round(F.col("slope") * DAY, 6).alias("slope"), F.round("mad", 4).alias("mad"), "n")
+
+
+def _front_and_events(spark, sf_dir):
     front = slow_front(spark, sf_dir).select(F.lit("all").alias("wave"), ((F.col("cx") + 0.5) * DAY).alias("t"), (F.col("cy") * 50.0).alias("s"))
     df = with_state(trk(spark, sf_dir))
     onsets = sequences.stop_onsets(df, sequences.runs(df, "stopped"), LOW, 50.0, 3600.0)
-    events = with_station(onsets).select(F.lit("all").alias("wave"), "t", "s")
+    return front, with_station(onsets).select(F.lit("all").alias("wave"), "t", "s")
+
+
+@query()
+def wave_fits(spark, sf_dir):
+    """The wave's fit with the interval of all resamples (no SQL draws numpy's)."""
+    front, events = _front_and_events(spark, sf_dir)
     return wave_fit(events, front, 20.0)
 
 
@@ -198,11 +276,33 @@ def wavelet_onsets(spark, sf_dir):
     return rounded(kernels.wavelet_onsets(df, onsets, 25.0), 1)
 
 
-@query()
+_SLIP_FITS = """st AS (SELECT k AS frame, x, y, lead(x) OVER w - x AS vx, lead(y) OVER w - y AS vy FROM trk WINDOW w AS (PARTITION BY track_id ORDER BY k)), sv AS (SELECT * FROM st WHERE vx IS NOT NULL),
+pf AS (SELECT DISTINCT frame AS f FROM sv), pa AS (SELECT f, x / 1000 AS x, y / 1000 AS y, vx, vy FROM pf JOIN sv ON abs(sv.frame - pf.f) <= 2), p0 AS (SELECT * FROM pa WHERE f IN (SELECT f FROM pa GROUP BY f HAVING count(*) >= 5)), np AS (SELECT f, count(*) AS n FROM p0 GROUP BY f),
+m1 AS (SELECT f, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(vx) AS mu, avg(vy) AS mv, var_pop(x) AS cxx, var_pop(y) AS cyy, covar_pop(x, y) AS cxy, covar_pop(x, vx) AS xu, covar_pop(y, vx) AS yu, covar_pop(x, vy) AS xv, covar_pop(y, vy) AS yv, quantile_cont(vx, 0.5) AS du, quantile_cont(vy, 0.5) AS dv FROM p0 GROUP BY f),
+a1 AS (SELECT f, n, n >= 10 AS affine, CASE WHEN n >= 10 THEN (xu * cyy - yu * cxy) / (cxx * cyy - cxy * cxy) ELSE 0 END AS a11, CASE WHEN n >= 10 THEN (yu * cxx - xu * cxy) / (cxx * cyy - cxy * cxy) ELSE 0 END AS a12, CASE WHEN n >= 10 THEN (xv * cyy - yv * cxy) / (cxx * cyy - cxy * cxy) ELSE 0 END AS a21, CASE WHEN n >= 10 THEN (yv * cxx - xv * cxy) / (cxx * cyy - cxy * cxy) ELSE 0 END AS a22, mx, my, mu, mv, du, dv FROM m1),
+b1 AS (SELECT *, CASE WHEN affine THEN mu - a11 * mx - a12 * my ELSE du END AS b1, CASE WHEN affine THEN mv - a21 * mx - a22 * my ELSE dv END AS b2 FROM a1),
+r1 AS (SELECT p.*, sqrt(power(p.vx - a11 * p.x - a12 * p.y - b1, 2) + power(p.vy - a21 * p.x - a22 * p.y - b2, 2)) AS miss FROM p0 p JOIN b1 USING (f)),
+s1 AS (SELECT *, quantile_cont(miss, 0.5) OVER (PARTITION BY f) AS spread FROM r1), k1 AS (SELECT *, miss < greatest(3 * 1.4826 * spread, 1e-6) AS near FROM s1),
+c1 AS (SELECT *, count(*) FILTER (near) OVER (PARTITION BY f) AS left_, count(*) OVER (PARTITION BY f) AS all_ FROM k1), t1 AS (SELECT f, x, y, vx, vy FROM c1 WHERE near AND left_ >= 5 AND left_ < all_),
+m2 AS (SELECT f, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(vx) AS mu, avg(vy) AS mv, var_pop(x) AS cxx, var_pop(y) AS cyy, covar_pop(x, y) AS cxy, covar_pop(x, vx) AS xu, covar_pop(y, vx) AS yu, covar_pop(x, vy) AS xv, covar_pop(y, vy) AS yv, quantile_cont(vx, 0.5) AS du, quantile_cont(vy, 0.5) AS dv FROM t1 GROUP BY f),
+a2 AS (SELECT f, n, n >= 10 AS affine, CASE WHEN n >= 10 THEN (xu * cyy - yu * cxy) / (cxx * cyy - cxy * cxy) ELSE 0 END AS a11, CASE WHEN n >= 10 THEN (yu * cxx - xu * cxy) / (cxx * cyy - cxy * cxy) ELSE 0 END AS a12, CASE WHEN n >= 10 THEN (xv * cyy - yv * cxy) / (cxx * cyy - cxy * cxy) ELSE 0 END AS a21, CASE WHEN n >= 10 THEN (yv * cxx - xv * cxy) / (cxx * cyy - cxy * cxy) ELSE 0 END AS a22, mx, my, mu, mv, du, dv FROM m2),
+b2 AS (SELECT *, CASE WHEN affine THEN mu - a11 * mx - a12 * my ELSE du END AS b1, CASE WHEN affine THEN mv - a21 * mx - a22 * my ELSE dv END AS b2 FROM a2),
+r2 AS (SELECT p.*, sqrt(power(p.vx - a11 * p.x - a12 * p.y - b1, 2) + power(p.vy - a21 * p.x - a22 * p.y - b2, 2)) AS miss FROM t1 p JOIN b2 USING (f)),
+s2 AS (SELECT *, quantile_cont(miss, 0.5) OVER (PARTITION BY f) AS spread FROM r2), k2 AS (SELECT *, miss < greatest(3 * 1.4826 * spread, 1e-6) AS near FROM s2),
+c2 AS (SELECT *, count(*) FILTER (near) OVER (PARTITION BY f) AS left_, count(*) OVER (PARTITION BY f) AS all_ FROM k2), t2 AS (SELECT f, x, y, vx, vy FROM c2 WHERE near AND left_ >= 5 AND left_ < all_),
+md AS (SELECT f, quantile_cont(vx, 0.5) AS du, quantile_cont(vy, 0.5) AS dv FROM t2 GROUP BY f), s1f AS (SELECT DISTINCT f, spread FROM s1), s2f AS (SELECT DISTINCT f, spread FROM s2)"""
+
+
+@query(
+    f"""WITH {TRK}, {_SLIP_FITS} SELECT b1.f AS frame, round(coalesce(b2.a11, b1.a11), 3) AS a11, round(coalesce(b2.a12, b1.a12), 3) AS a12, round(coalesce(b2.a21, b1.a21), 3) AS a21, round(coalesce(b2.a22, b1.a22), 3) AS a22,
+  round(CASE WHEN b2.f IS NULL THEN b1.b1 WHEN NOT b2.affine THEN coalesce(md.du, b2.b1) ELSE b2.b1 END, 4) AS b1, round(CASE WHEN b2.f IS NULL THEN b1.b2 WHEN NOT b2.affine THEN coalesce(md.dv, b2.b2) ELSE b2.b2 END, 4) AS b2, round(coalesce(s2f.spread, s1f.spread), 4) AS spread, np.n
+FROM b1 JOIN np USING (f) JOIN s1f USING (f) LEFT JOIN b2 USING (f) LEFT JOIN s2f USING (f) LEFT JOIN md USING (f)"""
+)
 def slip_field(spark, sf_dir):
     w = windows.along()
     s = trk(spark, sf_dir).select(F.col("k").alias("frame"), "x", "y", (F.lead("x").over(w) - F.col("x")).alias("vx"), (F.lead("y").over(w) - F.col("y")).alias("vy")).where("vx is not null")
-    return rounded(kernels.slip_field(s))
+    out = kernels.slip_field(s)
+    return out.select("frame", *[F.round(c, 3).alias(c) for c in ("a11", "a12", "a21", "a22")], *[F.round(c, 4).alias(c) for c in ("b1", "b2", "spread")], "n")
 
 
 @query(
