@@ -7,7 +7,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailspark.functions.geometry import segment_projection
 from trailspark.operators import graph, kernels, windows
 from trailspark.operators.lineage import python_workers, stored
 from trailspark.params import Roads
@@ -17,22 +16,27 @@ from trailspark.plans.trk import TRK, query, rounded, trk
 
 
 def lines_of(vertices: DataFrame, key: str, order: str) -> DataFrame:
-    """(key, line): the segments of each polyline as one array of structs (seg, ax, ay, bx, by, arc0); a line is one track or road, and short."""
+    """(key, line): the segments of each polyline as one array of structs (seg, ax, ay, ux, uy, size, arc0), u being their direction; a line is one track or road, and short."""
     legs = windows._legs(vertices.select(key, order, "x", "y", F.lit(0.0).alias("t")), key, order).where("arc1 is not null")
     seg = (F.row_number().over(windows.along(key, order)) - 1).alias("seg")
-    rows = legs.select(key, seg, F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("x1").alias("bx"), F.col("y1").alias("by"), F.col("arc").alias("arc0"))
-    return rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seg", "ax", "ay", "bx", "by", "arc0"))).alias("line"))
+    size = F.col("arc1") - F.col("arc")
+    unit = lambda c: F.when(size > 0, (F.col(f"{c}1") - F.col(c)) / F.hypot(F.col("x1") - F.col("x"), F.col("y1") - F.col("y"))).otherwise(0.0).alias(f"u{c}")
+    rows = legs.select(key, seg, F.col("x").alias("ax"), F.col("y").alias("ay"), unit("x"), unit("y"), F.hypot(F.col("x1") - F.col("x"), F.col("y1") - F.col("y")).alias("size"), F.col("arc").alias("arc0"))
+    return rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seg", "ax", "ay", "ux", "uy", "size", "arc0"))).alias("line"))
 
 
 def on_line(x, y, line):
     """Struct (d, seg, s, off) of the nearest place on a polyline in a column, the first segment on ties; offset 0 is positive."""
 
     def place(g):
-        part, _, _, d = segment_projection(x, y, g["ax"], g["ay"], g["bx"], g["by"])
-        side = (g["bx"] - g["ax"]) * (y - g["ay"]) - (g["by"] - g["ay"]) * (x - g["ax"])
-        return F.struct(d.alias("d"), g["seg"].alias("seg"), (g["arc0"] + part * F.hypot(g["bx"] - g["ax"], g["by"] - g["ay"])).alias("s"), F.when(side < 0, -d).otherwise(d).alias("off"))
+        once = lambda value, f: F.transform(F.array(value), f)[0]
+        px, py = x - g["ax"], y - g["ay"]
+        far = F.greatest(F.lit(0.0), F.least(g["size"], px * g["ux"] + py * g["uy"]))
+        at = lambda u: F.struct(F.hypot(px - u * g["ux"], py - u * g["uy"]).alias("d"), g["seg"].alias("seg"), (g["arc0"] + u).alias("s"), (g["ux"] * py - g["uy"] * px < 0).alias("left"))
+        return once(far, at)
 
-    return F.array_min(F.transform(line, place))
+    best = F.array_min(F.transform(line, place))
+    return F.transform(F.array(best), lambda b: F.struct(b["d"].alias("d"), b["seg"].alias("seg"), b["s"].alias("s"), F.when(b["left"], -b["d"]).otherwise(b["d"]).alias("off")))[0]
 
 
 def spines(members: DataFrame, car: float, p: Roads = Roads()) -> DataFrame:
@@ -101,12 +105,14 @@ def infer(samples: DataFrame, car: float, p: Roads = Roads()) -> tuple[DataFrame
     members = stored(placed.join(F.broadcast(cells), ["cx", "cy"]).select("road", "track_id", "k", "x", "y"))
     spine = stored(spines(members, car, p))
     lines = lines_of(samples.join(F.broadcast(spine), "track_id").select("road", "k", "x", "y"), "road", "k")
-    near = members.join(F.broadcast(lines), "road").withColumn("p", on_line(F.col("x"), F.col("y"), F.col("line"))).where(F.abs("p.off") < p.near * car).select("road", "x", "y", "p.s")
+    # stored, as the filter would work out the places a second time
+    placed = stored(members.join(F.broadcast(lines), "road").select("road", "x", "y", on_line(F.col("x"), F.col("y"), F.col("line")).alias("p")))
+    near = placed.where(F.abs("p.off") < p.near * car).select("road", "x", "y", "p.s")
     counts = near.groupBy("road").agg(F.count("*").alias("n_obs")).where(F.col("n_obs") >= p.min_near)
     near = stored(near.join(F.broadcast(counts), "road"))
     centre = stored(centre_lines(near, p))
     again = near.join(F.broadcast(lines_of(centre, "road", "v")), "road")
-    offsets = again.withColumn("off", on_line(F.col("x"), F.col("y"), F.col("line"))["off"]).select("road", "off")
+    offsets = stored(again.select("road", on_line(F.col("x"), F.col("y"), F.col("line"))["off"].alias("off")))
     sizes = cells.groupBy("road").agg(F.first("size").alias("cells"))
     return centre, lanes(offsets, "road", car, p).join(sizes, "road").join(counts, "road").select("road", "cells", "n_obs", "lanes", "lane_halfwidth")
 
