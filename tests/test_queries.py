@@ -1,4 +1,4 @@
-"""Every query of the library that has SQL against DuckDB on the smallest tables."""
+"""Every query of the library against its SQL in DuckDB on the smallest tables."""
 
 import duckdb
 import pytest
@@ -37,6 +37,6 @@ def test_same_rows(spark, duck, name):
     assert mine == theirs
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE)))
-def test_runs(spark, name):
-    assert catalog.QUERIES[name](spark, SF).columns
+def test_only_the_bootstrap_has_no_sql():
+    """Its query is held against loops in test_plans."""
+    assert set(catalog.QUERIES) - set(catalog.ORACLE) == {"wave_fits"}

@@ -117,10 +117,35 @@ def test_streaming_twins(spark, tmp_path, twin):
 
 
 def test_streaming_windows(spark, tmp_path):
-    df = spark.sql("select cast(id % 2 as int) as track_id, timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,id) as ts, double(id) as x, double(id) as speed from range(100)")
+    df = spark.sql("select cast(id % 7 as int) as track_id, timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,id) as ts, double(id) as x, double(id) as speed from range(100) union all select 99, timestamp'2024-01-02 00:00:00', 0d, 0d")
     df.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     for name, out in (("tumbling", twins.tumbling_counts(stream, "10 seconds", "1 second")), ("sessions", twins.session_platoons(stream, "5 seconds", "1 second", "track_id")), ("field", twins.speed_field(stream, "10 seconds", 5.0, "1 second"))):
-        out.writeStream.format("memory").queryName(name).outputMode("complete" if name != "sessions" else "append").trigger(availableNow=True).start().awaitTermination()
-    assert spark.table("tumbling").agg(F.sum("n")).first()[0] == 100
-    assert spark.table("field").agg(F.sum("n")).first()[0] == 100
+        out.writeStream.format("memory").queryName(name).outputMode("complete" if name == "field" else "append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+    # the last window stays open under the watermark; the distinct tracks of the others are exact
+    exact = df.where("track_id <> 99").groupBy(F.window("ts", "10 seconds")).agg(F.count("*").alias("n"), F.count_distinct("track_id").alias("tracks"))
+    assert rows(spark.table("tumbling").select("window.start", "n", "tracks")) == rows(exact.select("window.start", "n", "tracks"))
+    assert spark.table("field").agg(F.sum("n")).first()[0] == 101
+
+
+@pytest.mark.parametrize("twin", ["hysteresis", "refractory"])
+def test_streaming_state_ends_with_the_watermark(spark, tmp_path, twin):
+    """With a watermark the rows are those of the plain twin, and quiet tracks keep no state."""
+    df = spark.sql("select cast(id % 3 as int) as track_id, id as k, double(id) as t, double((id * 37) % 60) as speed, timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,id) as ts from range(60)")
+    late = spark.sql("select 9 as track_id, 0L as k, 0d as t, 10d as speed, timestamp'2024-01-03 00:00:00' as ts")
+    df.repartition(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withWatermark("ts", "1 second")
+    out = twins.hysteresis(stream, 20.0, 40.0, time="ts") if twin == "hysteresis" else twins.refractory(stream, 7.0, clock="ts")
+    for _ in range(2):
+        q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+        late.write.mode("append").parquet(str(tmp_path / "in"))
+        late = late.withColumn("ts", F.col("ts") + F.expr("interval 2 days")).withColumn("track_id", F.lit(8))
+    got = rows(spark.read.parquet(str(tmp_path / "out")).where("track_id < 8"))
+    if twin == "refractory":
+        assert got == rows(sequences.refractory(df.select("track_id", "t"), ["track_id"], "t", 7.0))
+    else:
+        r = sequences.runs(df.withColumn("stopped", sequences.hysteresis("speed", 20.0, 40.0)), "stopped")
+        assert got == rows(r.select("track_id", "f0", "stopped"))
+    states = [o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]]
+    assert states and states[-1] <= 1

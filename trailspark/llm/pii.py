@@ -302,7 +302,8 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     names = docs.columns
     has = F.coalesce(may_hold(F.col(text_col)), F.lit(False))
-    scanned = stored(scan(docs.where(has).select(text_col), [], text_col).where(F.size("found") > 0).dropDuplicates(["key"]))
+    # filtered after it is stored: a filter on what scan works out would work it out once more
+    scanned = stored(scan(docs.where(has).select(text_col), [], text_col)).where(F.size("found") > 0).dropDuplicates(["key"])
     plain = lambda spans, kind: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), kind(s).alias("kind")))
     every = _with_added(scanned, _added(scanned))
     spans = F.concat(*[plain(F.col(f"__{k}"), lambda s, k=k: F.lit(k)) for k in KINDS], plain(F.coalesce("added", F.array().cast("array<struct<kind:string,start:int,end:int>>")), lambda s: s["kind"]))

@@ -85,3 +85,11 @@ class Focus:
     off_road: float = 3.5  # car lengths
     reach_cars: float = 0.8
     reach_share: float = 0.3  # of the way driven in the gap
+
+
+@dataclass(frozen=True)
+class Anchors:
+    min_marks: int = 6
+    tolerance: float = 3.0  # world px
+    min_frames: int = 5
+    smooth: float = 2.0  # frames
