@@ -124,6 +124,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share:
     sure = every.where(~edge).withColumn("epochs", F.col("whole") + extra)
     # one part of one bucket of each leaf
     ordered = Window.partitionBy(*LEVELS).orderBy("key", "n_tokens", "id").rowsBetween(Window.unboundedPreceding, 0)
-    last = every.where(edge).withColumn("epochs", F.col("whole") + F.when(F.col("before2") + F.sum("n_tokens").over(ordered) <= F.col("rest"), 1).otherwise(0))
+    last = every.where(edge).withColumn("epochs", F.col("whole") + F.when((F.col("before2") + F.sum("n_tokens").over(ordered) <= F.col("rest")) & (F.col("rest") > 0), 1).otherwise(0))
     taken = sure.unionByName(last).where("epochs > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("epochs"))))
     return taken.select(*[F.col(f"c_{c}").alias(c) for c in carry], "domain", "n_tokens", "epoch")

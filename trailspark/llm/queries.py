@@ -58,6 +58,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_embedding_dedup, op3_substring_dedup, op4_quality, op5_simhash, op6_language, op7_warc_fixity, op8_decontaminate, op9_pii, op10_mixing)}
 
+def _filled(source: str, out: str, parent: str, child: str) -> str:
+    """Water filling: ``out`` is ``source`` (with weight, room and the parent's budget) with ``given``."""
+    before = f"(PARTITION BY {parent} ORDER BY room / weight, {child} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"""{out}_a AS (SELECT *, coalesce(sum(room) OVER {before}, 0) AS full_, sum(weight) OVER (PARTITION BY {parent}) - coalesce(sum(weight) OVER {before}, 0) AS left_ FROM {source}),
+{out}_b AS (SELECT *, max(CASE WHEN (budget - full_) / left_ <= room / weight THEN (budget - full_) / left_ END) OVER (PARTITION BY {parent}) AS level FROM {out}_a),
+{out} AS (SELECT * EXCLUDE (level, full_, left_), CASE WHEN level IS NULL THEN room ELSE least(room, floor(round(level * weight, 6))) END::BIGINT AS given FROM {out}_b)"""
+
+
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in urlfilter.RULES)
 
 ORACLE = {
@@ -138,4 +146,18 @@ found AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) A
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(of_items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN total USING (rid) LEFT JOIN found USING (rid)""",
+    "op10_mixing": rf"""
+WITH d AS (
+  SELECT doc_id, lang, source, coalesce(lang, '(null)') AS l, coalesce(source, '(null)') AS s, CASE WHEN md5(coalesce(source, '(null)')) < '8' THEN 'core' ELSE 'wide' END AS domain,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents),
+leaf AS (SELECT domain, l, s, sum(n_tokens)::BIGINT AS n, {mixing.MAX_EPOCHS} * sum(n_tokens)::BIGINT AS room FROM d GROUP BY ALL),
+l1 AS (SELECT 0 AS top, domain, sum(room) AS room, CASE domain WHEN 'core' THEN {mixing.DOMAIN_WEIGHTS['core']} ELSE {mixing.DOMAIN_WEIGHTS['wide']} END::DOUBLE AS weight, (SELECT floor(sum(n) * {mixing.SHARE}) FROM leaf) AS budget FROM leaf GROUP BY domain),
+{_filled("l1", "g1", "top", "domain")},
+l2 AS (SELECT domain, l, sum(leaf.room) AS room, 1.0::DOUBLE AS weight, any_value(given) AS budget FROM leaf JOIN g1 USING (domain) GROUP BY domain, l),
+{_filled("l2", "g2", "domain", "l")},
+l3 AS (SELECT domain, l, s, n, leaf.room, 1.0::DOUBLE AS weight, given AS budget FROM leaf JOIN g2 USING (domain, l)),
+{_filled("l3", "g3", "domain, l", "s")},
+p AS (SELECT domain, l, s, CASE WHEN n > 0 THEN given // n ELSE 0 END AS whole, given - CASE WHEN n > 0 THEN given // n ELSE 0 END * n AS rest FROM g3),
+o AS (SELECT d.*, whole, rest, sum(n_tokens) OVER (PARTITION BY domain, l, s ORDER BY md5('{mixing.SEED}:' || (whole + 1) || ':' || coalesce(doc_id::VARCHAR, '')), n_tokens, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN p USING (domain, l, s))
+SELECT doc_id, lang, source, domain, n_tokens, unnest(range(1, whole + CASE WHEN rest > 0 AND upto <= rest THEN 2 ELSE 1 END))::INT AS epoch FROM o""",
 }
