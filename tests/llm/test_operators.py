@@ -9,13 +9,15 @@ import zlib
 from collections import Counter
 
 import brute
+import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from trailspark.llm import decontaminate, embeddings, langid, mixing, pii, quality, simhash, substring, textkernel, urlfilter, warc
+from trailspark.llm import decontaminate, embeddings, langid, mixing, pii, quality, queries, simhash, substring, textkernel, urlfilter, warc
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -562,6 +564,11 @@ def test_pii_is_the_plain_version(spark):
     assert {i: added(got[i].spans, brute.pii(t)) for i, t in enumerate(texts)} == dict(enumerate(want))
     assert 15 < sum(map(len, want)) == sum(r.n_added for r in got.values())
     assert {k for x in want for k, _, _ in x} == {"email", "ip", "card", "phone"}
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": pd.Series(texts, dtype=object)}))
+    cols = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"]
+    told = con.execute(f"SELECT {', '.join(cols)} FROM ({queries.ORACLE['op9_pii']})").fetchall()
+    assert sorted(told) == sorted(tuple(r[c] for c in cols) for r in got.values())
 
 
 def test_pii_of_the_documents_is_the_plain_version(spark):

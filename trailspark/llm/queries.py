@@ -66,6 +66,63 @@ def _filled(source: str, out: str, parent: str, child: str) -> str:
 {out} AS (SELECT * EXCLUDE (level, full_, left_), CASE WHEN level IS NULL THEN room ELSE least(room, floor(round(level * weight, 6))) END::BIGINT AS given FROM {out}_b)"""
 
 
+#: The contract's expressions.
+_KINDS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def _pii_sql() -> str:
+    """Base spans, instances, patterns and the rounds of the bootstrap, over rows instead of arrays."""
+
+    def found(source: str, pattern: str) -> str:
+        return f"""SELECT rid, i, v, (sum(length(g) + length(v)) OVER (PARTITION BY rid ORDER BY i) - length(v))::BIGINT AS a, sum(length(g) + length(v)) OVER (PARTITION BY rid ORDER BY i)::BIGINT AS b
+  FROM (SELECT rid, unnest(m) AS v, unnest(s[1:len(m)]) AS g, unnest(range(len(m))) AS i FROM (SELECT rid, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_split_to_array(t, '{pattern}') AS s FROM {source}))"""
+
+    digits = "regexp_replace(v, '[^0-9]', '', 'g')"
+    checks = {
+        "email": "true",
+        "ip": "len(list_filter(string_split(v, '.'), lambda p: length(ltrim(p, '0')) > 3 OR (length(ltrim(p, '0')) = 3 AND ltrim(p, '0') > '255'))) = 0",
+        "card": f"length({digits}) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length({digits}) + 1), lambda j: CASE WHEN j % 2 = 1 THEN {digits}[length({digits}) - j + 1]::INT WHEN {digits}[length({digits}) - j + 1]::INT > 4 THEN {digits}[length({digits}) - j + 1]::INT * 2 - 9 ELSE {digits}[length({digits}) - j + 1]::INT * 2 END)) % 10 = 0",
+        "phone": f"length({digits}) BETWEEN 9 AND 15",
+    }
+    base = " UNION ALL ".join(f"SELECT rid, a, b, '{k}' AS kind, {n} AS place FROM ({found('h', _KINDS[k])}) WHERE {checks[k]}" for n, k in enumerate(pii.KINDS))
+    count = "length(regexp_replace(v, '[^0-9]', '', 'g'))"
+    rough = f"CASE WHEN regexp_matches(v, '\\p{{L}}') THEN 'a' ELSE '' END || CASE WHEN {count} = 0 THEN '' WHEN {count} < 5 THEN '9' WHEN {count} < 9 THEN '99' ELSE '999' END"
+    shape = "regexp_replace(regexp_replace(v, '[0-9]+', '9', 'g'), '\\p{L}+', 'a', 'g')"
+    rounds = ""
+    for n in range(1, pii.ROUNDS + 1):
+        rounds += f""",
+ac{n} AS (SELECT st.p, st.kind, round(sum(score) / any_value(n), 9) AS score FROM st JOIN sz USING (p) JOIN lk USING (p) JOIN lb{n - 1} lb ON lb.v = lk.v AND lb.kind = st.kind GROUP BY ALL HAVING round(sum(score) / any_value(n), 9) >= {pii.MIN_SCORE}),
+lb{n} AS (FROM lb0 UNION ALL SELECT lk.v, ac.kind, max(ac.score) FROM lk JOIN ac{n} ac USING (p) WHERE lk.v NOT IN (SELECT v FROM lb0) GROUP BY ALL)"""
+    places = "CASE kind " + " ".join(f"WHEN '{k}' THEN {n}" for n, k in enumerate(pii.KINDS)) + " END"
+    named = "kind || ':' || a || ':' || b"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents), h AS (SELECT min(rid) AS rid, t FROM d WHERE regexp_matches(t, '[0-9@]') GROUP BY t),
+bs AS ({base}),
+w AS (SELECT rid, i, v, a, b, lower(coalesce(lag(v) OVER x, '^')) AS l, lower(coalesce(lead(v) OVER x, '$')) AS r FROM ({found('h', '[^' + chr(92) + 'x20' + chr(92) + 'x09-' + chr(92) + 'x0D]+')}) WINDOW x AS (PARTITION BY rid ORDER BY i)),
+hw AS (SELECT * FROM w WHERE regexp_matches(v, '[0-9@]')),
+fr AS (SELECT *, i - row_number() OVER (PARTITION BY rid ORDER BY i) AS run FROM hw WHERE NOT EXISTS (SELECT 1 FROM bs WHERE bs.rid = hw.rid AND bs.a < hw.b AND bs.b > hw.a)),
+ins AS (
+  SELECT x.rid, x.a, y.b, substring(t, x.a + 1, y.b - x.a) AS v, x.l, y.r, bs.kind FROM bs JOIN hw x ON x.rid = bs.rid AND x.a <= bs.a AND bs.a < x.b JOIN hw y ON y.rid = bs.rid AND y.a < bs.b AND bs.b <= y.b JOIN h ON h.rid = bs.rid
+  UNION ALL SELECT rid, a, b, v, l, r, NULL FROM fr
+  UNION ALL SELECT rid, min(a), max(b), string_agg(v, ' ' ORDER BY i), arg_min(l, i), arg_max(r, i), NULL FROM fr GROUP BY rid, run HAVING count(*) > 1),
+pt AS (SELECT rid, a, b, v, kind, unnest(['L ' || l || ' ' || {rough}, 'B ' || l || ' ' || {rough} || ' ' || r, 'S ' || l || ' ' || {shape}, 'R ' || {shape} || ' ' || r]) AS p FROM ins),
+st AS (SELECT p, kind FROM pt WHERE kind IS NOT NULL GROUP BY p, kind HAVING count(DISTINCT v) >= {pii.MIN_SEEDS}),
+lk AS (SELECT DISTINCT p, v FROM pt WHERE p IN (SELECT p FROM st)), sz AS (SELECT p, count(*) AS n FROM lk GROUP BY p),
+lb0 AS (SELECT DISTINCT v, kind, 1.0::DOUBLE AS score FROM pt WHERE kind IS NOT NULL){rounds},
+ch AS (SELECT p, arg_max(kind, {{'s': score, 'p': -{places}}}) AS kind, max(score) AS score FROM ac{pii.ROUNDS} GROUP BY p),
+ad AS (SELECT rid, a, b, arg_max(ch.kind, {{'s': score, 'p': -{places.replace('kind', 'ch.kind')}}}) AS kind FROM pt JOIN ch USING (p) WHERE pt.kind IS NULL GROUP BY rid, a, b),
+ax AS (SELECT rid, a, b, kind, {places} AS place FROM ad WHERE NOT EXISTS (SELECT 1 FROM ad o WHERE o.rid = ad.rid AND o.a <= ad.a AND o.b >= ad.b AND (o.a <> ad.a OR o.b <> ad.b))),
+sb AS (SELECT rid, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in pii.KINDS)}, string_agg({named}, ',' ORDER BY place, a) AS base FROM bs GROUP BY rid),
+sa AS (SELECT rid, string_agg({named}, ',' ORDER BY place, a, b) AS spans, count(*) FILTER (added) AS n_added FROM (SELECT *, false AS added FROM bs UNION ALL SELECT *, true FROM ax) GROUP BY rid)
+SELECT doc_id, {', '.join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in pii.KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_added, 0)::BIGINT AS n_added
+FROM d LEFT JOIN h USING (t) LEFT JOIN sb ON sb.rid = h.rid LEFT JOIN sa ON sa.rid = h.rid"""
+
+
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in urlfilter.RULES)
 
 ORACLE = {
@@ -160,4 +217,5 @@ l3 AS (SELECT domain, l, s, n, leaf.room, 1.0::DOUBLE AS weight, given AS budget
 p AS (SELECT domain, l, s, CASE WHEN n > 0 THEN given // n ELSE 0 END AS whole, given - CASE WHEN n > 0 THEN given // n ELSE 0 END * n AS rest FROM g3),
 o AS (SELECT d.*, whole, rest, sum(n_tokens) OVER (PARTITION BY domain, l, s ORDER BY md5('{mixing.SEED}:' || (whole + 1) || ':' || coalesce(doc_id::VARCHAR, '')), n_tokens, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN p USING (domain, l, s))
 SELECT doc_id, lang, source, domain, n_tokens, unnest(range(1, whole + CASE WHEN rest > 0 AND upto <= rest THEN 2 ELSE 1 END))::INT AS epoch FROM o""",
+    "op9_pii": _pii_sql(),
 }
