@@ -117,7 +117,8 @@ def cosine_links(rows, threshold=0.98):
 
 
 @pytest.mark.parametrize("block", [4, 2048])
-def test_embeddings(spark, block):
+def test_embeddings(spark, block, monkeypatch):
+    monkeypatch.setattr(embeddings, "CELLS", 8 * block)
     rng = np.random.default_rng(2)
     rows = []
     for i in range(12):
@@ -214,6 +215,59 @@ def test_quality_learns_and_scores_all(spark, odd):
     assert set(quality.accepted(docs.withColumn("score", F.lit("x")), labels).columns) == {*docs.columns, "score"}
 
 
+def plain_statistics(text):
+    """``quality.NAMES`` of one text, counted one by one."""
+    raw = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    n, size = len(words), len(raw)
+    if not n:
+        return [0.0] * len(quality.NAMES)
+    lengths = [len(x) for x in words]
+    mean = sum(lengths) / n
+    share = lambda test: sum(map(test, raw)) / size
+    other = lambda c: 0x21 <= c < 0x80 and not chr(c).isalnum()
+    lines = re.findall(rb"[^\n]*\n|[^\n]+", raw)
+    grams = list(zip(words, words[1:], words[2:]))
+    out = [math.log1p(n), math.log1p(size), mean, math.sqrt(max(sum(x * x for x in lengths) / n - mean * mean, 0))]
+    out += [share(lambda c: 97 <= c <= 122), share(lambda c: 65 <= c <= 90), share(lambda c: 48 <= c <= 57), share(other), share(lambda c: c >= 0x80)]
+    count = raw.count(b"\n") + 1
+    out += [count / n, size / count, len(set(words)) / n, max(Counter(words).values()) / n, len(set(lines)) / count, 1 - len(set(grams)) / max(len(grams), 1)]
+    out += [sum(other(x[-1]) for x in words) / n, sum(x <= 2 for x in lengths) / n, sum(x >= 13 for x in lengths) / n]
+    return out + [raw.count(bytes([c])) / n for c in quality._MARKS]
+
+
+def test_statistics_are_the_plain_ones(odd):
+    texts = [t for t in odd if t is None or len(t) < 20_000] + ["a\nb\n\na\n", "x, y. (z) #1 $2 ~~~ é!", "\x7f \x01 a"]
+    found = [quality.statistics(raw, rows) for _, raw, rows in textkernel.chunks(pa.array(texts, pa.string()), 3000)]
+    assert np.allclose(np.concatenate(found), [plain_statistics(t) for t in texts], rtol=1e-5, atol=1e-6)
+
+
+def test_trees_are_walked_and_grown_as_plain_ones():
+    """Margins node by node, and the first split of the first tree against all cuts tried one by one."""
+    rng = np.random.default_rng(7)
+    x = np.round(rng.random((300, 4)), 2).astype(np.float32)
+    y = (x[:, 2] + rng.normal(0, 0.1, 300) > 0.55).astype(float)
+    m = quality.fit(x, y, trees=5)
+    for row, got in zip(x[:40], m.margin(x[:40])):
+        total = m.base
+        for feature, cut, value in zip(m.feature, m.cut, m.value):
+            node = 0
+            for _ in range(quality.DEPTH):
+                node = 2 * node + (2 if row[feature[node]] > cut[node] else 1)
+            total += value[node]
+        assert got == pytest.approx(total)
+    p = (y.sum() + 1) / (len(y) + 2)
+    grad, hess = p - y, np.full(len(y), p * (1 - p))
+    best = (-1.0, 0, 0.0)
+    for f in range(4):
+        for c in np.unique(np.quantile(x[:, f], np.linspace(0, 1, quality.BINS + 1)[1:-1])):
+            left = x[:, f] <= c
+            if quality.LEAST <= left.sum() <= len(y) - quality.LEAST:
+                gain = sum(grad[s].sum() ** 2 / (hess[s].sum() + quality.PENALTY) for s in (left, ~left))
+                best = max(best, (gain, -f, -c))
+    assert (m.feature[0, 0], m.cut[0, 0]) == (-best[1], pytest.approx(-best[2]))
+
+
 def test_trees_learn_a_rule():
     rng = np.random.default_rng(6)
     x = rng.random((2000, 5)).astype(np.float32)

@@ -1,7 +1,7 @@
 """Embedding near-dedup by int8 tile products with rigorous error bounds.
 
-Vectors of one label and one length are dealt into blocks of bounded size; each pair of
-blocks is a tile. In a tile every unit vector u is quantised to s*q with int8 q and the
+Vectors of one label and one length are dealt into blocks of a bounded number of components;
+each pair of blocks is a tile, and a vector is sent to as many tiles as its label has blocks. In a tile every unit vector u is quantised to s*q with int8 q and the
 exact error e = |u - s*q|. For two vectors, |u.v - s_u*s_v*(q_u.q_v)| <= e_u + e_v + e_u*e_v,
 so only pairs whose product plus this bound reaches the threshold are recomputed, in double
 precision. Tiles return link counts and a spanning forest, never the pairs, so a dense
@@ -19,6 +19,9 @@ from trailspark.llm.common import connected_components, python_workers, stored
 
 THRESHOLD = 0.98
 BLOCK = 2048
+#: Up to so many blocks of ``BLOCK`` vectors a label is dealt out finely, for the sake of parallel tasks; beyond, blocks hold ``CELLS`` components.
+SPREAD = 4
+CELLS = 1 << 20
 _SUB = 1024
 _SLACK = 1e-5  # float32 rounding of the scaled products
 
@@ -97,7 +100,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     good = base.where(usable)
     classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("n"))
     classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()).withColumn("dim", F.size("embedding")))
-    blocks = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("__n"))
+    fine, whole = F.ceil(F.col("__n") / F.lit(block)), F.ceil(F.col("__n") / F.greatest(F.lit(block), F.lit(CELLS) / F.col("dim")))
+    blocks = sizes.select("label", "dim", F.greatest(F.least(fine, F.lit(SPREAD)), whole).cast("int").alias("blocks"))
     sized = classes.join(blocks, ["label", "dim"]).withColumn("blk", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     tiles = sized.select("label", "dim", "cid", "n", "embedding", "blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     tiles = tiles.select("label", "dim", F.least("blk", "other").alias("ti"), F.greatest("blk", "other").alias("tj"), "blk", "cid", "n", "embedding")
