@@ -161,13 +161,13 @@ def wave_fit(events: DataFrame, front: DataFrame, car: float, seed: int = Qualit
 
     def fit(key: tuple, e: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
         row: list = [key[0], None, None, None, None, 0, [], []]
-        line = kernels.theil_sen(f["t"], f["s"]) if len(f) >= 4 else None
+        line = kernels.robust_line(f["t"], f["s"]) if len(f) >= 4 else None
         if len(e) >= 3 and line:
             e = e.sort_values(["t", "s"])
             row[1] = line[0]
             on = e[np.abs(e["s"] - (line[0] * e["t"] + line[1])) < Quality.lateral * car]
             row[5] = len(on)
-            if len(on) >= 4 and (own := kernels.theil_sen(on["t"], on["s"])):
+            if len(on) >= 4 and (own := kernels.robust_line(on["t"], on["s"])):
                 left = np.abs(on["s"] - own[0] * on["t"] - own[1])
                 row[2:5] = [own[0], abs(own[0]) * Quality.car_m / car * 3.6, float(np.median(left))]
                 row[6:] = [on["t"].tolist(), on["s"].tolist()]
