@@ -111,3 +111,21 @@ def test_mean_confidence_at_the_threshold_is_not_below_it(spark):
     rows = [(i, k, float(k), 1.0, 0.0, 0.0, c) for i, cs in confs.items() for k, c in enumerate(cs)]
     obs = spark.createDataFrame(rows, "track_id long, k long, t double, speed double, x double, y double, conf double").coalesce(1)
     assert {r.track_id for r in approaches.phantom_like(obs, obs).collect()} == {2, 4}
+
+
+def test_chains_without_candidates_are_those_of_candidates(spark, monkeypatch):
+    """Fragments with copies and equally near tails, two clips; the query makes no candidates."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for clip in ("a", "b"):
+        for i in rng.permutation(90).tolist():
+            t0, s0, lat0 = (float(x) for x in rng.integers(0, 6, 3))
+            rows.append((clip, i, t0, t0 + int(rng.integers(0, 3)), s0, s0 + int(rng.integers(0, 3)), lat0, lat0, float(rng.integers(-1, 2)), float(rng.integers(0, 2))))
+    tracks = spark.createDataFrame(rows, "clip string, track_id long, t0 double, t1 double, s0 double, s1 double, lat0 double, lat1 double, v double, w double")
+    want = set()
+    for clip in ("a", "b"):
+        want |= {tuple(r) for r in scene.stitch(scene.stitch_candidates(tracks.where(F.col("clip") == clip), 4.0, 3.0).withColumn("clip", F.lit(clip)), 2.0).collect()}
+    got = {tuple(r) for r in scene.chain_fragments(tracks, 4.0, 2.0, 3.0).collect()}
+    assert got == want and len(got) > 50
+    monkeypatch.setattr(scene, "stitch_candidates", None)
+    assert scene.stitched(spark, "/root/testdata/sf0.001").count() >= 0

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailspark.functions import geometry as g
-from trailspark.operators import joins, sequences, windows
+from trailspark.operators import joins, kernels, sequences, windows
 from trailspark.operators.lineage import python_workers
 from trailspark.params import Focus
 from trailspark.plans.kinematics import POLYLINE, STATION, simple_states, static_tracks, with_station
@@ -104,6 +104,26 @@ def stitch(candidates: DataFrame, car: float, clip: str = "clip") -> DataFrame:
     return candidates.groupBy(clip).applyInPandas(run, f"{clip} {kinds[clip]}, head {kinds['head']}, link int, tail {kinds['tail']}")
 
 
+def chain_fragments(tracks: DataFrame, max_gap: float, car: float, max_lateral: float = Focus.lateral_px, clip: str = "clip") -> DataFrame:
+    """The chains that :func:`stitch` makes of the candidates of ``tracks`` (as of :func:`stitch_candidates`, with ``clip``), without making the candidates.
+
+    Each step looks for the nearest free tail among one clip's fragments, which are one group;
+    its work grows with their number times that of different ends, its memory with their number.
+    """
+    python_workers(tracks.sparkSession)
+    tracks = tracks if "w" in tracks.columns else tracks.withColumn("w", F.lit(0.0))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["t0", "track_id"])
+        ids = rows["track_id"].to_numpy()
+        found = kernels.nearest_chains(ids, *(rows[c].to_numpy(dtype=float) for c in ("t0", "t1", "s0", "s1", "lat0", "lat1", "v", "w")), max_gap, max_lateral, Focus.reach_cars * car, Focus.reach_share)
+        return pd.DataFrame([(rows[clip].iloc[0], ids[head], link, ids[tail]) for head, link, tail in found], columns=[clip, "head", "link", "tail"])
+
+    kinds = dict(tracks.dtypes)
+    cols = [clip, "track_id", "t0", "t1", "s0", "s1", "lat0", "lat1", "v", "w"]
+    return tracks.select(*cols).where("track_id is not null").groupBy(clip).applyInPandas(run, f"{clip} {kinds[clip]}, head {kinds['track_id']}, link int, tail {kinds['track_id']}")
+
+
 def absorbed(samples: DataFrame, chains: DataFrame) -> DataFrame:
     """``samples`` in which the fragments of a chain bear its head's id, so that they are no tracks of their own any more."""
     to = chains.select(F.col("tail").alias("track_id"), F.col("head").alias("__head"))
@@ -206,7 +226,7 @@ def stitched(spark, sf_dir):
 def chains(spark, sf_dir):
     s = with_station(trk(spark, sf_dir))
     a = _fragments(s).join(entry_speeds(s), "track_id")
-    return stitch(stitch_candidates(a, 259200.0).withColumn("clip", F.lit("a")), 25.0)
+    return chain_fragments(a.withColumn("clip", F.lit("a")), 259200.0, 25.0)
 
 
 @query(f"WITH RECURSIVE {CHAINS} SELECT coalesce(cn.head, trk.track_id) AS track_id, count(*) AS n FROM trk LEFT JOIN cn ON cn.tail = trk.track_id GROUP BY 1")
