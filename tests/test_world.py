@@ -129,3 +129,16 @@ def test_chains_without_candidates_are_those_of_candidates(spark, monkeypatch):
     assert got == want and len(got) > 50
     monkeypatch.setattr(scene, "stitch_candidates", None)
     assert scene.stitched(spark, "/root/testdata/sf0.001").count() >= 0
+
+
+def test_candidates_of_one_time_are_many_tasks(spark, monkeypatch):
+    """Pairs of fragments with copies, all heads in one bucket of time, against loops; copies are split into lists of three."""
+    monkeypatch.setattr(scene, "_ALIKE", 3)
+    rng = np.random.default_rng(8)
+    ends = [(float(a), float(a + b), float(c), float(d), float(e), float(f), 0.5) for a, b, c, d, e, f in rng.integers(0, 5, (60, 6)).tolist()]
+    rows = [(i, *ends[i % 60]) for i in range(400)]
+    tracks = spark.createDataFrame(rows, "track_id long, t0 double, t1 double, s0 double, s1 double, lat0 double, lat1 double, v double")
+    want = sorted((h[0], t[0], h[1] - t[2], abs(h[3] - 0.5 * (h[1] - t[2]) - t[4])) for h in rows for t in rows if h[0] != t[0] and t[2] < h[1] and h[1] - t[2] <= 5.0 and abs(h[5] - t[6]) <= 2.0)
+    got = scene.stitch_candidates(tracks, 5.0, 2.0).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.head, r.tail, r.gap, r.miss) for r in got) == want
+    assert len({r.task for r in got}) > 16
