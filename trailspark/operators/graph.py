@@ -84,8 +84,9 @@ def ranked(labelled: DataFrame) -> DataFrame:
 
 
 def grid_components(cells: DataFrame) -> DataFrame:
-    """Components of cells (cx, cy) under their four neighbours."""
-    return _labelled(cells.select("cx", "cy"), _neighbours(cells.select("cx", "cy"), [], eight=False))
+    """Components of cells (cx, cy) under their four neighbours. The cells are stored first, so that what they are made from is read once."""
+    cells = stored(cells.select("cx", "cy"))
+    return _labelled(cells, _neighbours(cells, [], eight=False))
 
 
 def largest_component(labelled: DataFrame) -> DataFrame:

@@ -144,3 +144,52 @@ def median_slope(t: np.ndarray, s: np.ndarray, w: np.ndarray, near: tuple[float,
     order = np.argsort(slopes, kind="stable")
     reached = n_lo + np.cumsum((w[a] * w[b])[order])
     return float(slopes[order][np.searchsorted(reached, want, side="right")].mean())
+
+
+def counted(t: np.ndarray, s: np.ndarray, many: np.ndarray, m: float) -> np.ndarray:
+    """How many slopes of the points are below ``m``, for each row of weights of ``many`` (rows of one sum); the points are put in order once for all rows."""
+    i, j = _together(t)
+    r = s - m * (t - t[len(t) // 2])
+    p = np.argsort(r, kind="stable")
+    now, at = np.take(many, p, axis=1), np.arange(len(p))
+    kind = np.int32 if many[0].sum(dtype=float) < 2**31 else np.int64
+    total = np.array([-float(np.dot(w[i].astype(float), w[j] * (r[j] < r[i]))) for w in many])
+    for _, one, start, before, _, half in _levels(p):
+        place = np.where(one, start + half + before, at - before)
+        turn = np.empty_like(place)
+        turn[place] = at
+        ones, zeros, wide = one.astype(now.dtype), (1 - one).astype(now.dtype), 2 * half
+        for k, w in enumerate(now):
+            # whole numbers below 2**53, so doubles are exact
+            rest = w * zeros
+            upto, left = np.cumsum(w * ones, dtype=kind), np.cumsum(rest, dtype=kind)
+            first = left[wide - 1 :: wide]
+            mine = np.diff(first if len(left) % wide == 0 else np.append(first, left[-1]))
+            total[k] += np.dot(rest.astype(float), upto.astype(float)) - np.dot(mine.astype(float), upto[wide - 1 : -1 : wide].astype(float))
+            now[k] = w[turn]
+    return total.astype(np.int64)
+
+
+def degrees(t: np.ndarray, s: np.ndarray, w: np.ndarray, m: float) -> np.ndarray:
+    """About how much weight each point's slopes below ``m`` lead to (pairs together in time aren't told apart)."""
+    p = np.argsort(s - m * (t - t[len(t) // 2]), kind="stable")
+    out = np.zeros(len(p))
+    for values, one, start, _, _, half in _levels(p):
+        mine = w[values].astype(float)
+        upto, zeros = np.cumsum(mine * one), np.cumsum(mine * (1 - one))
+        end = np.minimum(start + 2 * half, len(p)) - 1
+        first = np.where(start > 0, start - 1, 0)
+        out[values] += np.where(one, zeros[end] - zeros, upto - np.where(start > 0, upto[first], 0.0))
+    return out
+
+
+def halves(t: np.ndarray, many: list[np.ndarray]) -> list[tuple[int, int] | None]:
+    """For each of some weights the places of the two middle slopes among all of the points; null if none are apart in time."""
+    i, j = _together(t)
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(t) != 0]))
+    out = []
+    for w in many:
+        sums = np.add.reduceat(w.astype(float), starts) if len(starts) < len(t) else w.astype(float)
+        total = int((sums.sum() ** 2 - np.dot(sums, sums)) / 2) - int(np.dot(w[i].astype(float), w[j]))
+        out.append(((total - 1) // 2, total // 2) if total > 0 else None)
+    return out

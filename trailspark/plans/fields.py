@@ -154,7 +154,8 @@ def wave_fit(events: DataFrame, front: DataFrame, car: float, seed: int = Qualit
 
     ``events`` and ``front`` have wave, t and s. Events within three car lengths of the
     front's line are fitted; below four of them the front's own slope stands alone. One
-    wave's points are one group and few; its resamples are dealt out to ``parts`` tasks.
+    wave's points are one group; its resamples are dealt out to ``parts`` tasks, and of many
+    points only slopes near the interval's ends are worked out (all, if the ends aren't among them).
     """
     python_workers(events.sparkSession)
     names = ["wave", "front_slope", "slope", "kmh", "mad", "n", "t", "s"]
@@ -175,14 +176,23 @@ def wave_fit(events: DataFrame, front: DataFrame, car: float, seed: int = Qualit
 
     fits = stored(events.select("wave", "t", "s").groupBy("wave").cogroup(front.select("wave", "t", "s").groupBy("wave")).applyInPandas(fit, "wave string, front_slope double, slope double, kmh double, mad double, n int, t array<double>, s array<double>"))
 
-    def draws(frames):
-        for frame in frames:
-            for wave, t, s, part in frame.itertuples(index=False):
-                found = kernels.bootstrap_slopes(t, s, boots, seed, part, parts)
-                yield pd.DataFrame({"wave": wave, "drawn": found})
-
-    shares = fits.where("slope is not null").select("wave", "t", "s", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")).repartition(parts, "wave", "part")
-    middle = shares.mapInPandas(draws, "wave string, drawn double").groupBy("wave").agg(F.percentile("drawn", F.lit(0.025)).alias("low"), F.percentile("drawn", F.lit(0.975)).alias("high"))
+    def draws(every: bool):
+        def run(frames):
+            for frame in frames:
+                for wave, t, s, slope, part in frame.itertuples(index=False):
+                    found, cuts = (kernels.bootstrap_slopes(t, s, boots, seed, part, parts), [-np.inf, np.inf] * 2) if every else kernels.bootstrap_ends(t, s, slope, boots, seed, part, parts)
+                    yield pd.DataFrame({"wave": wave, "drawn": found} | dict(zip("abcd", cuts, strict=True)))
+
+        return stored(shares.mapInPandas(run, "wave string, drawn double, a double, b double, c double, d double"))
+
+    shares = fits.where("slope is not null").select("wave", "t", "s", "slope", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")).repartition(parts, "wave", "part")
+    drawn = draws(False)
+    order, last = F.sort_array(F.collect_list("drawn")), F.count("drawn") - 1
+    place = lambda share, more: F.get(order, F.least(F.floor(share * last) + more, last).cast("int"))
+    between = lambda share, least, most: (place(share, 0) > F.min(least)) & (place(share, 1) < F.max(most))
+    if drawn.groupBy("wave").agg((between(0.025, "a", "b") & between(0.975, "c", "d")).alias("sure")).where("not sure").count():
+        drawn = draws(True)
+    middle = drawn.groupBy("wave").agg(F.percentile("drawn", F.lit(0.025)).alias("low"), F.percentile("drawn", F.lit(0.975)).alias("high"))
     out = fits.drop("t", "s").join(middle, "wave", "left")
     band = F.col("kmh").between(*Quality.band_kmh) & (F.col("low") * F.col("high") > 0)
     return out.select("wave", "front_slope", "slope", "low", "high", "kmh", "mad", "n", F.when(F.col("slope").isNotNull(), F.coalesce(band, F.lit(False))).alias("in_band"))
