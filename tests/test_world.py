@@ -161,3 +161,13 @@ def test_candidates_of_one_time_are_many_tasks(spark, monkeypatch):
     got = scene.stitch_candidates(tracks, 5.0, 2.0).withColumn("task", F.spark_partition_id()).collect()
     assert sorted((r.head, r.tail, r.gap, r.miss) for r in got) == want
     assert len({r.task for r in got}) > 16
+
+
+def test_fragments_are_copied_to_few_shares(spark, monkeypatch):
+    sides, band = [], scene.joins.band
+    monkeypatch.setattr(scene.joins, "band", lambda left, right, *a, **b: sides.extend((left.count(), right.count())) or band(left, right, *a, **b))
+    rows = [(i, float(i), i + 0.5, 1.0 * i, 1.0 * i, 0.0, 0.0, 0.0) for i in range(40)]
+    tracks = spark.createDataFrame(rows, "track_id long, t0 double, t1 double, s0 double, s1 double, lat0 double, lat1 double, v double")
+    got = {tuple(r) for r in scene.stitch_candidates(tracks, 5.0).select("head", "tail").collect()}
+    assert got == {(h, t) for h in range(40) for t in range(40) if h != t and t + 0.5 < h <= t + 5.5}
+    assert sum(sides) <= 40 * 16
